@@ -65,11 +65,11 @@ CTES: dict[str, str] = {
     "featp": "select raster_id, feature_id, class_id, cast(least(c0 + feature_id%2, 239) as int) as c0, r0, w, h "
              "from feat where feature_id%9<>0",
     "truth_px": """select raster_id, row, col, min(class_id) as class_id from (
-  select raster_id, class_id, row, unnest(range(c0, least(c0+w,256))) as col from (
-  select raster_id, class_id, c0, w, unnest(range(r0, least(r0+h,256))) as row from feat)) group by 1,2,3""",
+  select raster_id, class_id, row, cast(unnest(range(c0, least(c0+w,256))) as int) as col from (
+  select raster_id, class_id, c0, w, cast(unnest(range(r0, least(r0+h,256))) as int) as row from feat)) group by 1,2,3""",
     "pred_px": """select raster_id, row, col, min(class_id) as class_id from (
-  select raster_id, class_id, row, unnest(range(c0, least(c0+w,256))) as col from (
-  select raster_id, class_id, c0, w, unnest(range(r0, least(r0+h,256))) as row from featp)) group by 1,2,3""",
+  select raster_id, class_id, row, cast(unnest(range(c0, least(c0+w,256))) as int) as col from (
+  select raster_id, class_id, c0, w, cast(unnest(range(r0, least(r0+h,256))) as int) as row from featp)) group by 1,2,3""",
     # Truth and prediction side by side, foreground of either only.
     "both_px": """select coalesce(t.raster_id,p.raster_id) as raster_id, coalesce(t.row,p.row) as row,
   coalesce(t.col,p.col) as col, coalesce(t.class_id,0) as gt, coalesce(p.class_id,0) as pred
@@ -83,8 +83,8 @@ CTES: dict[str, str] = {
   cast(sum(case when gt=class_id then n else 0 end) as bigint) as gt_pixels,
   cast(sum(case when pred=class_id then n else 0 end) as bigint) as pred_pixels
   from dim_class d, conf_counts group by 1,2""",
-    "grid_px": """select c.raster_id, r.row, k.col from catalog c, (select unnest(range(0,256)) as row) r,
-  (select unnest(range(0,256)) as col) k""",
+    "grid_px": """select c.raster_id, r.row, k.col from catalog c, (select cast(unnest(range(0,256)) as int) as row) r,
+  (select cast(unnest(range(0,256)) as int) as col) k""",
     "conf_px": """select raster_id, row, col, 0.5e0 + 0.5e0*(((br*br*31 + bc*bc*17 + br*bc*13 + raster_id*7) % 101)/100.0e0) as conf
   from (select *, row//16 as br, col//16 as bc from grid_px)""",
     # Runs of every class of the truth mask.
@@ -104,7 +104,7 @@ CTES: dict[str, str] = {
     "comps": """select raster_id, class_id, comp_id, cast(sum(c1-c0+1) as bigint) as area_px,
   min(c0) as x0, min(row) as y0, max(c1) as x1, max(row) as y1,
   max(c1)-min(c0)+1 as bw, max(row)-min(row)+1 as bh,
-  sum((c0+c1)*(c1-c0+1))/2.0e0/sum(c1-c0+1) as cx, sum(row*(c1-c0+1))*1.0e0/sum(c1-c0+1) as cy
+  sum(cast(c0+c1 as bigint)*(c1-c0+1))/2.0e0/sum(c1-c0+1) as cx, sum(row*(c1-c0+1))*1.0e0/sum(c1-c0+1) as cy
   from comp_runs group by 1,2,3""",
     # Disc offsets: half-width at row offset dy is round(sqrt(r^2-dy^2)).
     "near_road": """select distinct p.raster_id, p.row+y.dy as row, p.c as col from

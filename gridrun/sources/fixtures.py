@@ -7,9 +7,21 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridrun.constants import CLASSES
+from gridrun.constants import CLASSES, CONFIDENCE_THRESHOLD
 from gridrun.operators.burn import box_runs, burn_runs
-from gridrun.operators.runs import class_layer
+from gridrun.operators.components import label_components
+from gridrun.operators.runs import class_layer, coverage
+
+# Explicit schemas: no inference job per read.
+SCHEMAS = {
+    "supplier": "s_suppkey long, s_name string, s_nationkey int, s_acctbal double",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, "
+                "l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
+    "embeddings": "vec_id long, embedding array<float>, label int",
+    "documents": "doc_id long, text string, lang string, source string, n_chars long",
+}
 
 SIDE = 256          # raster side in pixels
 GSD = 5.0           # pixel size in metres
@@ -22,7 +34,10 @@ class Survey:
         self.spark, self.sf_dir = spark, sf_dir
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        reader = self.spark.read
+        if name in SCHEMAS:
+            reader = reader.schema(SCHEMAS[name])
+        return reader.parquet(f"{self.sf_dir}/{name}.parquet")
 
     @cached_property
     def catalog(self) -> DataFrame:
@@ -87,6 +102,17 @@ class Survey:
             .withColumn("row", F.explode(F.sequence(F.col("br") * 16, F.col("br") * 16 + 15)))
             .selectExpr("raster_id", "row", "bc*16 as c0", "bc*16+15 as c1", "conf"))
 
+    @cached_property
+    def components(self) -> DataFrame:
+        """Labelled truth runs of all classes."""
+        return label_components(self.truth, (SIDE, SIDE))
+
+    @cached_property
+    def uncertain(self) -> DataFrame:
+        """Labelled low-confidence runs; merged first so equal blocks join up."""
+        low = coverage(self.conf.filter(F.col("conf") < CONFIDENCE_THRESHOLD))
+        return label_components(low.withColumn("class_id", F.lit(0)), (SIDE, SIDE))
+
     @cached_property
     def logits(self) -> DataFrame:
         return self.table("embeddings").selectExpr(
