@@ -88,7 +88,7 @@ CTES: dict[str, str] = {
     "conf_px": """select raster_id, row, col, 0.5e0 + 0.5e0*(((br*br*31 + bc*bc*17 + br*bc*13 + raster_id*7) % 101)/100.0e0) as conf
   from (select *, row//16 as br, col//16 as bc from grid_px)""",
     # Runs of every class of the truth mask.
-    "px_runs": """select raster_id, class_id, row, min(col) as c0, max(col) as c1, row*256+min(col) as rid from (
+    "px_runs": """select raster_id, class_id, row, min(col) as c0, max(col) as c1, cast(row*256+min(col) as bigint) as rid from (
   select *, col - row_number() over (partition by raster_id,class_id,row order by col) as g from truth_px)
   group by raster_id, class_id, row, g""",
     "run_edges": """select a.raster_id, a.class_id, a.rid as a, b.rid as b from px_runs a join px_runs b
@@ -118,7 +118,7 @@ CTES: dict[str, str] = {
   lateral (select s.raster_id, s.row, unnest(range(greatest(0, s.c0-cast(round(sqrt(36-y.dy*y.dy)) as int)),
     least(255, s.c1+cast(round(sqrt(36-y.dy*y.dy)) as int))+1)) as c) p where p.row+y.dy between 0 and 255""",
     # Low-confidence zones over the whole raster.
-    "u_runs": """select raster_id, row, min(col) as c0, max(col) as c1, row*256+min(col) as rid from (
+    "u_runs": """select raster_id, row, min(col) as c0, max(col) as c1, cast(row*256+min(col) as bigint) as rid from (
   select *, col - row_number() over (partition by raster_id,row order by col) as g from conf_px where conf<0.7e0)
   group by raster_id, row, g""",
     "u_edges": """select a.raster_id, a.rid as a, b.rid as b from u_runs a join u_runs b
