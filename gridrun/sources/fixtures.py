@@ -10,7 +10,13 @@ from pyspark.sql import functions as F
 from gridrun.constants import CLASSES, CONFIDENCE_THRESHOLD
 from gridrun.operators.burn import box_runs, burn_runs
 from gridrun.operators.components import label_components
-from gridrun.operators.runs import class_layer, coverage
+from gridrun.operators.runs import class_layer, coverage, decode
+
+IMAGE_BANDS = (
+    "cast((raster_id*7 + row*13 + col*29) % 256 as int) as red",
+    "cast((row*31 + col*17 + class_id*40) % 256 as int) as green",
+    "cast((raster_id*3 + row*5 + col*11) % 256 as int) as blue",
+)
 
 # Explicit schemas: no inference job per read.
 SCHEMAS = {
@@ -80,6 +86,31 @@ class Survey:
             "raster_id", "feature_id", "class_id", "c0", "r0", "w", "h",
             F.array(F.array(pt(c0, r0), pt(c1, r0), pt(c1, r1), pt(c0, r1), pt(c0, r0))).alias("rings"))
 
+    @cached_property
+    def layers(self) -> DataFrame:
+        """Rings tagged with their source, with planted defects; one layer is missing."""
+        ring = F.col("rings")[0]
+        bow = F.array(ring[0], ring[2], ring[1], ring[3], ring[0])
+        rings = (F.when(F.expr("feature_id % 31 = 0"), F.array().cast("array<array<struct<x:double,y:double>>>"))
+                 .when(F.expr("feature_id % 23 = 0"), F.array(bow))
+                 .when(F.expr("feature_id % 29 = 0"), F.array(F.slice(ring, 1, 4)))
+                 .otherwise(F.col("rings")))
+        twice = F.explode(F.when(F.expr("feature_id % 37 = 0"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+        src = F.expr("case when raster_id%3=0 then 'north' when raster_id%3=1 then 'south' else 'delta' end")
+        return (self.rings.withColumn("source", src).filter("not (source = 'delta' and class_id = 2)")
+                .withColumn("rings", rings).withColumn("copy", twice)
+                .withColumn("feature_id", F.col("feature_id") * 2 + F.col("copy")))
+
+    @cached_property
+    def expected_layers(self) -> DataFrame:
+        """Every source of the catalog times the four foreground classes."""
+        return self.catalog.select("source").distinct().withColumn("class_id", F.explode(F.sequence(F.lit(1), F.lit(4))))
+
+    @cached_property
+    def image(self) -> DataFrame:
+        """Pixel colours of the painted pixels: ``raster_id, row, col, class_id, red, green, blue``."""
+        return decode(self.truth).selectExpr("raster_id", "row", "col", "class_id", *IMAGE_BANDS)
+
     @cached_property
     def truth(self) -> DataFrame:
         return burn_runs(box_runs(self.features, SIDE, SIDE))
