@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from gridrun.constants import CLASSES, CONFIDENCE_THRESHOLD
 from gridrun.operators.burn import box_runs, burn_runs
+from gridrun.operators.catalog import patch_class_px, patch_positions
 from gridrun.operators.components import label_components
-from gridrun.operators.runs import class_layer, coverage, decode
+from gridrun.operators.runs import as_layer, class_layer, coverage, decode, overlay
+from gridrun.session import durable
 
 IMAGE_BANDS = (
     "cast((raster_id*7 + row*13 + col*29) % 256 as int) as red",
@@ -111,10 +113,28 @@ class Survey:
         """Pixel colours of the painted pixels: ``raster_id, row, col, class_id, red, green, blue``."""
         return decode(self.truth).selectExpr("raster_id", "row", "col", "class_id", *IMAGE_BANDS)
 
+    def image_on(self, runs: DataFrame) -> DataFrame:
+        """Pixel colours under any runs, background included."""
+        o = overlay({"on": as_layer(runs), "class_id": as_layer(self.truth, "class_id")}).filter("on is not null").drop("on")
+        return decode(o.fillna(0, ["class_id"])).selectExpr("raster_id", "row", "col", "class_id", *IMAGE_BANDS)
+
+    @cached_property
+    def patches(self) -> DataFrame:
+        """Patch catalog: 64-pixel patches covering the sparse class, with class pixels."""
+        sparse = self.features.filter("class_id = 2")
+        pos = patch_positions(sparse, self.catalog, 64, 32)
+        px = patch_class_px(self.truth, pos, 64).filter("px2 > 0")
+        return px.join(self.catalog.select("raster_id", "split", "source"), "raster_id")
+
     @cached_property
     def truth(self) -> DataFrame:
         return burn_runs(box_runs(self.features, SIDE, SIDE))
 
+    @cached_property
+    def mask(self) -> DataFrame:
+        """The truth mask, stored once for plans that read it several times."""
+        return durable(self.truth)
+
     @cached_property
     def pred(self) -> DataFrame:
         return burn_runs(box_runs(self.pred_features, SIDE, SIDE))
