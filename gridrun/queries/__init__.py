@@ -1,8 +1,8 @@
 """Registered queries: each binds operators to the derived tables."""
 
-from gridrun.queries.registry import ORACLES, QUERIES
+from gridrun.queries.registry import ORACLES, QUERIES, oracle
 
-__all__ = ["QUERIES", "ORACLES", "load_all"]
+__all__ = ["QUERIES", "ORACLES", "load_all", "oracle"]
 
 
 def load_all() -> None:

@@ -27,9 +27,10 @@ CTES.update({
    union all select raster_id,row,col from truth_px where class_id=1 and raster_id in (select raster_id from core2) and raster_id not in (select raster_id from nearby group by 1 having count(*)>=20)""",
     "zone_px": "select 'core' as zone, * from core2 union all select 'road', * from road_use",
     "gry": "select raster_id,row,col,0.299e0*red+0.587e0*green+0.114e0*blue as v from grid_img where raster_id in (select raster_id from core2)",
-    "tex": """select raster_id,row,col, sqrt(gx*gx+gy*gy) as grad, lap from (select z.raster_id, z.row, z.col, sum(v*kx) as gx, sum(v*ky) as gy, sum(v*kl) as lap from (select distinct raster_id,row,col from zone_px) z,
-   (values (-1,-1,-1,-1,0),(-1,0,0,-2,1),(-1,1,1,-1,0),(0,-1,-2,0,1),(0,0,0,0,-4),(0,1,2,0,1),(1,-1,-1,1,0),(1,0,0,2,1),(1,1,1,1,0)) k(dy,dx,kx,ky,kl)
-   join gry g on g.raster_id=z.raster_id and g.row=case z.row+dy when -1 then 1 when 256 then 254 else z.row+dy end and g.col=case z.col+dx when -1 then 1 when 256 then 254 else z.col+dx end group by 1,2,3)""",
+    "zk": """select z.raster_id, z.row, z.col, kx, ky, kl, cast(case z.row+dy when -1 then 1 when 256 then 254 else z.row+dy end as int) as nr, cast(case z.col+dx when -1 then 1 when 256 then 254 else z.col+dx end as int) as nc
+   from (select distinct raster_id,row,col from zone_px) z, (values (-1,-1,-1,-1,0),(-1,0,0,-2,1),(-1,1,1,-1,0),(0,-1,-2,0,1),(0,0,0,0,-4),(0,1,2,0,1),(1,-1,-1,1,0),(1,0,0,2,1),(1,1,1,1,0)) k(dy,dx,kx,ky,kl)""",
+    "tex": """select raster_id,row,col, sqrt(gx*gx+gy*gy) as grad, lap from (select z.raster_id, z.row, z.col, sum(v*kx) as gx, sum(v*ky) as gy, sum(v*kl) as lap from zk z
+   join (select raster_id, row as nr, col as nc, v from gry) g using (raster_id, nr, nc) group by 1,2,3)""",
     "zstat": """select zone, z.raster_id, count(*) as px, avg(red) rm, avg(green) gm, avg(blue) bm, stddev_pop(red) rs, stddev_pop(green) gs, stddev_pop(blue) bs,
    avg(grad) as grad_mean, stddev_pop(grad) as grad_std, var_pop(lap) as lap_var from zone_px z join grid_img using (raster_id,row,col) join tex using (raster_id,row,col) group by 1,2""",
     "dist2": """select a.raster_id, a.px, l2, z, abs(a.grad_mean-b.grad_mean) gg, abs(a.lap_var-b.lap_var) lg, l2+0.15e0*least(1,abs(a.grad_mean-b.grad_mean)/40.0e0)+0.15e0*least(1,abs(a.lap_var-b.lap_var)/80.0e0) as score

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from gridrun.sources.fixtures import Survey
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {}      # bodies; see oracle()
 
 
 def query(key: str, sql: str | None = None):
@@ -29,7 +29,7 @@ def query(key: str, sql: str | None = None):
         run.__doc__ = fn.__doc__
         QUERIES[key] = run
         if sql is not None:
-            ORACLES[key] = with_ctes(sql)
+            ORACLES[key] = sql
         return fn
     return wrap
 
@@ -147,6 +147,10 @@ CTES: dict[str, str] = {
 }
 
 
+# Recursive relations cannot be marked materialized.
+RECURSIVE = {"run_reach", "u_reach", "walk"}
+
+
 def with_ctes(sql: str) -> str:
     """Prefix ``sql`` with the derived tables it names, dependencies first."""
     order: list[str] = []
@@ -160,8 +164,13 @@ def with_ctes(sql: str) -> str:
     visit(sql)
     if not order:
         return sql
-    head = ",\n".join(f"{n} as ({CTES[n]})" for n in order)
+    head = ",\n".join(f"{n} as {'' if n in RECURSIVE else 'materialized '}({CTES[n]})" for n in order)
     sql = sql.strip()
     if sql.lower().startswith("with "):
         return f"with recursive {head},\n" + re.sub(r"(?i)^with\s+(recursive\s+)?", "", sql)
     return f"with recursive {head}\n{sql}"
+
+
+def oracle(key: str) -> str:
+    """Complete oracle SQL of a query (all query modules must be loaded)."""
+    return with_ctes(ORACLES[key])

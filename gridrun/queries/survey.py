@@ -80,7 +80,7 @@ CTES.update({
 
 
 def _measures(s):
-    return SP.spatial_measures(s.truth, s.components, s.catalog, GSD, FRAME)
+    return SP.spatial_measures(s.mask, s.components_of_mask, s.catalog, GSD, FRAME)
 
 
 def _stats(s):
@@ -237,7 +237,7 @@ def q02(s):
 
 
 def _cands(s):
-    return V.visit_candidates(s.truth, s.conf, s.uncertain, GSD, FRAME)
+    return V.visit_candidates(s.mask, s.conf, s.uncertain, GSD, FRAME)
 
 
 def _queue(s):

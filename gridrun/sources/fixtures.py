@@ -158,6 +158,11 @@ class Survey:
         """Labelled truth runs of all classes."""
         return label_components(self.truth, (SIDE, SIDE))
 
+    @cached_property
+    def components_of_mask(self) -> DataFrame:
+        """Labelled runs of the stored mask, stored as well."""
+        return durable(label_components(self.mask, (SIDE, SIDE)))
+
     @cached_property
     def uncertain(self) -> DataFrame:
         """Labelled low-confidence runs; merged first so equal blocks join up."""
