@@ -84,16 +84,22 @@ def decode(runs: DataFrame) -> DataFrame:
     return runs.select(*rest, F.explode(F.sequence("c0", "c1")).alias("col"))
 
 
-def overlay(layers: dict[str, DataFrame], keys=ROW) -> DataFrame:
+def overlay(layers: dict[str, DataFrame], keys=ROW, dense: tuple[str, ...] = ()) -> DataFrame:
     """Split rows into segments on which every layer is constant.
 
     ``layers`` maps an output column to runs ``(keys, c0, c1, value)``. A layer
     without a run on a segment gives null there. One shuffle for any number of
     layers; no pair of runs is ever joined.
+
+    ``dense`` names layers that tile every row without gaps: their ends need
+    not be sent. Then only segments under some other layer are reported whole.
     """
     keys, names = list(keys), list(layers)
     parts = []
     for name, df in layers.items():
+        if name in dense:
+            parts.append(df.select(*keys, F.col("c0").cast("int").alias("pos"), F.col("value").alias(f"v_{name}"), F.lit(1).alias(f"s_{name}")))
+            continue
         ev = F.explode(F.array(
             F.struct(F.col("c0").cast("int").alias("pos"), F.col("value").alias("v")),
             F.struct((F.col("c1") + 1).cast("int").alias("pos"), F.lit(None).alias("v")),

@@ -30,9 +30,16 @@ def clip_to_frame(features: DataFrame, catalog: DataFrame) -> DataFrame:
     """Outer ring clipped to the raster frame; parts without area are dropped."""
     dims = frame_box(catalog).select("raster_id", "fx0", "fy0", "fx1", "fy1", "gt_a", "gt_e", "width", "height")
     d = features.filter(F.size("rings") > 0).join(dims, "raster_id").withColumn("ring", F.col("rings")[0])
+    b = F.col("_b")
+    d = d.withColumn("_b", G.bbox(F.col("ring")))
+    d = d.filter((b["x1"] > F.col("fx0")) & (b["x0"] < F.col("fx1")) & (b["y1"] > F.col("fy0")) & (b["y0"] < F.col("fy1")))
+    # Only rings that reach over an edge are cut at that edge.
     for axis, limit, above in (("x", "fx0", True), ("x", "fx1", False), ("y", "fy0", True), ("y", "fy1", False)):
-        d = d.withColumn("ring", G.clip_half_plane(F.col("ring"), axis, F.col(limit), above))
-    return d.withColumn("area_m2", G.area(F.col("ring"))).filter("size(ring) >= 4 and area_m2 > 0").drop("fx0", "fy0", "fx1", "fy1")
+        inside = b[f"{axis}0"] >= F.col(limit) if above else b[f"{axis}1"] <= F.col(limit)
+        step = lambda r, i=inside, a=axis, l=limit, u=above: F.when(i, r).otherwise(G.clip_half_plane(r, a, F.col(l), u))
+        d = d.withColumn("ring", G.let(F.col("ring"), step))
+    d = d.withColumn("_r", G.let(F.col("ring"), lambda r: F.struct(r.alias("ring"), G.area(r).alias("area_m2"))))
+    return d.withColumn("ring", F.col("_r.ring")).withColumn("area_m2", F.col("_r.area_m2")).drop("_r").filter("size(ring) >= 4 and area_m2 > 0").drop("fx0", "fy0", "fx1", "fy1", "_b")
 
 
 def window_candidates(boxes: DataFrame, windows: DataFrame, cell: int = 64, keep_windows: tuple[str, ...] = ("window_id",)) -> DataFrame:

@@ -161,10 +161,13 @@ def explainability(mask: DataFrame, conf: DataFrame, catalog: DataFrame, thresho
 
 
 def zone_table(uncertain: DataFrame, conf: DataFrame, extra: dict[str, DataFrame], min_px: int = MIN_REVIEW_ZONE_PX) -> DataFrame:
-    """Labelled zones -> area, centroid, mean confidence and overlap with ``extra`` layers."""
+    """Labelled zones -> area, centroid, mean confidence and overlap with ``extra`` layers.
+
+    ``conf`` must cover every row of a raster without gaps.
+    """
     n = run_len()
     o = overlay({"comp_id": as_layer(uncertain, "comp_id"), "v": as_layer(conf, "conf"),
-                 **{k: as_layer(v) for k, v in extra.items()}}).filter("comp_id is not null")
+                 **{k: as_layer(v) for k, v in extra.items()}}, dense=("v",)).filter("comp_id is not null")
     return o.groupBy("raster_id", "comp_id").agg(
         F.sum(n).alias("area_px"),
         F.sum((F.col("c0") + F.col("c1")) * n).alias("_sx2"), F.sum(F.col("row") * n).alias("_sy"),

@@ -64,7 +64,7 @@ def test_low_confidence_raises_priority(spark, make):
     m = np.zeros((200, 200), int)
     m[100, :] = 1
     m[85:115, 100:150] = np.where(m[85:115, 100:150] == 1, 1, 3)
-    score = lambda c: queue(spark, make, m, np.full(m.shape, c))[0].filter("item_type = 'settlement_cluster'").agg(F.max("score")).first()[0]
+    score = lambda c: queue(spark, make, m, np.full(m.shape, c))[0].agg(F.max("score")).first()[0]
     assert score(0.35) > score(0.95)
 
 
