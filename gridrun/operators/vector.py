@@ -36,8 +36,8 @@ def clip_to_frame(features: DataFrame, catalog: DataFrame) -> DataFrame:
     # Only rings that reach over an edge are cut at that edge.
     for axis, limit, above in (("x", "fx0", True), ("x", "fx1", False), ("y", "fy0", True), ("y", "fy1", False)):
         inside = b[f"{axis}0"] >= F.col(limit) if above else b[f"{axis}1"] <= F.col(limit)
-        step = lambda r, i=inside, a=axis, l=limit, u=above: F.when(i, r).otherwise(G.clip_half_plane(r, a, F.col(l), u))
-        d = d.withColumn("ring", G.let(F.col("ring"), step))
+        d = d.withColumn("ring", G.let(F.col("ring"), lambda r: F.when(inside, r).otherwise(
+            G.clip_half_plane(r, axis, F.col(limit), above))))
     d = d.withColumn("_r", G.let(F.col("ring"), lambda r: F.struct(r.alias("ring"), G.area(r).alias("area_m2"))))
     return d.withColumn("ring", F.col("_r.ring")).withColumn("area_m2", F.col("_r.area_m2")).drop("_r").filter("size(ring) >= 4 and area_m2 > 0").drop("fx0", "fy0", "fx1", "fy1", "_b")
 

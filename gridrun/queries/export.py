@@ -67,11 +67,11 @@ def r14(s):
 
 
 LAY = f"""with w1 as (select raster_id,row,col from truth_px where class_id=1), {four_sql('w1')}, s1 as (select raster_id, comp_id, count(*) n from f_px group by 1,2),
-  {four_sql('w4').replace('f_', 'g_')}, s4 as (select raster_id, comp_id, count(*) n from g_px group by 1,2),
-  {four_sql('w3').replace('f_', 'h_')}, s3 as (select raster_id, comp_id, count(*) n from h_px group by 1,2),
+  {four_sql('lay4').replace('f_', 'g_')}, s4 as (select raster_id, comp_id, count(*) n from g_px group by 1,2),
+  {four_sql('lay3').replace('f_', 'h_')}, s3 as (select raster_id, comp_id, count(*) n from h_px group by 1,2),
   al as (select 'roads' as layer, 1 as class_id, n from s1 where n>=200 union all select 'water_bodies', 4, n from s4 where n>=500 union all select 'building_footprints', 3, n from s3 where n>=100)"""
-CTES.update({"w4": "select raster_id,row,col from truth_px where class_id=4",
-             "w3": f"select raster_id, row, unnest(range(c0,c1+1)) as col from comp_runs semi join (select * from comps where {ROOF}) using (raster_id, class_id, comp_id)"})
+CTES.update({"lay4": "select raster_id,row,col from truth_px where class_id=4",
+             "lay3": f"select raster_id, row, unnest(range(c0,c1+1)) as col from comp_runs semi join (select * from comps where {ROOF}) using (raster_id, class_id, comp_id)"})
 
 
 @query("r36_layer_table", LAY + " select layer, class_id, count(*) as features, cast(sum(n) as bigint) as area_px, sum(n)*25.0e0 as area_m2 from al group by 1,2")

@@ -14,6 +14,7 @@ from gridrun.plans import sparse as SPX
 from gridrun.queries.accuracy import pr_sql
 from gridrun.queries.raster import FRAME, ROOF, dilate_sql, rooftops
 from gridrun.queries.registry import CTES, query, rd
+from gridrun.session import durable
 
 RGB = """cast((raster_id*7 + row*13 + col*29) % 256 as int) as red, cast((row*31 + col*17 + class_id*40) % 256 as int) as green, cast((raster_id*3 + row*5 + col*11) % 256 as int) as blue"""
 CTES.update({
@@ -133,7 +134,7 @@ def _zones(s):
 
 
 def _zone_stats(s):
-    z = _zones(s)
+    z = durable(_zones(s))
     halo = MO.dilate(z.drop("zone"), MO.rect(3, 3), FRAME)
     img = s.image_on(halo)
     tex = TX.texture(img, TX.gray(), 256, 256)
@@ -156,7 +157,6 @@ def a45(s):
 
 
 def _distinct(s):
-    from gridrun.session import durable
     z = durable(_zone_stats(s))
     return CO.distinctness(z.filter("zone = 'core'").drop("zone"), z.filter("zone = 'road'").drop("zone"))
 

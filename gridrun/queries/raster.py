@@ -178,18 +178,18 @@ def j10(s):
     return px_summary(intersect(s.layer(2), MO.dilate(s.layer(WATER), MO.disc(6), FRAME)))
 
 
-@query("j19_zonal_mean", """select raster_id, class_id, comp_id, round(avg(conf),6) as mean_conf from
+@query("j19_zonal_mean", """select raster_id, class_id, comp_id, round(avg(conf)+1e-10,6) as mean_conf from
   (select raster_id, class_id, comp_id, row, unnest(range(c0,c1+1)) as col from comp_runs where class_id=3) join conf_px using (raster_id,row,col) group by 1,2,3""")
 def j19(s):
     lab = s.components.filter("class_id = 3")
     return P.zonal_mean(lab, s.conf.withColumnRenamed("conf", "value")).select(
-        "raster_id", F.lit(3).alias("class_id"), "comp_id", F.round("mean_value", 6).alias("mean_conf"))
+        "raster_id", F.lit(3).alias("class_id"), "comp_id", F.round(F.col("mean_value") + 1e-10, 6).alias("mean_conf"))
 
 
-@query("j06_mask_confidence", """select class_id, raster_id, count(*) as px, round(avg(conf),6) as mean_conf from truth_px join conf_px using (raster_id,row,col) group by 1,2""")
+@query("j06_mask_confidence", """select class_id, raster_id, count(*) as px, round(avg(conf)+1e-10,6) as mean_conf from truth_px join conf_px using (raster_id,row,col) group by 1,2""")
 def j06(s):
     o = overlay({"class_id": as_layer(s.truth, "class_id"), "conf": as_layer(s.conf, "conf")}).filter("class_id is not null")
-    return o.groupBy("class_id", "raster_id").agg(F.sum(run_len()).alias("px"), F.round(F.sum(F.col("conf") * run_len()) / F.sum(run_len()), 6).alias("mean_conf"))
+    return o.groupBy("class_id", "raster_id").agg(F.sum(run_len()).alias("px"), F.round(F.sum(F.col("conf") * run_len()) / F.sum(run_len()) + 1e-10, 6).alias("mean_conf"))
 
 
 @query("s03_windowed_read", "select raster_id, class_id, count(*) as px from truth_px where row>=64 and row<128 and col>=32 and col<200 group by 1,2")
@@ -205,7 +205,7 @@ RING = """with road as (select raster_id,row,col from truth_px where class_id=1)
 @query("j20_ring_values", RING.format(dilate_sql('core', 25, 25)) + """, cnt as (select raster_id, count(*) n from rr group by 1),
   pick as (select raster_id,row,col from road where raster_id not in (select raster_id from cnt where n>=20)
     union all select raster_id,row,col from rr where raster_id in (select raster_id from cnt where n>=20))
-  select raster_id, count(*) as px, round(avg(conf),6) as mean_value from pick join conf_px using (raster_id,row,col)
+  select raster_id, count(*) as px, round(avg(conf)+1e-10,6) as mean_value from pick join conf_px using (raster_id,row,col)
   where raster_id in (select raster_id from core) group by 1""")
 def j20(s):
     """Values on the road ring around the sparse class; all road where the ring is under 20 px."""
@@ -219,7 +219,7 @@ def j20(s):
     use = F.col("rn") >= 20
     return g.join(core.select("raster_id").distinct(), "raster_id", "left_semi").select(
         "raster_id", F.when(use, F.col("rn")).otherwise(F.col("an")).alias("px"),
-        F.round(F.when(use, F.col("rv") / F.col("rn")).otherwise(F.col("av") / F.col("an")), 6).alias("mean_value"))
+        F.round(F.when(use, F.col("rv") / F.col("rn")).otherwise(F.col("av") / F.col("an")) + 1e-10, 6).alias("mean_value"))
 
 
 @query("f11_zone_builtup_gate", """select z.raster_id, z.comp_id, z.area_px, count(t.row) as builtup_px from zones z

@@ -131,7 +131,7 @@ CTES: dict[str, str] = {
     "u_px": """select raster_id, comp_id, row, unnest(range(c0, c1+1)) as col from u_runs join u_label using (raster_id, rid)""",
     "zones": """select raster_id, comp_id, count(*) as area_px, avg(col) as cx, avg(row) as cy, avg(conf) as mean_conf
   from u_px join conf_px using (raster_id, row, col) group by 1,2 having count(*)>=500""",
-    "lg": "select vec_id, k, label%5 as gt, list_transform(embedding[5*k+1:5*k+5], lambda x: cast(x as double)) as z "
+    "lg": "select vec_id, cast(t.k as int) as k, label%5 as gt, list_transform(embedding[5*t.k+1:5*t.k+5], lambda x: cast(x as double)) as z "
           "from embeddings, range(12) t(k)",
     "lg2": """select a.vec_id, a.k, a.gt, a.z, b.z as z2 from lg a join lg b
   on b.vec_id = (a.vec_id + 1) % (select count(*) from embeddings) and b.k=a.k""",
