@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gridrun.constants import N_CLASSES
 from gridrun.functions.logits import cross_entropy, softmax
 from gridrun.operators.ranking import number_rows
+from gridrun.operators.onerow import with_row
 
 
 def _soft_sums(px: DataFrame, key: str) -> DataFrame:
@@ -46,7 +47,7 @@ def loss_terms(px: DataFrame, key: str, gamma: float = 2.0, smooth: float = 1e-4
     mean = lambda cols: sum(cols[1:], cols[0]) / len(cols)
     one = lambda n: F.lit(1.0) - c(n)
     smoothed = F.when(c("sparse") < min_sparse_px, mean([one(f"s{k}") for k in fg if k != 2])).otherwise(mean([one(f"s{k}") for k in fg]))
-    return sums.join(F.broadcast(flat)).select(      # one row on each side
+    return sums.transform(with_row, flat).select(      # one row on each side
         "ce", "focal", mean([one(f"d{k}") for k in fg]).alias("soft_dice"), smoothed.alias("smoothed_dice"),
         mean([c(f"v{k}") for k in fg]).alias("focal_tversky"))
 

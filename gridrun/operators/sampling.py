@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridrun.operators.catalog import clamp_window
 from gridrun.operators.ranking import number_rows
+from gridrun.operators.onerow import with_row
 
 
 def uniform(seed: int, *keys) -> Column:
@@ -19,7 +20,7 @@ def class_weights(centroids: DataFrame) -> DataFrame:
     """Inverse counts per class, normalised to one."""
     c = centroids.groupBy("class_id").agg(F.count("*").alias("n"))
     total = c.agg(F.sum(F.lit(1.0) / F.col("n")).alias("t"))
-    return c.join(F.broadcast(total)).select("class_id", "n", (F.lit(1.0) / F.col("n") / F.col("t")).alias("weight"))
+    return c.transform(with_row, total).select("class_id", "n", (F.lit(1.0) / F.col("n") / F.col("t")).alias("weight"))
 
 
 def class_balanced_windows(slots: DataFrame, centroids: DataFrame, catalog: DataFrame, patch: int, seed: int = 42) -> DataFrame:
@@ -76,7 +77,7 @@ def weighted_draws(df: DataFrame, weight: str, seed: int = 42) -> DataFrame:
     """
     t = df.agg(F.count("*").alias("_n"), F.sum(weight).alias("_w"))
     e = F.col(weight) * F.col("_n") / F.col("_w")
-    d = df.join(F.broadcast(t))
+    d = df.transform(with_row, t)
     return d.withColumn("draws", (F.floor(e) + F.when(uniform(seed, *[c for c in df.columns if c != weight]) < e - F.floor(e), 1).otherwise(0)).cast("long")).drop("_n", "_w")
 
 
@@ -111,7 +112,7 @@ def slot_targets(entries: DataFrame, targets: DataFrame, epochs: int, stride: in
     n = entries.agg(F.count("*").alias("n"))
     t = number_rows(targets.select(F.col("raster_id").alias("target_id")), [], ["target_id"], "tpos")
     m = targets.agg(F.count("*").alias("m"))
-    d = e.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1)))).join(F.broadcast(n)).join(F.broadcast(m))
+    d = e.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1)))).transform(with_row, n).transform(with_row, m)
     d = d.withColumn("idx", F.col("pass") * F.col("n") + F.col("pos") - 1)
     forced = F.col("idx") % stride == 0
     d = d.withColumn("forced", forced).withColumn(

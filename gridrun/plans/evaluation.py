@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridrun.constants import BRIDGE, BRIDGE_GATE
+from gridrun.operators.onerow import with_row
 
 
 def compare_runs(base: DataFrame, other: DataFrame) -> DataFrame:
@@ -34,4 +35,4 @@ def probability_diagnostics(px: DataFrame, patch: str) -> DataFrame:
         F.count_if(F.expr("raw > 0 and post = 0")).alias("removed_by_gate"),
         F.round(F.sum(F.when(has, F.col("off"))) / F.sum(F.when(has, F.col("off_n"))), 6).alias("prob_mean_off"))
     on = px.filter(t).agg(F.round(F.avg("pb"), 6).alias("prob_mean_on"), F.round(F.percentile("pb", 0.95), 6).alias("prob_p95_on"))
-    return flags.join(F.broadcast(on))      # one row each
+    return flags.transform(with_row, on)      # one row each

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridrun.operators.ranking import number_rows
+from gridrun.operators.onerow import with_row
 
 
 def distribution(df: DataFrame, col: str) -> DataFrame:
@@ -59,14 +60,14 @@ def _ordered(p: DataFrame) -> DataFrame:
 def top_share(p: DataFrame, at_least: int, divisor: int) -> DataFrame:
     """The best ``max(at_least, n / divisor)`` patches by sparse-class pixels."""
     n = p.agg(F.greatest(F.lit(at_least), F.floor(F.count("*") / divisor)).alias("_k"))
-    return _ordered(p).join(F.broadcast(n)).filter("pos <= _k").drop("_k")
+    return _ordered(p).transform(with_row, n).filter("pos <= _k").drop("_k")
 
 
 def curriculum(p: DataFrame) -> DataFrame:
     """Easy third first (phase 0), then everything (phase 1)."""
     o = _ordered(p)
     n = p.agg(F.greatest(F.lit(8), F.floor(F.count("*") / 3)).alias("_k"))
-    easy = o.join(F.broadcast(n)).filter("pos <= _k").drop("_k")
+    easy = o.transform(with_row, n).filter("pos <= _k").drop("_k")
     return easy.withColumn("phase", F.lit(0)).unionByName(o.withColumn("phase", F.lit(1)))
 
 
@@ -75,7 +76,7 @@ def hard_positive_records(catalog: DataFrame, patches: DataFrame, passes: int) -
     n = catalog.agg(F.count("*").alias("n"))
     r = number_rows(patches.select("raster_id", "y", "x", "px2"), ["raster_id"], ["-px2", "y", "x"], "rk")
     m = patches.groupBy("raster_id").agg(F.count("*").alias("m"))
-    slots = e.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(passes - 1)))).join(F.broadcast(n)).join(m, "raster_id")
+    slots = e.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(passes - 1)))).transform(with_row, n).join(m, "raster_id")
     slots = slots.select("raster_id", (F.col("pass") * F.col("n") + F.col("pos") - 1).alias("idx"), (F.col("pass") % F.col("m") + 1).alias("rk"))
     return slots.join(r, ["raster_id", "rk"]).select("idx", "raster_id", "y", "x")
 

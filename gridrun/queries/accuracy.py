@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from gridrun.operators import metrics as M
 from gridrun.operators.runs import decode, run_len, subtract
 from gridrun.queries.registry import query
+from gridrun.operators.onerow import with_row
 
 
 def _cm(s):
@@ -95,7 +96,7 @@ def a06(s):
         M.fg_mean("i").alias("mi"), M.fg_mean("d").alias("md"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(
             (F.col("class_id") > 0) & (F.col("gt_pixels") < 1), F.struct("class_id", "name")))), lambda x: x["name"]), ",").alias("ex"))
-    return m.join(F.broadcast(macro)).select(
+    return m.transform(with_row, macro).select(
         "class_id", F.round("i", 6).alias("iou"), F.round("d", 6).alias("dice"), F.round("p", 6).alias("precision"),
         F.round("r", 6).alias("recall"),
         F.round(F.expr("case when p+r>0 then 2*p*r/(p+r) else 0D end"), 6).alias("f1"),

@@ -9,6 +9,7 @@ from gridrun.operators.runs import run_len
 from gridrun.plans import sparse as SPX
 from gridrun.queries.registry import CTES, query
 from gridrun.queries.vector import windows
+from gridrun.operators.onerow import with_row
 
 CLAMP = lambda v, ps=64, lim=256: f"cast(greatest(0, least({v} - {ps // 2}, {lim - ps})) as int)"
 CTES.update({
@@ -251,7 +252,7 @@ def m06(s):
     o = _slot_targets(s).agg(F.count_if("forced").alias("forced_slots"), F.count("*").alias("slots"))
     t = CT.feature_centroids(s.rings, s.catalog).filter("class_id = 2").agg(F.countDistinct("raster_id").alias("target_rasters"))
     p = s.patches.filter("split = 'train'").agg(F.count("*").alias("hard_patches"))
-    return o.join(F.broadcast(t)).join(F.broadcast(p))      # one row each
+    return o.transform(with_row, t).transform(with_row, p)      # one row each
 
 
 @query("w11_hard_positive_record", """with e as (select raster_id, row_number() over (order by raster_id)-1 as pos, count(*) over () n from catalog),

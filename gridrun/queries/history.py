@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from gridrun.operators import history as H
 from gridrun.queries.registry import CTES, query
+from gridrun.operators.onerow import with_row
 
 CTES.update({
     "results": """select run, max(metric) as f1, arg_max(metric, epoch) as fg_miou, arg_min(metric, epoch) as road_iou,
@@ -89,6 +90,6 @@ def q12(s):
     r = _results(h).join(H.stability(h).withColumn("stability", F.round("stability", 6)), "run")
     k = H.rank_results(r, ["-f1", "-fg_miou", "-stability", "-road_iou", "-built_iou", "runtime", "run"])
     base = r.filter("run = 0").select(F.col("f1").alias("bf"), F.col("road_iou").alias("br"), F.col("fg_miou").alias("bm"))   # one row
-    return k.join(F.broadcast(base)).select("run", "rank", F.round(F.col("f1") - F.col("bf"), 6).alias("f1_gain"),
+    return k.transform(with_row, base).select("run", "rank", F.round(F.col("f1") - F.col("bf"), 6).alias("f1_gain"),
                                             F.round(F.col("road_iou") - F.col("br"), 6).alias("road_impact"),
                                             F.round(F.col("fg_miou") - F.col("bm"), 6).alias("miou_impact"))

@@ -8,6 +8,7 @@ from gridrun.operators.runs import run_len
 from gridrun.queries.registry import CTES, query
 from gridrun.sources import inventory as IN
 from gridrun.sources import sinks as SI
+from gridrun.operators.onerow import with_row
 
 CTES.update({
     "manifest": """select asset_id, path, case when asset_id%19=0 then '0'||substr(sha256,2) when asset_id%13=0 then upper(sha256) else sha256 end as sha256 from assets""",
@@ -226,7 +227,7 @@ def q09(s):
     n = s.catalog.agg(F.count("*").alias("rasters"))
     l = s.expected_layers.agg(F.count("*").alias("layers"))
     c = QU.crs_issues(s.catalog).agg(F.count("*").alias("crs_issues"))
-    return v.join(F.broadcast(n)).join(F.broadcast(l)).join(F.broadcast(c))      # one row each
+    return v.transform(with_row, n).transform(with_row, l).transform(with_row, c)      # one row each
 
 
 @query("q10_remediation_run")
@@ -236,7 +237,7 @@ def q10(s):
     from gridrun.plans.vector_reports import repair_summary
     scan = s.catalog.agg(F.count_if(F.col("readable")).alias("readable"), F.count_if(~F.col("readable")).alias("quarantined"))
     truth = clip_to_frame(s.rings, s.catalog).groupBy("class_id").agg(F.round(F.sum("area_m2"), 2).alias("clipped_area_m2"))
-    return repair_summary(s.layers, s.expected_layers).join(F.broadcast(scan)).join(truth, "class_id", "left")
+    return repair_summary(s.layers, s.expected_layers).transform(with_row, scan).join(truth, "class_id", "left")
 
 
 @query("u05_multi_source_union", "select source, count(*) as rasters from catalog group by 1")
@@ -257,4 +258,4 @@ def a40(s):
     f = s.features.filter("class_id = 3").select(F.expr("case when feature_id%6 in (1,2,3,4) then cast(feature_id%6 as int) end").alias("code"))
     g = f.groupBy("code").agg(F.count("*").alias("n"))
     t = g.agg(F.sum("n").alias("t"), F.sum(F.when(F.col("code").isNotNull(), F.col("n"))).alias("k"))
-    return g.join(F.broadcast(t)).select("code", "n", F.round(F.col("n") / F.col("t"), 6).alias("share"), F.round(F.col("k") / F.col("t"), 6).alias("coverage"))
+    return g.transform(with_row, t).select("code", "n", F.round(F.col("n") / F.col("t"), 6).alias("share"), F.round(F.col("k") / F.col("t"), 6).alias("coverage"))

@@ -9,6 +9,7 @@ from gridrun.operators import losses as LO
 from gridrun.operators import metrics as M
 from gridrun.operators import stitch as ST
 from gridrun.queries.registry import query
+from gridrun.operators.onerow import with_row
 
 ZCOLS = lambda z, n=6: ", ".join(f"round({z}[{k + 1}],{n}) as z{k}" for k in range(5))
 
@@ -208,7 +209,7 @@ def a14(s):
     part = q.groupBy("pred").agg(F.count("*").alias("n"), F.sum("c").alias("cs"), F.sum("e").alias("es"),
                                  share(c < 0.4).alias("low_pct"), share((c >= 0.4) & (c < 0.7)).alias("medium_pct"), share(c >= 0.7).alias("high_pct"))
     tot = part.agg((F.sum("cs") / F.sum("n")).alias("gc"), (F.sum("es") / F.sum("n")).alias("ge"))
-    return part.join(F.broadcast(tot)).select("pred", "n", F.round(F.col("cs") / F.col("n"), 6).alias("mean_conf"),
+    return part.transform(with_row, tot).select("pred", "n", F.round(F.col("cs") / F.col("n"), 6).alias("mean_conf"),
                                               "low_pct", "medium_pct", "high_pct", F.round("gc", 6).alias("global_conf"), F.round("ge", 6).alias("mean_entropy"))
 
 
