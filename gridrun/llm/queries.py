@@ -4,17 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridrun.llm import mixing
+from gridrun.llm import mixing, repetition
 from gridrun.llm.common import table
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.quality_rules(table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op5_quality_rules": op5_quality_rules,
     "op8_mixing": op8_mixing,
 }
 ORACLES = {
+    "op5_quality_rules": repetition.ORACLE,
     "op8_mixing": mixing.ORACLE,
 }
