@@ -152,7 +152,7 @@ WITH RECURSIVE d AS (
   SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 lines AS (
   SELECT doc_id, len(ls) - len(list_distinct(ls)) AS n_dup_lines
-  FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d)),
+  FROM (SELECT doc_id, [x for x in string_split(text, chr(10)) if regexp_matches(x, '[^\x20\x09-\x0D]')] AS ls FROM d)),
 tokens AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d),
 wins AS (SELECT doc_id, unnest(generate_series(1, len(ws) - 7)) AS i, ws FROM d WHERE len(ws) >= 8),
 keyed AS (SELECT doc_id, i, array_to_string(ws[i:i+7], ' ') AS k FROM wins),
