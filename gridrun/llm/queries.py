@@ -9,7 +9,7 @@ from gridrun.llm.common import table
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repetition.quality_rules(table(spark, sf_dir, "documents"))
+    return repetition.quality_rules(table(spark, sf_dir, "documents")).drop("longest_repeat")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -146,9 +146,9 @@ def keep_quality(docs: DataFrame, **limits) -> DataFrame:
     return docs.mapInArrow(judge, docs.schema)
 
 
-#: The longest repeat as such needs an iteration in SQL: l - 1 is the last length with a window found twice.
+#: A repeat over 100 words is a window of 101 words found twice.
 ORACLE = r"""
-WITH RECURSIVE d AS (
+WITH d AS (
   SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 lines AS (
   SELECT doc_id, len(ls) - len(list_distinct(ls)) AS n_dup_lines
@@ -159,22 +159,20 @@ keyed AS (SELECT doc_id, i, array_to_string(ws[i:i+7], ' ') AS k FROM wins),
 twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS c FROM keyed) WHERE c > 1),
 cover AS (SELECT DISTINCT doc_id, i + o AS i FROM twice, range(8) r(o)),
 covered AS (SELECT c.doc_id, count(*) AS n, sum(length(t.w)) AS chars FROM cover c JOIN tokens t ON c.doc_id = t.doc_id AND c.i = t.i GROUP BY c.doc_id),
-grow(doc_id, i, l) AS (
-  SELECT doc_id, i, 8 FROM twice
-  UNION ALL
-  SELECT doc_id, i, l + 1 FROM (
-    SELECT g.doc_id, g.i, g.l, count(*) OVER (PARTITION BY g.doc_id, g.l, hash(d.ws[g.i:g.i+g.l])) AS c
-    FROM grow g JOIN d ON g.doc_id = d.doc_id WHERE g.i + g.l <= len(d.ws)) WHERE c > 1),
-longest AS (SELECT doc_id, max(l) AS l FROM grow GROUP BY doc_id),
+long AS (
+  SELECT DISTINCT doc_id FROM (
+    SELECT doc_id, count(*) OVER (PARTITION BY doc_id, k) AS c
+    FROM (SELECT doc_id, hash(ws[i:i+100]) AS k FROM (SELECT doc_id, unnest(generate_series(1, len(ws) - 100)) AS i, ws FROM d WHERE len(ws) >= 101)))
+  WHERE c > 1),
 m AS (
   SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
          CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
          CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words,
-         CAST(coalesce(chars, 0) AS BIGINT) AS n_covered_chars, CAST(coalesce(l, 0) AS BIGINT) AS longest_repeat
-  FROM d JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id) LEFT JOIN longest USING (doc_id))
+         CAST(coalesce(chars, 0) AS BIGINT) AS n_covered_chars, o.doc_id IS NOT NULL AS too_long
+  FROM d JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id) LEFT JOIN long o ON d.doc_id = o.doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
-       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND n_covered_chars <= 0.35 * word_chars AND longest_repeat <= 100 AS kept,
-       n_covered_chars, longest_repeat
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND n_covered_chars <= 0.35 * word_chars AND NOT too_long AS kept,
+       n_covered_chars
 FROM m
 """
