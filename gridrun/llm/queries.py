@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridrun.llm import mixing, repetition
+from gridrun.llm import decontaminate, mixing, repetition
 from gridrun.llm.common import table
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("doc_key")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.quality_rules(table(spark, sf_dir, "documents")).drop("longest_repeat")
 
@@ -17,6 +22,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_decontamination": op4_decontamination,
     "op5_quality_rules": op5_quality_rules,
     "op8_mixing": op8_mixing,
 }
