@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridrun.llm import decontaminate, mixing, repetition, secrets
+from gridrun.llm import decontaminate, jaccard, mixing, repetition, secrets
 from gridrun.llm.common import table
 
 
@@ -25,11 +25,16 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(table(spark, sf_dir, "documents")).drop("u")
+
+
 QUERIES = {
     "op4_decontamination": op4_decontamination,
     "op5_quality_rules": op5_quality_rules,
     "op6_secret_scan": op6_secret_scan,
     "op8_mixing": op8_mixing,
+    "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 ORACLES = {
     "op5_quality_rules": repetition.ORACLE,
