@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import re
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,17 +29,39 @@ def local_session(cpus: str | int = "*", app: str = "gridrun", partitions: int =
     return spark
 
 
-def _ensure_checkpoint_dir(spark: SparkSession) -> None:
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which driver and executors share.
+
+    Only a session whose executors run in the driver's own process (``local`` or ``local[...]``, as in tests) may do
+    without the setting and gets a folder of its own; any other session, ``local-cluster`` too, is refused.
+    """
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
+    if sc.getCheckpointDir() is None:
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None:
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+            shared = tempfile.mkdtemp(prefix="gridrun-ckpt-")
         sc.setCheckpointDir(shared)
-    elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="gridrun-ckpt-"))
-    else:
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+    return sc.getCheckpointDir()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package even if it is not installed: it is added to the job once, as a zip."""
+    sc = spark.sparkContext
+    if getattr(sc, "_gridrun_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="gridrun-zip-")  # the driver's own; Spark hands the file to the executors
+    path = os.path.join(folder, "gridrun_package.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for where, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(where, name)
+                    z.write(full, os.path.join("gridrun", os.path.relpath(full, root)))
+    sc.addPyFile(path)
+    sc._gridrun_shipped = True
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -45,5 +70,5 @@ def durable(df: DataFrame) -> DataFrame:
     Used where two branches must see the very same rows (ranges, labels) or
     where a loop would grow the plan; survives the loss of an executor.
     """
-    _ensure_checkpoint_dir(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -7,13 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridrun.session import _ensure_checkpoint_dir
+from gridrun.session import shared_folder
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder in the shared checkpoint location."""
-    _ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def write_mask(mask: DataFrame, path: str, strip: int = 4096) -> None:
