@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +12,8 @@ import pyarrow.compute  # noqa: F401  makes pa.compute available
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridrun.session import shared_folder
+
 #: A word: a run of anything but blank, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 WORDS = re.compile(WORD)
@@ -42,5 +45,8 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tu
             yield part, part.column(text).to_pylist()
 
 
-def column(values, kind) -> pa.Array:
-    return pa.array(values, type=kind)
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read again: cut from its lineage, smaller than a checkpoint."""
+    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -16,9 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridrun.llm.common import slices
+from gridrun.llm.common import slices, stored
 from gridrun.llm.minhash import band_tables, bands_for, components, shingle_hashes
-from gridrun.session import durable
 
 THRESHOLD, SHINGLE, ROWS, RECALL = 0.8, 5, 3, 0.9999
 BLOCK = 200
@@ -44,9 +43,11 @@ def band_rows(units: DataFrame, bands: int, rows: int, n: int = SHINGLE) -> Data
 
 def shared_buckets(rows: DataFrame) -> DataFrame:
     """``(u, bh)`` rows of the buckets with two units or more, each set of members once: ``u, bh, n``."""
-    stats = rows.groupBy("bh").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u")).alias("x"), F.sum(F.xxhash64("u", F.lit(1)).cast("decimal(38,0)")).alias("y"), F.min("u").alias("lo"), F.max("u").alias("hi"))
-    chosen = durable(stats.where("lo <> hi").groupBy("n", "x", "y").agg(F.min("bh").alias("bh")).select("bh", "n"))
-    return rows.join(small(chosen), "bh")
+    full = rows.groupBy("bh").agg(F.min("u").alias("lo"), F.max("u").alias("hi")).where("lo <> hi").select("bh")
+    members = stored(rows.join(small(stored(full)), "bh").distinct())
+    stats = members.groupBy("bh").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u")).alias("x"), F.sum(F.shiftright(F.xxhash64("u", F.lit(1)), 24)).alias("y"))
+    chosen = stored(stats.groupBy("n", "x", "y").agg(F.min("bh").alias("bh")).select("bh", "n"))
+    return members.join(small(chosen), "bh")
 
 
 def _blocked(members: DataFrame, block: int) -> DataFrame:
@@ -143,10 +144,10 @@ def verified(members: DataFrame, texts: DataFrame, threshold: float = THRESHOLD,
 
 def near_links(units: DataFrame, rows: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
     """Units ``(u, text)``, repeated or not, and their band rows to ``(u, links)`` and ``(u, label)`` for units with a link."""
-    members = durable(shared_buckets(rows))
+    members = stored(shared_buckets(rows))
     wanted = small(members.select("u").distinct())
     texts = units.join(wanted, "u", "left_semi").dropDuplicates(["u"])
-    found = durable(verified(members, texts, threshold, n))
+    found = stored(verified(members, texts, threshold, n))
     labels = components(found.where("u <> root").select(F.col("u").alias("a"), F.col("root").alias("b")))
     return found.groupBy("u").agg(F.sum("links").alias("links")), labels.select(F.col("id").alias("u"), "label")
 
@@ -164,14 +165,14 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE, row
     keyed = docs.select("doc_id", "text").withColumn("u", F.xxhash64("text"))
     worded = keyed.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     count = bands_for(threshold, recall, rows)
-    found = durable(band_rows(worded, count, rows, n).distinct())
+    found = stored(band_rows(worded, count, rows, n))
     links, labels = near_links(worded, found, threshold, n)
     plain = worded.select("doc_id", "u")
     copies = plain.groupBy("u").agg(F.min("doc_id").alias("first"), F.count("*").alias("n_copies"))
     joined = copies.join(labels, "u", "left").join(links, "u", "left").withColumn("label", F.coalesce("label", "u"))
     linked = joined.where(F.col("links").isNotNull())
     least = linked.groupBy("label").agg(F.min("first").alias("least"))
-    per_text = joined.join(small(durable(least)), "label", "left").select("u", F.coalesce("least", "first").alias("class_id"), F.coalesce("links", F.lit(0)).alias("n_links"), "n_copies")
+    per_text = joined.join(small(stored(least)), "label", "left").select("u", F.coalesce("least", "first").alias("class_id"), F.coalesce("links", F.lit(0)).alias("n_links"), "n_copies")
     out = plain.join(per_text, "u").select("doc_id", "u", "class_id", "n_links", "n_copies")
     empty = keyed.where(F.col("text").isNull() | ~F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return out.unionByName(empty.select("doc_id", "u", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies")))

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gridrun.llm import decontaminate, jaccard, mixing, repetition, secrets, substrings
+from gridrun.llm import decontaminate, jaccard, mixing, paragraphs, repetition, secrets, substrings
 from gridrun.llm.common import table
 
 
@@ -21,6 +22,12 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op7_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the operator with the length of the text that stays in place of the text."""
+    found = paragraphs.dedup_paragraphs(table(spark, sf_dir, "documents"))
+    return found.withColumn("n_kept_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).drop("text")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
@@ -37,6 +44,7 @@ QUERIES = {
     "op4_decontamination": op4_decontamination,
     "op5_quality_rules": op5_quality_rules,
     "op6_secret_scan": op6_secret_scan,
+    "op7_paragraph_dedup": op7_paragraph_dedup,
     "op8_mixing": op8_mixing,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_ngram_jaccard": op10_ngram_jaccard,
