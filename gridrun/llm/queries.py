@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridrun.llm import decontaminate, jaccard, language, mixing, paragraphs, repetition, secrets, substrings
+from gridrun.llm import decontaminate, jaccard, language, licenses, mixing, paragraphs, repetition, secrets, substrings
 from gridrun.llm.common import table
 
 
@@ -13,6 +13,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.drop("doc_key")
@@ -46,6 +50,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_license_scan": op2_license_scan,
     "op4_decontamination": op4_decontamination,
     "op5_quality_rules": op5_quality_rules,
     "op6_secret_scan": op6_secret_scan,
@@ -55,6 +60,7 @@ QUERIES = {
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 ORACLES = {
+    "op2_license_scan": licenses.oracle(),
     "op5_quality_rules": repetition.ORACLE,
     "op8_mixing": mixing.ORACLE,
 }
