@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridrun.llm import decontaminate, jaccard, language, licenses, mixing, paragraphs, repetition, secrets, substrings
+from gridrun.llm import decontaminate, jaccard, language, licenses, mixing, paragraphs, repetition, secrets, substrings, toolcalls
 from gridrun.llm.common import table
 
 
@@ -17,6 +17,10 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op3_chat_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toolcalls.format_conversations(table(spark, sf_dir, "conversations"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.drop("doc_key")
@@ -51,6 +55,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_license_scan": op2_license_scan,
+    "op3_chat_tool_calls": op3_chat_tool_calls,
     "op4_decontamination": op4_decontamination,
     "op5_quality_rules": op5_quality_rules,
     "op6_secret_scan": op6_secret_scan,
@@ -61,6 +66,7 @@ QUERIES = {
 }
 ORACLES = {
     "op2_license_scan": licenses.oracle(),
+    "op3_chat_tool_calls": toolcalls.ORACLE,
     "op5_quality_rules": repetition.ORACLE,
     "op8_mixing": mixing.ORACLE,
 }
