@@ -83,7 +83,7 @@ def benchmark_seeds(benchmark: DataFrame, masks: tuple[str, ...] = MASKS, window
             cols: list[list] = [[], [], [], [], [], []]
             for item, n, end in zip(part.column("item_id").to_pylist(), counts, ends, strict=True):
                 own = tokens[end - n : end]
-                for number, mask in masks_for(masks, n):
+                for number, mask in masks_for(masks, int(n)):
                     seeds = seeds_at(own, mask, number)
                     around = _windows(own, np.arange(len(seeds)), reach)
                     cols[0] += [item] * len(seeds)
