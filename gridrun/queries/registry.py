@@ -53,15 +53,16 @@ CTES: dict[str, str] = {
   concat('village_', cast(s_suppkey as varchar)) as stem,
   case when s_suppkey%3=0 then 'north' when s_suppkey%3=1 then 'south' else 'delta' end as source
   from supplier""",
-    "feat": """select l_suppkey as raster_id, l_orderkey*10+l_linenumber as feature_id,
-  cast(1+(l_orderkey+l_linenumber)%4 as int) as class_id,
-  cast((l_partkey*37+l_orderkey*11)%240 as int) as c0,
-  cast((l_orderkey*53+l_linenumber*29)%240 as int) as r0,
-  cast(case (l_orderkey+l_linenumber)%4 when 0 then case when l_orderkey%8<4 then 60 else 3 end
-       when 1 then 9 when 2 then 6+l_partkey%14 else 24 end as int) as w,
-  cast(case (l_orderkey+l_linenumber)%4 when 0 then case when l_orderkey%8<4 then 3 else 60 end
-       when 1 then 4 when 2 then 6+l_orderkey%11 else 18 end as int) as h
-  from lineitem where l_quantity<=2""",
+    "feat": """select raster_id, cast(raster_id*100000+q as bigint) as feature_id,
+  cast(1+(ok+ln)%4 as int) as class_id,
+  cast((pk*37+ok*11)%240 as int) as c0,
+  cast((ok*53+ln*29)%240 as int) as r0,
+  cast(case (ok+ln)%4 when 0 then case when ok%8<4 then 60 else 3 end
+       when 1 then 9 when 2 then 6+pk%14 else 24 end as int) as w,
+  cast(case (ok+ln)%4 when 0 then case when ok%8<4 then 3 else 60 end
+       when 1 then 4 when 2 then 6+ok%11 else 18 end as int) as h
+  from (select l_suppkey as raster_id, year(l_shipdate)*4+quarter(l_shipdate)-1 as q, cast(sum(l_orderkey) as bigint) as ok,
+    cast(sum(l_partkey) as bigint) as pk, cast(sum(l_linenumber) as bigint) as ln from lineitem group by 1, 2)""",
     "featp": "select raster_id, feature_id, class_id, cast(least(c0 + feature_id%2, 239) as int) as c0, r0, w, h "
              "from feat where feature_id%9<>0",
     "truth_px": """select raster_id, row, col, min(class_id) as class_id from (
@@ -131,8 +132,8 @@ CTES: dict[str, str] = {
     "u_px": """select raster_id, comp_id, row, unnest(range(c0, c1+1)) as col from u_runs join u_label using (raster_id, rid)""",
     "zones": """select raster_id, comp_id, count(*) as area_px, avg(col) as cx, avg(row) as cy, avg(conf) as mean_conf
   from u_px join conf_px using (raster_id, row, col) group by 1,2 having count(*)>=500""",
-    "lg": "select vec_id, cast(t.k as int) as k, label%5 as gt, list_transform(embedding[5*t.k+1:5*t.k+5], lambda x: cast(x as double)) as z "
-          "from embeddings, range(12) t(k)",
+    "lg": "select vec_id, cast(t.k as int) as k, label%5 as gt, list_transform(list_concat(embedding, embedding[1:1])[5*t.k+1:5*t.k+5], lambda x: cast(x as double)) as z "
+          "from embeddings, range(13) t(k)",
     "lg2": """select a.vec_id, a.k, a.gt, a.z, b.z as z2 from lg a join lg b
   on b.vec_id = (a.vec_id + 1) % (select count(*) from embeddings) and b.k=a.k""",
     "lgp": """select vec_id, k, gt, z, list_position(z, list_max(z))-1 as pred, e,

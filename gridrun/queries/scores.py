@@ -62,35 +62,31 @@ def p28(s):
 
 
 def _grid(s, z="z"):
-    """Score pixels laid out as one 3x4 raster per vector."""
-    return s.logits_pair.select(F.col("vec_id").alias("raster_id"), F.floor(F.col("k") / 4).cast("int").alias("row"),
-                                (F.col("k") % 4).alias("col"), F.col(z).alias("z"))
+    """Score pixels laid out as one raster of one row per vector."""
+    pixels = s.logits if z == "z" else s.logits_pair
+    return pixels.select(F.col("vec_id").alias("raster_id"), F.lit(0).alias("row"), F.col("k").alias("col"), F.col(z).alias("z"))
 
 
-FL = "select vec_id as raster_id, cast(k//4 as int) as row, cast(k%4 as int) as col, {} as z from lg2"
+FL = "select vec_id as raster_id, 0 as row, cast(k as int) as col, {} as z from lg2"
 AVGZ = ", ".join(f"round(avg(z[{k+1}]),6) as z{k}" for k in range(5))
 
 
 @query("p08_flip_average", f"""select raster_id, row, col, {AVGZ} from ({FL.format('z')}
-  union all select raster_id, row, 3-col, z from ({FL.format('z2')}) union all select raster_id, 2-row, col, z from ({FL.format('z2')})) group by 1,2,3""")
+  union all select raster_id, row, 12-col, z from ({FL.format('z2')}) union all select raster_id, 0-row, col, z from ({FL.format('z2')})) group by 1,2,3""")
 def p08(s):
-    return _flat(ST.flip_average(_grid(s), _grid(s, "z2"), _grid(s, "z2"), 4, 3), "raster_id", "row", "col")
-
-
-@query("p09_multiscale_average", """with g as (select vec_id as raster_id, cast(k//4 as int) as row, cast(k%4 as int) as col, z,
-    greatest((k//4+0.5e0)*(2.0e0/3)-0.5e0,0) as sy, greatest((k%4+0.5e0)*(3.0e0/4)-0.5e0,0) as sx from lg2),
-  lo as (select vec_id as raster_id, cast(k//3 as int) as row, cast(k%3 as int) as col, z2 from lg2 where k<6),
-  t as (select g.raster_id, g.row, g.col, g.z, """ + ", ".join(
-    f"(1-(sy-floor(sy)))*(1-(sx-floor(sx)))*a.z2[{k}] + (1-(sy-floor(sy)))*(sx-floor(sx))*b.z2[{k}] + (sy-floor(sy))*(1-(sx-floor(sx)))*c.z2[{k}] + (sy-floor(sy))*(sx-floor(sx))*d.z2[{k}] as u{k}" for k in range(1, 6)) + """
-   from g join lo a on a.raster_id=g.raster_id and a.row=floor(sy) and a.col=floor(sx)
-   join lo b on b.raster_id=g.raster_id and b.row=floor(sy) and b.col=least(floor(sx)+1,2)
-   join lo c on c.raster_id=g.raster_id and c.row=least(floor(sy)+1,1) and c.col=floor(sx)
-   join lo d on d.raster_id=g.raster_id and d.row=least(floor(sy)+1,1) and d.col=least(floor(sx)+1,2))
-  select raster_id, row, col, """ + ", ".join(f"round((z[{k}]+u{k})/2,6) as z{k-1}" for k in range(1, 6)) + " from t")
+    return _flat(ST.flip_average(_grid(s), _grid(s, "z2"), _grid(s, "z2"), 13, 1), "raster_id", "row", "col")
+
+
+@query("p09_multiscale_average", """with g as (select vec_id as raster_id, cast(k as int) as col, z, greatest((k+0.5e0)*(7.0e0/13)-0.5e0,0) as sx from lg),
+  lo as (select vec_id as raster_id, cast(k//2 as int) as col, """ + ", ".join(f"avg(z2[{k}]) as a{k}" for k in range(1, 6)) + """ from lg2 group by 1,2)
+  select g.raster_id, 0 as row, g.col, """ + ", ".join(f"round((g.z[{k}] + (1-(sx-floor(sx)))*a.a{k} + (sx-floor(sx))*b.a{k})/2,6) as z{k-1}" for k in range(1, 6)) + """
+   from g join lo a on a.raster_id=g.raster_id and a.col=floor(sx)
+   join lo b on b.raster_id=g.raster_id and b.col=least(floor(sx)+1,6)""")
 def p09(s):
-    low = s.logits_pair.filter("k < 6").select(F.col("vec_id").alias("raster_id"), F.floor(F.col("k") / 3).cast("int").alias("row"),
-                                               (F.col("k") % 3).alias("col"), F.col("z2").alias("z"))
-    up = ST.upsample(low, (2, 3), (3, 4))
+    """The second model scores at half the resolution: its pixels are means of two, the last one stands alone."""
+    low = s.logits_pair.groupBy(F.col("vec_id").alias("raster_id"), F.lit(0).alias("row"), F.floor(F.col("k") / 2).cast("int").alias("col")).agg(
+        F.array(*[F.avg(F.col("z2")[i]) for i in range(5)]).alias("z"))
+    up = ST.upsample(low, (1, 7), (1, 13))
     return _flat(ST.mean_scores(_grid(s).unionByName(up)), "raster_id", "row", "col")
 
 
@@ -116,12 +112,12 @@ def w13(s):
 
 @query("s06_calibration_vector", """select d.class_id, coalesce(l.bias, d.b) as bias from
   (select * from (values (0,0.0e0),(1,1.5e0),(2,4.0e0),(3,0.0e0),(4,0.0e0)) t(class_id,b)) d
-  left join (select label as class_id, round(avg(embedding[1]),6) as bias from embeddings where label<3 group by 1) l using (class_id)""")
+  left join (select label as class_id, round(avg(list_sum(embedding)/64.0e0),4) as bias from embeddings where label<3 group by 1) l using (class_id)""")
 def s06(s):
     """Stored biases where present, the default vector elsewhere."""
     from gridrun.sources.inventory import calibration_vector
     stored = s.table("embeddings").filter("label < 3").groupBy(F.col("label").alias("class_id")).agg(
-        F.round(F.avg(F.col("embedding")[0].cast("double")), 6).alias("bias"))
+        F.round(F.avg(F.expr("aggregate(embedding, 0D, (a, x) -> a + x)") / 64.0), 4).alias("bias"))
     return calibration_vector(s.classes, stored)
 
 

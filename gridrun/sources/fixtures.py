@@ -61,15 +61,19 @@ class Survey:
 
     @cached_property
     def features(self) -> DataFrame:
-        return self.table("lineitem").filter("l_quantity<=2").selectExpr(
-            "l_suppkey as raster_id", "l_orderkey*10+l_linenumber as feature_id",
-            "cast(1+(l_orderkey+l_linenumber)%4 as int) as class_id",
-            "cast((l_partkey*37+l_orderkey*11)%240 as int) as c0",
-            "cast((l_orderkey*53+l_linenumber*29)%240 as int) as r0",
-            """cast(case (l_orderkey+l_linenumber)%4 when 0 then case when l_orderkey%8<4 then 60 else 3 end
-                 when 1 then 9 when 2 then 6+l_partkey%14 else 24 end as int) as w""",
-            """cast(case (l_orderkey+l_linenumber)%4 when 0 then case when l_orderkey%8<4 then 3 else 60 end
-                 when 1 then 4 when 2 then 6+l_orderkey%11 else 18 end as int) as h""")
+        """What a supplier shipped in a quarter is one feature; every row of ``lineitem`` counts in its place and shape."""
+        quarter = "(year(l_shipdate)*4 + quarter(l_shipdate) - 1)"
+        sums = self.table("lineitem").groupBy(F.col("l_suppkey").alias("raster_id"), F.expr(quarter).alias("q")).agg(
+            F.sum("l_orderkey").alias("ok"), F.sum("l_partkey").alias("pk"), F.sum("l_linenumber").alias("ln"))
+        return sums.selectExpr(
+            "raster_id", "raster_id*100000+q as feature_id",
+            "cast(1+(ok+ln)%4 as int) as class_id",
+            "cast((pk*37+ok*11)%240 as int) as c0",
+            "cast((ok*53+ln*29)%240 as int) as r0",
+            """cast(case (ok+ln)%4 when 0 then case when ok%8<4 then 60 else 3 end
+                 when 1 then 9 when 2 then 6+pk%14 else 24 end as int) as w""",
+            """cast(case (ok+ln)%4 when 0 then case when ok%8<4 then 3 else 60 end
+                 when 1 then 4 when 2 then 6+ok%11 else 18 end as int) as h""")
 
     @cached_property
     def pred_features(self) -> DataFrame:
@@ -171,9 +175,10 @@ class Survey:
 
     @cached_property
     def logits(self) -> DataFrame:
+        """13 pixels of 5 scores per vector: its 64 values, the last pixel filled up with the first value."""
         return self.table("embeddings").selectExpr(
-            "vec_id", "label", "embedding", "explode(sequence(0, 11)) as k").selectExpr(
-            "vec_id", "k", "label%5 as gt", "transform(slice(embedding, 5*k+1, 5), x -> cast(x as double)) as z")
+            "vec_id", "label", "concat(embedding, slice(embedding, 1, 1)) as e", "explode(sequence(0, 12)) as k").selectExpr(
+            "vec_id", "k", "label%5 as gt", "transform(slice(e, 5*k+1, 5), x -> cast(x as double)) as z")
 
     @cached_property
     def logits_pair(self) -> DataFrame:
