@@ -123,16 +123,24 @@ def bridge_recovery(mask: DataFrame, frame, min_px: int = 20, max_px: int = 2000
 Stage = tuple[str, Callable[[DataFrame], DataFrame]]
 
 
-def run_stages(mask: DataFrame, stages: list[Stage], strict: bool = False) -> DataFrame:
-    """Apply stages in order; a failing one is re-raised or logged and passed over."""
+class StageError(RuntimeError):
+    """Raised by a stage that can't treat its mask; nothing else may be passed over."""
+
+
+def run_stages(mask: DataFrame, stages: list[Stage], strict: bool = True) -> DataFrame:
+    """Apply stages in order.
+
+    Without ``strict`` a stage that raises ``StageError`` is logged and passed over; what Spark raises (a lost
+    executor, a full disk) always ends the run, so a mask is never left uncleaned unnoticed.
+    """
     mask = durable(mask)
     for name, fn in stages:
         try:
             mask = durable(fn(mask))
-        except Exception:
-            LOG.exception("stage failed: %s", name)
+        except StageError:
             if strict:
                 raise
+            LOG.exception("stage passed over: %s", name)
     return mask
 
 
@@ -149,6 +157,6 @@ def default_stages(frame, water_prob: DataFrame | None = None, bridge_prob: Data
     return stages
 
 
-def clean_mask(mask: DataFrame, frame, strict: bool = False, **options) -> DataFrame:
+def clean_mask(mask: DataFrame, frame, strict: bool = True, **options) -> DataFrame:
     """All stages: gap fill, roads, water, bridges, recovery."""
     return run_stages(mask, default_stages(frame, **options), strict)

@@ -73,7 +73,11 @@ def running(df: DataFrame, keys: list[str], order: list[str], aggs: dict, chunks
     fold = {"sum": F.sum, "max": F.max, "min": F.min, "count": F.sum}
     pre = per.select(*keys, "_chunk", *[fold[f](f"_c_{o}").over(prev).alias(f"_p_{o}") for o, (f, _) in aggs.items()])
     w = Window.partitionBy(*keys, "_chunk").orderBy(*_order(order)).rowsBetween(Window.unboundedPreceding, -1)
-    out = c.join(pre, [*keys, "_chunk"])
+    pre = pre.withColumnsRenamed({k: f"_k_{k}" for k in (*keys, "_chunk")})
+    on = F.lit(True)
+    for k in (*keys, "_chunk"):      # a null key is a key of its own
+        on = on & c[k].eqNullSafe(pre[f"_k_{k}"])
+    out = c.join(pre, on).drop(*[f"_k_{k}" for k in (*keys, "_chunk")])
     for o, (f, col) in aggs.items():
         here, before = fn[f](col).over(w), F.col(f"_p_{o}")
         both = {"sum": F.coalesce(before, F.lit(0)) + F.coalesce(here, F.lit(0)),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridrun.constants import BRIDGE, BRIDGE_GATE
 from gridrun.operators.onerow import with_row
+from gridrun.operators.ranking import running
 
 
 def compare_runs(base: DataFrame, other: DataFrame) -> DataFrame:
@@ -34,5 +35,20 @@ def probability_diagnostics(px: DataFrame, patch: str) -> DataFrame:
         F.count("*").alias("patches"), F.count_if(F.expr("raw = 0")).alias("never_predicted"),
         F.count_if(F.expr("raw > 0 and post = 0")).alias("removed_by_gate"),
         F.round(F.sum(F.when(has, F.col("off"))) / F.sum(F.when(has, F.col("off_n"))), 6).alias("prob_mean_off"))
-    on = px.filter(t).agg(F.round(F.avg("pb"), 6).alias("prob_mean_on"), F.round(F.percentile("pb", 0.95), 6).alias("prob_p95_on"))
-    return flags.transform(with_row, on)      # one row each
+    on = px.filter(t)
+    p95 = ranked_percentile(on, "pb", 0.95).select(F.round("value", 6).alias("prob_p95_on"))
+    return flags.transform(with_row, on.agg(F.round(F.avg("pb"), 6).alias("prob_mean_on"))).transform(with_row, p95)      # one row each
+
+
+def ranked_percentile(df: DataFrame, col: str, p: float) -> DataFrame:
+    """Exact percentile, linear between ranks, as one row ``value``.
+
+    Equal values are counted before any shuffle; ranks come from range-partitioned running sums, so no task holds all values.
+    """
+    counts = df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count("*").alias("_n"))
+    d = running(counts, [], [col], {"_before": ("sum", "_n")})
+    d = d.transform(with_row, df.agg((F.lit(p) * (F.count(col) - 1)).alias("_h")))
+    part, last = F.col("_h") - F.floor("_h"), F.col("_before") + F.col("_n")
+    holds = lambda rank: (F.col("_before") < rank) & (rank <= last)
+    low = F.when(holds(F.floor("_h") + 1), F.col(col) * (1 - part))
+    return d.agg((F.sum(low) + F.coalesce(F.sum(F.when(holds(F.floor("_h") + 2), F.col(col) * part)), F.lit(0.0))).alias("value"))

@@ -81,10 +81,11 @@ def hard_positive_records(catalog: DataFrame, patches: DataFrame, passes: int) -
     return slots.join(r, ["raster_id", "rk"]).select("idx", "raster_id", "y", "x")
 
 
-def exposure(p: DataFrame, batch_size: int, batches: int) -> DataFrame:
-    """Batch, patch and target-pixel counters over the first batches."""
+def exposure(p: DataFrame, batch_size: int, batches: int | None = None) -> DataFrame:
+    """Batch, patch and target-pixel counters over all batches, or over the first ``batches``."""
     o = number_rows(p, [], ["raster_id", "y", "x"], "pos").withColumn("batch", F.floor((F.col("pos") - 1) / batch_size))
-    per = o.filter(F.col("batch") < batches).groupBy("batch").agg(F.count("*").alias("n"), F.sum("px2").alias("t"))
+    o = o if batches is None else o.filter(F.col("batch") < batches)
+    per = o.groupBy("batch").agg(F.count("*").alias("n"), F.sum("px2").alias("t"))
     return per.agg(F.count("*").alias("batches"), F.sum("n").alias("patches"), F.count_if(F.col("t") > 0).alias("batches_with_target"), F.sum("t").alias("target_px"))
 
 

@@ -129,6 +129,6 @@ def r13(s):
 def k03(s):
     """A user-chosen stage list with a failing stage that is passed over."""
     def broken(_):
-        raise ValueError("stage rejects its input")
+        raise PP.StageError("stage rejects its input")
     stages = [("broken", broken), ("refine_roads", lambda m: PP.refine_roads(m, FRAME))]
     return class_summary(PP.run_stages(s.pred, stages, strict=False))

@@ -164,7 +164,7 @@ def g01(s):
     from gridrun.sources import sinks as SI
     from gridrun.streaming.counters import stream_confusion
     path = SI.scratch_path(s.spark, "scored")
-    s.logits.select("gt", L.argmax("z").alias("pred")).repartition(6).write.parquet(path)
+    s.logits.select("gt", L.argmax("z").alias("pred")).write.parquet(path)
     return stream_confusion(s.spark, path, "gt int, pred int", f"confusion_{uuid.uuid4().hex}")
 
 
