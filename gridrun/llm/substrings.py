@@ -24,9 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridrun.llm.common import slices
+from gridrun.llm.common import slices, stored
 from gridrun.llm.jaccard import small
-from gridrun.session import durable
 
 MIN_BYTES = 50
 RUN = 32  # starts in one row, a bit each
@@ -129,7 +128,8 @@ def shared_names(docs: DataFrame, min_bytes: int, bits: int) -> DataFrame:
             docs_out, names_out = [], []
             for a, b in zip(heads, tails, strict=True):
                 own, at = np.unique(index[a:b], return_inverse=True)
-                docs_out.append(np.int64(len(own)).tobytes() + table[own].tobytes() + at.astype(np.uint32).tobytes())
+                kind = np.uint16 if len(own) <= 1 << 16 else np.uint32
+                docs_out.append(np.int64(len(own)).tobytes() + table[own].tobytes() + at.astype(kind).tobytes())
                 names_out.append(packed[a:b].tobytes())
             yield _rows(bucket=bucket[heads], doc_id=None, name=None, docs=docs_out, names=names_out)
 
@@ -157,7 +157,7 @@ def shared_names(docs: DataFrame, min_bytes: int, bits: int) -> DataFrame:
                         yield done()
                     now, held = bucket, []
                 n = int(np.frombuffer(docs_in, dtype=np.int64, count=1)[0])
-                table, at = np.frombuffer(docs_in, dtype=np.int64, count=n, offset=8), np.frombuffer(docs_in, dtype=np.uint32, offset=8 + 8 * n)
+                table, at = np.frombuffer(docs_in, dtype=np.int64, count=n, offset=8), np.frombuffer(docs_in, dtype=np.uint16 if n <= 1 << 16 else np.uint32, offset=8 + 8 * n)
                 wide = np.zeros((len(at), 8), dtype=np.uint8)
                 wide[:, : KEY_BITS // 8] = np.frombuffer(names_in, dtype=np.uint8).reshape(len(at), -1)
                 held.append((wide.view(np.uint64).ravel(), table[at]))
@@ -280,14 +280,24 @@ def dedup_substrings(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     Rows with the same doc_id are one document for this: neither is smaller. Rows with a null doc_id have no place
     in the order and stay whole. Texts are whole, whatever their length. No rows in, no rows out.
     """
-    known = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= min_bytes))
-    bits = _bits_for(known)
-    names = durable(shared_names(known, min_bytes, bits).groupBy("doc_id").agg(F.collect_set("name").alias("names")))
+    source = docs.select("doc_id", "text")
+    long = source.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= min_bytes))
+    # a text that a smaller document has as a whole goes as a whole, and what it holds is found in that one too
+    hashes = [F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")]
+    texts = long.select("doc_id", *hashes)
+    firsts = texts.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last").drop("last")
+    copies = stored(texts.join(firsts, ["h1", "h2"]).where("doc_id > first").select("doc_id", "h1", "h2").distinct())
+    marked = small(copies)
+    split = source.select("doc_id", "text", *hashes)
+    same = split.join(marked, ["doc_id", "h1", "h2"], "left_semi").select("doc_id", "text")
+    source = split.join(marked, ["doc_id", "h1", "h2"], "left_anti").select("doc_id", "text")
+    known = source.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= min_bytes))
+    bits = _bits_for(long)
+    names = stored(shared_names(known, min_bytes, bits).groupBy("doc_id").agg(F.collect_set("name").alias("names")))
     touched = known.join(small(names.select("doc_id")), "doc_id", "left_semi")
     starts = removed_starts(touched, names, min_bytes, bits)
-    spans = durable(starts.groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("mask").alias("masks")))
+    spans = stored(starts.groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("mask").alias("masks")))
     mine = small(spans.select("doc_id"))
-    source = docs.select("doc_id", "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches):
@@ -307,4 +317,6 @@ def dedup_substrings(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     data = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     zero = F.lit(0).cast("long")
     whole = source.join(mine, "doc_id", "left_anti").select("doc_id", F.octet_length(data).cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2(data, 256).alias("kept_sha256"), data.alias("kept"))
-    return changed.unionByName(whole)
+    n_bytes = F.octet_length("text").cast("long")
+    gone = same.select("doc_id", n_bytes.alias("n_bytes"), n_bytes.alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit(b""), 256).alias("kept_sha256"), F.lit(b"").alias("kept"))
+    return changed.unionByName(whole).unionByName(gone)
