@@ -17,10 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridrun.llm.common import slices, stored
-from gridrun.llm.minhash import band_tables, bands_for, components, shingle_hashes
+from gridrun.llm.minhash import band_tables, bands_for, components, shingle_table
 
 THRESHOLD, SHINGLE, ROWS, RECALL = 0.8, 5, 3, 0.9999
 BLOCK = 200
+#: Groups up to this size are compared together, larger ones by matrix products.
+FEW = 8
+HELD_CHARS = 3_000_000
 SMALL_ROWS = 500_000
 
 
@@ -58,16 +61,39 @@ def _blocked(members: DataFrame, block: int) -> DataFrame:
     return other.select("bh", "u", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
 
 
-def intersections(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of all the sets, by products of incidence matrices in pieces of bounded size."""
-    m = len(sets)
-    sizes = np.array([len(s) for s in sets])
-    ids, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+def _distinct(key: np.ndarray, owner: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct shingles of each text in a row, their texts, and where each text begins (one more at the end)."""
+    begin = np.searchsorted(owner, np.arange(texts + 1))
+    for a, b in zip(begin[:-1], begin[1:], strict=True):
+        key[a:b].sort()
+    new = np.ones(len(key), dtype=bool)
+    new[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
+    key, owner = key[new], owner[new]
+    return key, owner, np.searchsorted(owner, np.arange(texts + 1))
+
+
+def few_in_common(key: np.ndarray, owner: np.ndarray, group: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of texts of one group (of ``most`` texts at most) with shingles in common, and how many: ``(a, b, common)``."""
+    order = np.lexsort((owner, key, group[owner]))
+    key, owner, found = key[order], owner[order], []
+    of = group[owner]
+    for step in range(1, most):
+        same = (key[:-step] == key[step:]) & (of[:-step] == of[step:])
+        if not same.any():
+            break
+        found.append((owner[:-step][same] << 32) | owner[step:][same])
+    pairs, common = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
+    return pairs >> 32, pairs & 0xFFFFFFFF, common
+
+
+def many_in_common(key: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Sizes of all intersections of the texts of one large group, by products of incidence matrices in pieces of bounded size."""
+    m = len(begin) - 1
+    owner = np.repeat(np.arange(m), np.diff(begin))
+    ids, inverse, counts = np.unique(key, return_inverse=True, return_counts=True)
     shared = counts > 1
-    owner = np.repeat(np.arange(m), sizes)
     keep = shared[inverse]
-    column = (np.cumsum(shared) - 1)[inverse[keep]]
-    owner = owner[keep]
+    column, owner = (np.cumsum(shared) - 1)[inverse[keep]], owner[keep]
     out = np.zeros((m, m), dtype=np.float64)
     width = max(256, 4_000_000 // m)
     order = np.argsort(column, kind="stable")
@@ -80,7 +106,7 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _forest(pairs: np.ndarray, m: int) -> np.ndarray:
+def _forest(pairs: list[tuple[int, int]], m: int) -> np.ndarray:
     """Least member that each of ``m`` members is linked with, over any number of links."""
     root = np.arange(m)
 
@@ -101,43 +127,49 @@ def verified(members: DataFrame, texts: DataFrame, threshold: float = THRESHOLD,
     home = members.groupBy("u").agg(F.sort_array(F.collect_set("bh")).alias("homes"))  # as many as there are bands at most
     rows = _blocked(members, block).join(home, "u").join(texts.select("u", "text"), "u").repartition("bh", "i", "j").sortWithinPartitions("bh", "i", "j", "u")
 
-    def group(key: tuple, us: list, own: list, homes: list, texts: list) -> tuple[list, list, list]:
-        m = len(us)
-        sets = [shingle_hashes(t, n) for t in texts]
-        sizes = np.array([len(s) for s in sets], dtype=np.float64)
-        common = intersections(sets)
-        close = common >= threshold * (sizes[:, None] + sizes[None, :] - common) - 1e-9
-        np.fill_diagonal(close, False)
-        if key[1] != key[2]:  # within its own blocks a pair is verified elsewhere
-            close &= np.array(own)[:, None] != np.array(own)[None, :]
-        links = np.zeros(m, dtype=np.int64)
-        pairs = np.argwhere(np.triu(close))
-        for a, b in pairs:
-            if next(h for h in homes[a] if h in homes[b]) == key[0]:
-                links[a] += 1
-                links[b] += 1
-        at = np.flatnonzero(close.any(axis=1))
-        root = _forest(pairs, m)
-        return [us[x] for x in at], links[at].tolist(), [us[root[x]] for x in at]
+    def judged(held: list[tuple]) -> pa.RecordBatch:
+        """Whole groups: their rows ``(bh, i, j, u, own, homes, text)``, a group's in a row."""
+        heads = [x for x in range(len(held)) if not x or held[x][:3] != held[x - 1][:3]]
+        sizes = np.diff([*heads, len(held)])
+        group = np.repeat(np.arange(len(heads)), sizes)
+        own = np.array([r[4] for r in held])
+        key, owner, begin = _distinct(*shingle_table([r[6] for r in held], n)[:2], len(held))
+        count = np.diff(begin)
+        little = sizes[group] <= FEW
+        part = little[owner]
+        found = [few_in_common(key[part], owner[part], group, FEW)]
+        for g in np.flatnonzero(sizes > FEW):
+            a, b = heads[g], heads[g] + sizes[g]
+            common = np.triu(many_in_common(key[begin[a] : begin[b]], begin[a : b + 1] - begin[a]), 1)
+            x, y = np.nonzero(common)
+            found.append((x + a, y + a, common[x, y]))
+        a, b, common = (np.concatenate([f[i] for f in found]) for i in range(3))
+        split = np.array([held[h][1] != held[h][2] for h in heads])[group[a]] if len(a) else np.zeros(0, dtype=bool)
+        close = (common >= threshold * (count[a] + count[b] - common) - 1e-9) & ~(split & (own[a] == own[b]))  # within its own blocks a pair is verified elsewhere
+        a, b = a[close].tolist(), b[close].tolist()
+        links = np.zeros(len(held), dtype=np.int64)
+        for x, y in zip(a, b, strict=True):
+            if next(h for h in held[x][5] if h in held[y][5]) == held[x][0]:
+                links[x] += 1
+                links[y] += 1
+        root = _forest(list(zip(a, b, strict=True)), len(held))
+        at = sorted({*a, *b})
+        columns = ([held[x][3] for x in at], links[at].tolist(), [held[root[x]][3] for x in at])
+        return pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in columns], names=["u", "links", "root"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64()] * 3
-        key, held = None, []
-
-        def done() -> pa.RecordBatch:
-            u, own, homes, text = zip(*held, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(group(key, u, own, [list(h) for h in homes], text), kinds, strict=True)], names=["u", "links", "root"])
-
+        held: list[tuple] = []
+        size = 0  # characters held
         for part, texts in slices(batches):
             cols = [part.column(c).to_pylist() for c in ("bh", "i", "j", "u", "own", "homes")]
-            for bh, i, j, u, own, homes, text in zip(*cols, texts, strict=True):
-                if (bh, i, j) != key:
-                    if len(held) > 1:
-                        yield done()
-                    key, held = (bh, i, j), []
-                held.append((u, own, homes, text))
-        if len(held) > 1:
-            yield done()
+            for row in zip(*cols, texts, strict=True):
+                if size > HELD_CHARS and row[:3] != held[-1][:3]:
+                    yield judged(held)
+                    held, size = [], 0
+                held.append(row)
+                size += len(row[6])
+        if held:
+            yield judged(held)
 
     return rows.mapInArrow(scan, "u bigint, links bigint, root bigint")
 

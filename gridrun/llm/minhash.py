@@ -19,32 +19,16 @@ def bands_for(threshold: float, recall: float, rows: int) -> int:
     return int(np.ceil(np.log1p(-recall) / np.log1p(-(threshold**rows))))
 
 
-def shingle_hashes(text: str | None, n: int = 5, known: dict[str, int] | None = None) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the ``n``-word shingles; a text of fewer words is one shingle, one without words none."""
-    words = WORDS.findall(text) if text else []
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    known = {} if known is None else known
-    digest = xxhash.xxh3_64_intdigest
-    hashes = np.array([known[w] if w in known else known.setdefault(w, digest(w)) for w in words], dtype=np.uint64)
-    if len(known) > 200_000:
-        known.clear()
-    size = min(n, len(words))
-    with np.errstate(over="ignore"):
-        key = np.full(len(words) - size + 1, size, dtype=np.uint64)
-        for i in range(size):
-            key = (key ^ hashes[i : len(words) - size + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
-            key ^= key >> np.uint64(32)
-    return np.unique(key)
-
-
 def coefficients(count: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(SEED)
     return rng.integers(1, 1 << 63, count, dtype=np.uint64) | np.uint64(1), rng.integers(0, 1 << 63, count, dtype=np.uint64)
 
 
-def band_tables(texts: list, bands: int, rows: int, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Band hashes of the texts with words, one row each, and which texts these are. MinHash values are minima over all shingles."""
+def shingle_table(texts: list, n: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shingle hashes of all texts in a row, which text each belongs to, and which texts have words.
+
+    A text under ``n`` words has one shingle of all its words. Repeats are kept.
+    """
     digest, known, hashes, counts = xxhash.xxh3_64_intdigest, {}, [], []
     for t in texts:
         words = WORDS.findall(t) if t else []
@@ -56,11 +40,8 @@ def band_tables(texts: list, bands: int, rows: int, n: int = 5) -> tuple[np.ndar
             hashes.append(h)
     count = np.array(counts, dtype=np.int64)
     has = np.flatnonzero(count)
-    if not len(has):
-        return np.zeros((0, bands), dtype=np.int64), has
     word = np.array(hashes, dtype=np.uint64)
-    count = count[has]
-    owner = np.repeat(np.arange(len(has)), count)
+    owner = np.repeat(np.arange(len(count)), count)
     left = np.repeat(np.cumsum(count), count) - np.arange(len(word))  # words from here to the end of the text
     size = np.minimum(count, n)[owner]
     padded = np.concatenate([word, np.zeros(n, dtype=np.uint64)])
@@ -69,10 +50,19 @@ def band_tables(texts: list, bands: int, rows: int, n: int = 5) -> tuple[np.ndar
         for i in range(n):
             step = (key ^ padded[i : i + len(word)]) * np.uint64(0x9E3779B97F4A7C15)
             key = np.where(i < size, step ^ (step >> np.uint64(32)), key)
-        key, owner = key[left >= size], owner[left >= size]
-        starts = np.searchsorted(owner, np.arange(len(has)))
-        a, b = coefficients(bands * rows)
-        out = np.tile(np.arange(1, bands + 1, dtype=np.uint64), (len(has), 1))
+    inside = left >= size
+    return key[inside], owner[inside], has
+
+
+def band_tables(texts: list, bands: int, rows: int, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Band hashes of the texts with words, one row each, and which texts these are. MinHash values are minima over all shingles."""
+    key, owner, has = shingle_table(texts, n)
+    if not len(has):
+        return np.zeros((0, bands), dtype=np.int64), has
+    starts = np.searchsorted(owner, has)
+    a, b = coefficients(bands * rows)
+    out = np.tile(np.arange(1, bands + 1, dtype=np.uint64), (len(has), 1))
+    with np.errstate(over="ignore"):
         for i in range(bands * rows):
             values = key * a[i] + b[i]
             values ^= values >> np.uint64(29)

@@ -33,55 +33,73 @@ def lines(docs: DataFrame, min_words: int) -> DataFrame:
     return split.where(F.regexp_count("text", F.lit(WORD)) >= min_words).withColumn("u", F.xxhash64("text"))
 
 
-def line_marks(text: str, window: int, shingle: int) -> list[tuple[int, int, int]]:
-    """``(hash, first character, end)`` of the selected shingles of one line: the least of every stretch of ``window`` words."""
-    found = list(WORDS.finditer(text))
-    if len(found) < window:
-        return []
-    words = np.array([xxhash.xxh3_64_intdigest(m.group()) for m in found], dtype=np.uint64)
-    n = len(words) - shingle + 1
+def slice_marks(texts: list, window: int, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(text, word, hash)`` of the selected shingles of a slice of texts: the least of every stretch of ``window`` words of a line."""
+    digest, known, hashes, per_line, owner = xxhash.xxh3_64_intdigest, {}, [], [], []
+    for i, text in enumerate(texts):
+        for line in (text or "").split("\n"):
+            words = WORDS.findall(line)
+            per_line.append(len(words))
+            owner.append(i)
+            for w in words:
+                h = known.get(w)
+                if h is None:
+                    h = known[w] = digest(w)
+                hashes.append(h)
+    count, owner = np.array(per_line, dtype=np.int64), np.array(owner, dtype=np.int64)
+    key, length = np.array(hashes, dtype=np.uint64), 1
+    none = np.zeros(0, dtype=np.int64)
+    if len(key) < window:
+        return none, none, none
+    line_of = np.repeat(np.arange(len(count)), count)
+    text_of = owner[line_of]
+    first = np.searchsorted(text_of, np.arange(len(texts)))  # first word of each text
     with np.errstate(over="ignore"):
-        key = np.full(n, shingle, dtype=np.uint64)
-        for i in range(shingle):
-            key = (key ^ words[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
-            key ^= key >> np.uint64(32)
-    width = window - shingle + 1
-    # leftmost place of the minimum of each stretch
-    views = np.lib.stride_tricks.sliding_window_view(key, width)
-    at = np.unique(np.arange(len(views)) + views.argmin(axis=1))
-    return [(int(key[i].view(np.int64)), found[i].start(), found[i + shingle - 1].end()) for i in at]
+        while length < shingle:  # names of runs of words by doubling
+            step = min(length, shingle - length)
+            key = (key[:-step] ^ (key[step:] * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xC2B2AE3D27D4EB4F)
+            key ^= key >> np.uint64(29)
+            length += step
+    least, length, width = key, 1, window - shingle + 1
+    while length < width:
+        step = min(length, width - length)
+        least = np.minimum(least[:-step], least[step:])
+        length += step
+    least = np.where(line_of[: len(least)] == line_of[window - 1 :], least, np.uint64(0))
+    # a shingle is selected if it is the least of a stretch that holds it, so if the greatest of these least ones is its own
+    most, length = np.concatenate([np.zeros(width - 1, dtype=np.uint64), least, np.zeros(width - 1, dtype=np.uint64)]), 1
+    while length < width:
+        step = min(length, width - length)
+        most = np.maximum(most[:-step], most[step:])
+        length += step
+    at = np.flatnonzero((most == key) & (most != 0))
+    return text_of[at], at - first[text_of[at]], key[at].view(np.int64)
 
 
 def marks(docs: DataFrame, window: int, shingle: int) -> DataFrame:
-    """``mark, doc_id, start, end``: the selected shingles of all lines, by code point in the text."""
+    """``mark, doc_id, word``: the selected shingles of all lines, by number of their first word in the text."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches):
-            rows: list[tuple[int, int, int, int]] = []
-            for doc, text in zip(part.column("doc_id").to_pylist(), texts, strict=True):
-                at = 0
-                for line in (text or "").split("\n"):
-                    rows += [(h, doc, at + a, at + b) for h, a, b in line_marks(line, window, shingle)]
-                    at += len(line) + 1
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in zip(*rows, strict=True)], names=["mark", "doc_id", "start", "end"])
+            owner, word, mark = slice_marks(texts, window, shingle)
+            yield pa.RecordBatch.from_arrays([pa.array(mark), part.column("doc_id").cast(pa.int64()).take(pa.array(owner)), pa.array(word)], names=["mark", "doc_id", "word"])
 
-    return docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInArrow(scan, "mark bigint, doc_id bigint, start bigint, end bigint")
+    return docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInArrow(scan, "mark bigint, doc_id bigint, word bigint")
 
 
 def repeated_marks(docs: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
-    """``doc_id, start, end, first``: marks that a smaller document has too, and the least such document."""
+    """``doc_id, word, first``: marks that a smaller document has too, and the least such document."""
     found = stored(marks(docs, window, shingle))
     shared = found.groupBy("mark").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last").select("mark", "first")
-    return found.join(small(stored(shared)), "mark").where("doc_id > first").select("doc_id", "start", "end", "first")
+    return found.join(small(stored(shared)), "mark").where("doc_id > first").select("doc_id", "word", "first")
 
 
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, threshold: float = THRESHOLD, rows: int = ROWS, recall: float = RECALL) -> DataFrame:
     """``doc_id, line, first``: paragraphs that are not the first of their class, and the document of the first."""
     units = lines(docs, min_words)
+    places = stored(units.select("doc_id", "line", "u"))
     found = stored(band_rows(units, bands_for(threshold, recall, rows), rows, WORD_SHINGLE))
     _, labels = near_links(units, found, threshold, WORD_SHINGLE)
-    places = units.select("doc_id", "line", "u")
     copies = places.groupBy("u").agg(F.min(F.struct("doc_id", "line")).alias("least"), F.count("*").alias("n"))
     classed = copies.join(small(stored(labels)), "u", "left").where("n > 1 OR label IS NOT NULL").withColumn("label", F.coalesce("label", "u"))
     kept = stored(classed)
@@ -91,11 +109,12 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, threshold: float
     return out.select("doc_id", "line", F.col("first.doc_id").alias("first"))
 
 
-def cut_text(text: str, gone_lines: list[int], spans: list[tuple[int, int]]) -> tuple[str, int]:
-    """The text without the lines and spans, and the number of words that went."""
+def cut_text(text: str, gone_lines: list[int], marked: list[int], shingle: int) -> tuple[str, int]:
+    """The text without the lines and the marked runs of ``shingle`` words, and the number of words that went."""
     starts = [0] + [m.end() for m in re.finditer("\n", text)]
     ends = [*starts[1:], len(text)]
-    cuts = sorted([*((starts[i], ends[i]) for i in gone_lines), *spans])
+    places = [m.span() for m in WORDS.finditer(text)] if marked else []
+    cuts = sorted([*((starts[i], ends[i]) for i in gone_lines), *((places[i][0], places[i + shingle - 1][1]) for i in marked)])
     out, at, words = [], 0, 0
     for a, b in cuts:
         a = max(a, at)
@@ -116,19 +135,18 @@ def dedup_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, window: int =
     document. No rows in, no rows out.
     """
     by_line = repeated_lines(docs, min_words, **tuning).groupBy("doc_id").agg(F.collect_set("line").alias("lines"), F.collect_set("first").alias("f1"))
-    by_mark = repeated_marks(docs, window, shingle).groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("spans"), F.collect_set("first").alias("f2"))
-    both = by_line.join(by_mark, "doc_id", "full").select("doc_id", "lines", F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends"), F.array_sort(F.array_union(F.coalesce("f1", F.array().cast("array<bigint>")), F.coalesce("f2", F.array().cast("array<bigint>")))).alias("first_docs"))
+    by_mark = repeated_marks(docs, window, shingle).groupBy("doc_id").agg(F.collect_set("word").alias("words"), F.collect_set("first").alias("f2"))
+    both = by_line.join(by_mark, "doc_id", "full").select("doc_id", "lines", "words", F.array_sort(F.array_union(F.coalesce("f1", F.array().cast("array<bigint>")), F.coalesce("f2", F.array().cast("array<bigint>")))).alias("first_docs"))
     found = stored(both)
     mine = small(found.select("doc_id"))
     source = docs.select("doc_id", "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches):
-            cols = [part.column(c).to_pylist() for c in ("lines", "starts", "ends")]
+            cols = [part.column(c).to_pylist() for c in ("lines", "words")]
             rows = []
-            for text, gone, starts, ends in zip(texts, *cols, strict=True):
-                spans = list(zip(starts or [], ends or [], strict=True))
-                rows.append((len(gone or []), len(spans), *cut_text(text or "", gone or [], spans)[::-1]))
+            for text, gone, marked in zip(texts, *cols, strict=True):
+                rows.append((len(gone or []), len(marked or []), *cut_text(text or "", gone or [], marked or [], shingle)[::-1]))
             lines_gone, n_spans, words, kept = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(lines_gone, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(words, pa.int64()), part.column("first_docs"), pa.array(kept, pa.string())],
                                              names=["doc_id", "n_removed_lines", "n_removed_spans", "n_removed_words", "first_docs", "text"])
