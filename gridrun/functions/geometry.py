@@ -61,6 +61,39 @@ def wkt(ring: Column) -> Column:
     return F.concat(F.lit("POLYGON (("), F.array_join(pts, ", "), F.lit("))"))
 
 
+def rings_area(rings: Column) -> Column:
+    """Area of a polygon of any rings: parts turn one way, holes the other."""
+    return F.abs(F.aggregate(rings, F.lit(0.0), lambda s, r: s + F.coalesce(signed_area(r), F.lit(0.0))))
+
+
+def rings_bbox(rings: Column) -> Column:
+    return bbox(F.flatten(rings))
+
+
+def rings_centroid(rings: Column) -> Column:
+    """Area centroid over all rings; holes, which turn the other way, count against it."""
+    def of(all_rings):
+        ox, oy = all_rings[0][0]["x"], all_rings[0][0]["y"]
+        zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+
+        def ring(s, r):
+            def add(t, i):
+                px, py, qx, qy = r[i]["x"] - ox, r[i]["y"] - oy, r[i + 1]["x"] - ox, r[i + 1]["y"] - oy
+                c = px * qy - qx * py
+                return F.struct((t["a"] + c).alias("a"), (t["x"] + (px + qx) * c).alias("x"), (t["y"] + (py + qy) * c).alias("y"))
+            return F.aggregate(_edges(r), s, add)
+
+        return F.aggregate(all_rings, zero, ring, lambda s: F.struct(
+            (ox + s["x"] / F.nullif(s["a"] * 3.0, F.lit(0.0))).alias("x"), (oy + s["y"] / F.nullif(s["a"] * 3.0, F.lit(0.0))).alias("y")))
+
+    return let(rings, of)
+
+
+def rings_wkt(rings: Column) -> Column:
+    """Text of every ring, in order; empty for no rings."""
+    return F.array_join(F.transform(rings, wkt), ";")
+
+
 def clip_half_plane(ring: Column, axis: str, limit: Column, keep_above: bool) -> Column:
     """One Sutherland-Hodgman step on a closed ring; the result is closed again.
 

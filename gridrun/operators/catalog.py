@@ -71,9 +71,9 @@ def force_cells(grid: DataFrame, centroids: DataFrame, catalog: DataFrame, patch
 
 
 def feature_centroids(features: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Pixel of each outer ring's centroid, inside the raster only."""
+    """Pixel of each feature's area centroid over all its rings, inside the raster only."""
     dims = catalog.select("raster_id", "gt_a", "gt_c", "gt_e", "gt_f", "width", "height")
-    d = features.filter(F.size("rings") > 0).withColumn("p", G.centroid(F.col("rings")[0])).join(dims, "raster_id")
+    d = features.filter(F.size("rings") > 0).withColumn("p", G.rings_centroid(F.col("rings"))).join(dims, "raster_id")
     row = F.floor(F.round((F.col("p.y") - F.col("gt_f")) / F.col("gt_e"), 6)).cast("int")
     col = F.floor(F.round((F.col("p.x") - F.col("gt_c")) / F.col("gt_a"), 6)).cast("int")
     return d.select("raster_id", "feature_id", "class_id", row.alias("row"), col.alias("col"), "width", "height").filter(
@@ -90,7 +90,7 @@ def split_parts(multi: DataFrame) -> DataFrame:
 def crop_boxes(features: DataFrame, catalog: DataFrame, pad: float = 0.10, min_side: float = 32) -> DataFrame:
     """Padded box of each feature clipped to its raster; small or empty crops are dropped."""
     dims = catalog.select("raster_id", "gt_a", "gt_c", "gt_e", "gt_f", "width", "height")
-    d = features.filter(F.size("rings") > 0).withColumn("b", G.bbox(F.col("rings")[0])).join(dims, "raster_id")
+    d = features.filter(F.size("rings") > 0).withColumn("b", G.rings_bbox(F.col("rings"))).join(dims, "raster_id")
     d = d.select("raster_id", "feature_id", "class_id",
                  ((F.col("b.x0") - F.col("gt_c")) / F.col("gt_a")).alias("px0"), ((F.col("b.x1") - F.col("gt_c")) / F.col("gt_a")).alias("px1"),
                  ((F.col("b.y1") - F.col("gt_f")) / F.col("gt_e")).alias("py0"), ((F.col("b.y0") - F.col("gt_f")) / F.col("gt_e")).alias("py1"),

@@ -27,19 +27,20 @@ def overlapping_layers(layers: DataFrame, rasters: DataFrame) -> DataFrame:
 
 
 def clip_to_frame(features: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Outer ring clipped to the raster frame; parts without area are dropped."""
-    dims = frame_box(catalog).select("raster_id", "fx0", "fy0", "fx1", "fy1", "gt_a", "gt_e", "width", "height")
-    d = features.filter(F.size("rings") > 0).join(dims, "raster_id").withColumn("ring", F.col("rings")[0])
+    """All rings clipped to the raster frame, with the area of what is left (holes taken off); features without area are dropped."""
+    dims = frame_box(catalog).select("raster_id", "fx0", "fx1", "fy0", "fy1", "gt_a", "gt_e", "width", "height")
+    d = features.filter(F.size("rings") > 0).join(dims, "raster_id")
     b = F.col("_b")
-    d = d.withColumn("_b", G.bbox(F.col("ring")))
+    d = d.withColumn("_b", G.rings_bbox(F.col("rings")))
     d = d.filter((b["x1"] > F.col("fx0")) & (b["x0"] < F.col("fx1")) & (b["y1"] > F.col("fy0")) & (b["y0"] < F.col("fy1")))
-    # Only rings that reach over an edge are cut at that edge.
+    # Only features that reach over an edge are cut at that edge.
     for axis, limit, above in (("x", "fx0", True), ("x", "fx1", False), ("y", "fy0", True), ("y", "fy1", False)):
         inside = b[f"{axis}0"] >= F.col(limit) if above else b[f"{axis}1"] <= F.col(limit)
-        d = d.withColumn("ring", G.let(F.col("ring"), lambda r: F.when(inside, r).otherwise(
-            G.clip_half_plane(r, axis, F.col(limit), above))))
-    d = d.withColumn("_r", G.let(F.col("ring"), lambda r: F.struct(r.alias("ring"), G.area(r).alias("area_m2"))))
-    return d.withColumn("ring", F.col("_r.ring")).withColumn("area_m2", F.col("_r.area_m2")).drop("_r").filter("size(ring) >= 4 and area_m2 > 0").drop("fx0", "fy0", "fx1", "fy1", "_b")
+        cut = F.transform("rings", lambda r: G.let(r, lambda q: G.clip_half_plane(q, axis, F.col(limit), above)))
+        d = d.withColumn("rings", F.when(inside, F.col("rings")).otherwise(cut))
+    d = d.withColumn("rings", F.filter("rings", lambda r: F.size(r) >= 4))
+    d = d.withColumn("area_m2", G.rings_area(F.col("rings")))
+    return d.filter("area_m2 > 0").drop("fx0", "fy0", "fx1", "fy1", "_b")
 
 
 def window_candidates(boxes: DataFrame, windows: DataFrame, cell: int = 64, keep_windows: tuple[str, ...] = ("window_id",)) -> DataFrame:
@@ -78,42 +79,39 @@ def has_box_within(targets: DataFrame, others: DataFrame, reach: int, cell: int
 
 
 def self_crossing(features: DataFrame) -> DataFrame:
-    """Keys of features whose outer ring crosses itself.
+    """Keys of features with a ring that crosses itself or another ring of the feature.
 
     Segments meet through grid cells of about one mean segment per cell, so a
-    ring with many vertices is not compared pair by pair.
+    feature with many vertices is not compared pair by pair.
     """
     key = ["raster_id", "feature_id"]
     ring, i = F.col("ring"), F.col("i")
-    base = features.filter(F.size("rings") > 0).select(*key, F.col("rings")[0].alias("ring")).filter(F.size(ring) >= 4)
-    box = G.bbox(ring)
-    base = base.withColumn("n", F.size(ring) - 1).withColumn("b", box).withColumn(
-        "cs", F.greatest(F.greatest(F.col("b.x1") - F.col("b.x0"), F.col("b.y1") - F.col("b.y0")) / F.ceil(F.sqrt(F.col("n"))), F.lit(1e-9)))
-    seg = base.select(*key, "n", "cs", F.col("b.x0").alias("bx"), F.col("b.y0").alias("by"), "ring",
-                      F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i")).select(
-        *key, "n", "cs", "bx", "by", "i", ring[i]["x"].alias("ax"), ring[i]["y"].alias("ay"),
+    base = features.select(*key, F.filter("rings", lambda r: F.size(r) >= 4).alias("rings")).filter(F.size("rings") > 0)
+    base = base.withColumn("b", G.rings_bbox(F.col("rings"))).withColumn(
+        "cs", F.greatest(F.greatest(F.col("b.x1") - F.col("b.x0"), F.col("b.y1") - F.col("b.y0")) / F.ceil(F.sqrt(F.size(F.flatten("rings")) - F.size("rings"))), F.lit(1e-9)))
+    base = base.select(*key, "cs", F.col("b.x0").alias("bx"), F.col("b.y0").alias("by"), F.posexplode("rings").alias("k", "ring")).withColumn("n", F.size(ring) - 1)
+    seg = base.select(*key, "n", "cs", "bx", "by", "k", "ring", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i")).select(
+        *key, "n", "cs", "bx", "by", "k", "i", ring[i]["x"].alias("ax"), ring[i]["y"].alias("ay"),
         ring[i + 1]["x"].alias("zx"), ring[i + 1]["y"].alias("zy"))
     cells = lambda p, q, o: F.explode(F.sequence(F.floor((F.least(p, q) - F.col(o)) / F.col("cs")),
                                                  F.floor((F.greatest(p, q) - F.col(o)) / F.col("cs"))))
     seg = seg.select("*", cells("ax", "zx", "bx").alias("gx")).select("*", cells("ay", "zy", "by").alias("gy"))
-    a = seg.select(*key, "n", "gx", "gy", *[F.col(c).alias(f"{c}1") for c in ("i", "ax", "ay", "zx", "zy")])
-    b = seg.select(*key, "gx", "gy", *[F.col(c).alias(f"{c}2") for c in ("i", "ax", "ay", "zx", "zy")])
+    a = seg.select(*key, "n", "gx", "gy", *[F.col(c).alias(f"{c}1") for c in ("k", "i", "ax", "ay", "zx", "zy")])
+    b = seg.select(*key, "gx", "gy", *[F.col(c).alias(f"{c}2") for c in ("k", "i", "ax", "ay", "zx", "zy")])
     turn = "({2}-{0})*({5}-{1})-({3}-{1})*({4}-{0})"
     o = lambda *p: turn.format(*p)
     d1, d2 = o("ax1", "ay1", "zx1", "zy1", "ax2", "ay2"), o("ax1", "ay1", "zx1", "zy1", "zx2", "zy2")
     d3, d4 = o("ax2", "ay2", "zx2", "zy2", "ax1", "ay1"), o("ax2", "ay2", "zx2", "zy2", "zx1", "zy1")
     return (
-        a.join(b, [*key, "gx", "gy"]).filter("i2 > i1 + 1 and not (i1 = 0 and i2 = n - 1)")
+        a.join(b, [*key, "gx", "gy"]).filter("k2 > k1 or (k2 = k1 and i2 > i1 + 1 and not (i1 = 0 and i2 = n - 1))")
         .filter(f"signum({d1}) * signum({d2}) < 0 and signum({d3}) * signum({d4}) < 0").select(*key).distinct()
     )
 
 
 def validity(features: DataFrame) -> DataFrame:
     """Features with ``defect``: empty, too_few, unclosed, self_crossing or null."""
-    ring = F.col("rings")[0]
-    n = F.size(ring)
-    simple = F.when(F.size("rings") == 0, "empty").when(n == 0, "empty").when(n < 4, "too_few").when(
-        (ring[0]["x"] != ring[n - 1]["x"]) | (ring[0]["y"] != ring[n - 1]["y"]), "unclosed")
+    simple = F.when(F.size(F.flatten("rings")) == 0, "empty").when(F.exists("rings", lambda r: F.size(r) < 4), "too_few").when(
+        F.exists("rings", lambda r: (r[0]["x"] != F.element_at(r, -1)["x"]) | (r[0]["y"] != F.element_at(r, -1)["y"])), "unclosed")
     cross = self_crossing(features).withColumn("_x", F.lit(True))
     return features.withColumn("_s", simple).join(cross, ["raster_id", "feature_id"], "left").withColumn(
         "defect", F.coalesce("_s", F.when(F.col("_x"), "self_crossing"))).drop("_s", "_x")
@@ -122,7 +120,7 @@ def validity(features: DataFrame) -> DataFrame:
 def layer_defects(features: DataFrame, expected: DataFrame) -> DataFrame:
     """Invalid, empty and duplicate counts per (source, class); -1 thrice for a missing layer."""
     v = validity(features)
-    ring = F.when(F.size("rings") > 0, G.wkt(F.col("rings")[0])).otherwise("EMPTY")
+    ring = F.when(F.size("rings") > 0, G.rings_wkt(F.col("rings"))).otherwise("EMPTY")
     # Copies are counted per distinct geometry hash first, so a huge group of equal shapes shrinks early.
     per = v.select("source", "class_id", "defect", F.sha2(ring, 256).alias("h")).groupBy("source", "class_id", "h").agg(
         F.count("*").alias("n"), F.count_if((F.col("defect") != "empty") & F.col("defect").isNotNull()).alias("bad"),

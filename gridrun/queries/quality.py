@@ -236,7 +236,7 @@ def q10(s):
     from gridrun.operators.vector import clip_to_frame
     from gridrun.plans.vector_reports import repair_summary
     scan = s.catalog.agg(F.count_if(F.col("readable")).alias("readable"), F.count_if(~F.col("readable")).alias("quarantined"))
-    truth = clip_to_frame(s.rings, s.catalog).groupBy("class_id").agg(F.round(F.sum("area_m2"), 2).alias("clipped_area_m2"))
+    truth = clip_to_frame(s.shapes, s.catalog).groupBy("class_id").agg(F.round(F.sum("area_m2"), 2).alias("clipped_area_m2"))
     return repair_summary(s.layers, s.expected_layers).transform(with_row, scan).join(truth, "class_id", "left")
 
 

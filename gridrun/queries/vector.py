@@ -13,9 +13,14 @@ CTES.update({
     "wbox": """select f.*, 500000.0e0+2000*raster_id+5.0e0*c0 as x0, 500000.0e0+2000*raster_id+5.0e0*(c0+w) as x1,
   3200000.0e0-5.0e0*(r0+h) as y0, 3200000.0e0-5.0e0*r0 as y1,
   case when raster_id%3=0 then 'north' when raster_id%3=1 then 'south' else 'delta' end as source from feat f""",
-    "clipbox": """select *, least(c0+w,256)-c0 as cw, least(r0+h,256)-r0 as ch, 25.0e0*(least(c0+w,256)-c0)*(least(r0+h,256)-r0) as area_m2 from wbox""",
+    # Boxes of a feature: itself, a hole that counts against it, a second part.
+    "parts": """select raster_id, feature_id, class_id, c0, r0, w, h, 1 as turn from feat
+  union all select raster_id, feature_id, class_id, c0+8, r0+6, 8, 6, -1 from feat where class_id=4 and feature_id%5=0
+  union all select raster_id, feature_id, class_id, c0+30, r0+2, 4, 4, 1 from feat where class_id=3 and feature_id%7=0""",
+    "clipbox": """select raster_id, feature_id, class_id, sum(turn*25.0e0*greatest(least(c0+w,256)-c0,0)*greatest(least(r0+h,256)-r0,0)) as area_m2 from parts group by 1,2,3""",
     "layr": """select b.*, b.feature_id*2+k.copy as fid, k.copy, case when b.feature_id%31=0 then 'empty' when b.feature_id%23=0 then 'self_crossing'
-   when b.feature_id%29=0 then 'unclosed' end as defect from wbox b, (select unnest([0,1]) as copy) k
+   when b.feature_id%29=0 then 'unclosed' when b.feature_id%41=0 then 'self_crossing' end as defect,
+   (b.feature_id%5=0 and class_id=4)::int + 2*(b.feature_id%7=0 and class_id=3)::int + 4*(b.feature_id%41=0)::int as extra from wbox b, (select unnest([0,1]) as copy) k
    where not (source='delta' and class_id=2) and (k.copy=0 or b.feature_id%37=0)""",
     "windows": "select raster_id, r.v*2+c.v as window_id, r.v*128 as wr, c.v*128 as wc, 128 as wh, 128 as ww from catalog, (select unnest([0,1]) v) r, (select unnest([0,1]) v) c",
     "explayer": "select distinct source, d.class_id from catalog, dim_class d where d.class_id>0",
@@ -76,10 +81,11 @@ def r19(s):
         F.col("row").cast("long") * 256 * n + ((F.col("c0") + F.col("c1")).cast("long") * n / 2).cast("long")).alias("pos_sum"))
 
 
-@query("r27_feature_centroids", "select raster_id, feature_id, class_id, cast(floor(r0+h/2.0e0) as int) as row, cast(floor(c0+w/2.0e0) as int) as col from feat where r0+h/2.0e0<256 and c0+w/2.0e0<256")
+@query("r27_feature_centroids", """with p as (select raster_id, feature_id, class_id, sum(turn*w*h*(r0+h/2.0e0))/sum(turn*w*h) as y, sum(turn*w*h*(c0+w/2.0e0))/sum(turn*w*h) as x from parts group by 1,2,3)
+  select raster_id, feature_id, class_id, cast(floor(round(y,6)) as int) as row, cast(floor(round(x,6)) as int) as col from p where round(y,6)<256 and round(x,6)<256""")
 def r27(s):
     from gridrun.operators.catalog import feature_centroids
-    return feature_centroids(s.rings, s.catalog).select("raster_id", "feature_id", "class_id", "row", "col")
+    return feature_centroids(s.shapes, s.catalog).select("raster_id", "feature_id", "class_id", "row", "col")
 
 
 @query("a42_centroid_counts", """select coalesce(raster_id,-1) as raster_id, class_id, count(*) as n from (select raster_id, class_id from feat
@@ -116,14 +122,14 @@ def j03(s):
 
 @query("j04_clip_to_frame", "select raster_id, class_id, count(*) as polygons, round(sum(area_m2),3) as area_m2 from clipbox group by 1,2")
 def j04(s):
-    return VE.clip_to_frame(s.rings, s.catalog).groupBy("raster_id", "class_id").agg(
+    return VE.clip_to_frame(s.shapes, s.catalog).groupBy("raster_id", "class_id").agg(
         F.count("*").alias("polygons"), F.round(F.sum("area_m2"), 3).alias("area_m2"))
 
 
 @query("a28_vector_truth", """with p as (select raster_id, class_id, count(*) n, sum(area_m2) a from clipbox group by 1,2)
   select class_id, round(sum(a),2) as area_m2, cast(sum(cast(floor(a/25.0e0) as bigint)) as bigint) as px_estimate, count(*) as rasters, cast(sum(n) as bigint) as polygons from p group by 1""")
 def a28(s):
-    per = VE.clip_to_frame(s.rings, s.catalog).groupBy("raster_id", "class_id", (F.abs(F.col("gt_a") * F.col("gt_e"))).alias("px_area")).agg(
+    per = VE.clip_to_frame(s.shapes, s.catalog).groupBy("raster_id", "class_id", (F.abs(F.col("gt_a") * F.col("gt_e"))).alias("px_area")).agg(
         F.count("*").alias("n"), F.round(F.sum("area_m2"), 6).alias("a"))
     return per.groupBy("class_id").agg(F.round(F.sum("a"), 2).alias("area_m2"), F.sum(F.floor(F.col("a") / F.col("px_area"))).alias("px_estimate"),
                                        F.count("*").alias("rasters"), F.sum("n").alias("polygons"))
@@ -137,7 +143,7 @@ def a28(s):
   round(n3/(village/10000.0e0),6) as building_density_per_ha, round(n4/(village/1000000.0e0),6) as water_body_density_per_km2, round(built/nullif(water,0),6) as built_to_water_ratio from p""")
 def a29(s):
     from gridrun.plans.vector_reports import stakeholder_indicators
-    d = stakeholder_indicators(VE.clip_to_frame(s.rings, s.catalog), s.catalog)
+    d = stakeholder_indicators(VE.clip_to_frame(s.shapes, s.catalog), s.catalog)
     return d.select("raster_id", *[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in d.dtypes if c != "raster_id"])
 
 
@@ -151,16 +157,16 @@ def f12(s):
     return VE.validity(s.layers).filter("defect is not null").select("raster_id", "feature_id", "defect")
 
 
-@query("a30_geometry_defects", """with g as (select source, class_id, case when defect='empty' then 'E' else concat_ws('|', raster_id, c0, r0, w, h, coalesce(defect,'')) end as shape, defect from layr),
+@query("a30_geometry_defects", """with g as (select source, class_id, case when defect='empty' then 'E' else concat_ws('|', raster_id, c0, r0, w, h, case when defect is null or feature_id%41=0 then extra end, coalesce(defect,'')) end as shape, defect from layr),
   c as (select source, class_id, count(*) filter (defect is not null and defect<>'empty') as invalid, count(*) filter (defect='empty') as empty, count(*)-count(distinct shape) as duplicate from g group by 1,2)
   select e.source, e.class_id, coalesce(invalid,-1) as invalid, coalesce(empty,-1) as empty, coalesce(duplicate,-1) as duplicate from explayer e left join c using (source, class_id)""")
 def a30(s):
     return VE.layer_defects(s.layers, s.expected_layers).select("source", "class_id", "invalid", "empty", "duplicate")
 
 
-@query("u08_geometry_dedup", """select source, class_id, count(distinct concat_ws('|', raster_id, c0, r0, w, h, coalesce(defect,''))) as shapes from layr where defect is distinct from 'empty' group by 1,2""")
+@query("u08_geometry_dedup", """select source, class_id, count(distinct concat_ws('|', raster_id, c0, r0, w, h, case when defect is null or feature_id%41=0 then extra end, coalesce(defect,''))) as shapes from layr where defect is distinct from 'empty' group by 1,2""")
 def u08(s):
-    d = s.layers.filter(F.size("rings") > 0).withColumn("wkt", G.wkt(F.col("rings")[0])).dropDuplicates(["source", "class_id", "wkt"])
+    d = s.layers.filter(F.size("rings") > 0).withColumn("wkt", G.rings_wkt(F.col("rings"))).dropDuplicates(["source", "class_id", "wkt"])
     return d.groupBy("source", "class_id").agg(F.count("*").alias("shapes"))
 
 
@@ -194,8 +200,8 @@ def r31(s):
 @query("f08_attribute_and_intersects", "select raster_id, feature_id, cast(feature_id%6 as int) as roof_type from feat where class_id=3 and feature_id%6 in (1,2,3,4)")
 def f08(s):
     """Built-up features with a known code that meet their raster."""
-    b = G.bbox(F.col("rings")[0])
-    f = s.rings.filter("class_id = 3").withColumn("roof_type", F.expr("cast(feature_id % 6 as int)")).filter(F.col("roof_type").isin(1, 2, 3, 4))
+    b = G.rings_bbox(F.col("rings"))
+    f = s.shapes.filter("class_id = 3").withColumn("roof_type", F.expr("cast(feature_id % 6 as int)")).filter(F.col("roof_type").isin(1, 2, 3, 4))
     d = f.withColumn("b", b).join(VE.frame_box(s.catalog).select("raster_id", "fx0", "fx1", "fy0", "fy1"), "raster_id")
     return d.filter("b.x0 <= fx1 and b.x1 >= fx0 and b.y0 <= fy1 and b.y1 >= fy0").select("raster_id", "feature_id", "roof_type")
 

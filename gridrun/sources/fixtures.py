@@ -92,18 +92,32 @@ class Survey:
             "raster_id", "feature_id", "class_id", "c0", "r0", "w", "h",
             F.array(F.array(pt(c0, r0), pt(c1, r0), pt(c1, r1), pt(c0, r1), pt(c0, r0))).alias("rings"))
 
+    @cached_property
+    def shapes(self) -> DataFrame:
+        """Rings with planted holes (turning the other way) in class 4 and second parts in class 3."""
+        pt = lambda c, r: F.struct(
+            (F.lit(500000.0) + F.col("raster_id") * 2000 + GSD * c).cast("double").alias("x"),
+            (F.lit(3200000.0) - GSD * r).cast("double").alias("y"))
+        box = lambda c0, r0, w, h: [pt(c0, r0), pt(c0 + w, r0), pt(c0 + w, r0 + h), pt(c0, r0 + h), pt(c0, r0)]
+        c0, r0 = F.col("c0"), F.col("r0")
+        more = (F.when(F.expr("class_id = 4 and feature_id % 5 = 0"), F.array(F.array(*box(c0 + 8, r0 + 6, 8, 6)[::-1])))
+                .when(F.expr("class_id = 3 and feature_id % 7 = 0"), F.array(F.array(*box(c0 + 30, r0 + 2, 4, 4))))
+                .otherwise(F.array().cast("array<array<struct<x:double,y:double>>>")))
+        return self.rings.withColumn("rings", F.concat("rings", more))
+
     @cached_property
     def layers(self) -> DataFrame:
-        """Rings tagged with their source, with planted defects; one layer is missing."""
+        """Shapes tagged with their source, with planted defects; one layer is missing."""
         ring = F.col("rings")[0]
         bow = F.array(ring[0], ring[2], ring[1], ring[3], ring[0])
         rings = (F.when(F.expr("feature_id % 31 = 0"), F.array().cast("array<array<struct<x:double,y:double>>>"))
                  .when(F.expr("feature_id % 23 = 0"), F.array(bow))
                  .when(F.expr("feature_id % 29 = 0"), F.array(F.slice(ring, 1, 4)))
+                 .when(F.expr("feature_id % 41 = 0"), F.array(ring, bow))
                  .otherwise(F.col("rings")))
         twice = F.explode(F.when(F.expr("feature_id % 37 = 0"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
         src = F.expr("case when raster_id%3=0 then 'north' when raster_id%3=1 then 'south' else 'delta' end")
-        return (self.rings.withColumn("source", src).filter("not (source = 'delta' and class_id = 2)")
+        return (self.shapes.withColumn("source", src).filter("not (source = 'delta' and class_id = 2)")
                 .withColumn("rings", rings).withColumn("copy", twice)
                 .withColumn("feature_id", F.col("feature_id") * 2 + F.col("copy")))
 
