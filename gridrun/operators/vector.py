@@ -130,8 +130,20 @@ def layer_defects(features: DataFrame, expected: DataFrame) -> DataFrame:
     return expected.join(got, ["source", "class_id"], "left").fillna(-1, ["invalid", "empty", "duplicate"])
 
 
-def _repair_ring(ring):
-    """Closed, de-duplicated simple parts of one ring.
+def _turn(ring) -> float:
+    """Twice the signed area of a ring, closed or not."""
+    pts = [(p["x"], p["y"]) for p in ring]
+    return sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(pts, pts[1:] + pts[:1], strict=True))
+
+
+def _repair_rings(rings):
+    """Repaired rings of one feature: parts turn counter-clockwise, holes (rings turning against the first one) clockwise."""
+    first = _turn(rings[0]) if len(rings) else 0.0
+    return [part for k, r in enumerate(rings) for part in _repair_ring(r, hole=k > 0 and _turn(r) * first < 0)]
+
+
+def _repair_ring(ring, hole=False):
+    """Closed, de-duplicated simple parts of one ring, turning clockwise for a hole.
 
     A crossing splits the ring in two at the crossing point; parts with area survive.
     """
@@ -168,7 +180,7 @@ def _repair_ring(ring):
             continue
         a = sum(r[k][0] * r[(k + 1) % n][1] - r[(k + 1) % n][0] * r[k][1] for k in range(n))
         if a:
-            r = r if a > 0 else r[::-1]
+            r = r if (a > 0) != hole else r[::-1]
             done.append([{"x": p[0], "y": p[1]} for p in r + r[:1]])
     return done
 
@@ -177,7 +189,7 @@ def repair(features: DataFrame) -> DataFrame:
     """Make rings valid, keep polygonal parts, drop empty ones and exact copies."""
     @F.pandas_udf(RINGS)
     def fix(rings: pd.Series) -> pd.Series:
-        return rings.map(lambda rs: [part for r in rs for part in _repair_ring(r)])
+        return rings.map(_repair_rings)
 
     fixed = features.withColumn("rings", fix("rings")).filter(F.size("rings") > 0)
     return fixed.withColumn("_h", F.sha2(F.to_json("rings"), 256)).dropDuplicates(["source", "class_id", "_h"]).drop("_h")

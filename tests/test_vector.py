@@ -65,6 +65,24 @@ def test_clip_and_area(spark):
     assert abs(c["x"]) < 1e-12 and abs(c["y"]) < 1e-12
 
 
+def test_holes_and_further_parts(spark):
+    outer, hole, part = [(0, 0), (8, 0), (8, 8), (0, 8), (0, 0)], [(2, 2), (2, 4), (4, 4), (4, 2), (2, 2)], [(10, 0), (12, 0), (12, 2), (10, 2), (10, 0)]
+    bow = [(3, 3), (9, 5), (9, 3), (3, 5), (3, 3)]
+    shapes = {1: [outer], 2: [outer, hole], 3: [outer, bow], 4: [outer, part], 5: [outer, hole]}
+    df = spark.createDataFrame([(1, k, 1, "a", [pts(*r) for r in rs]) for k, rs in shapes.items()], f"raster_id long, feature_id long, class_id int, source string, rings {RINGS}")
+    cat = spark.createDataFrame([(1, 1.0, 0.0, -1.0, 11.0, 11, 11)], "raster_id long, gt_a double, gt_c double, gt_e double, gt_f double, width int, height int")
+    area = {r["feature_id"]: r["area_m2"] for r in VE.clip_to_frame(df, cat).collect()}
+    assert (area[1], area[2], area[4], area[5]) == (64.0, 60.0, 66.0, 60.0)      # half of the part lies outside
+    assert {r["feature_id"]: r["defect"] for r in VE.validity(df).collect()} == {1: None, 2: None, 3: "self_crossing", 4: None, 5: None}
+    expected = spark.createDataFrame([("a", 1)], "source string, class_id int")
+    assert VE.layer_defects(df, expected).first()["duplicate"] == 1      # 2 and 5, not 1 and 2
+    c = df.filter("feature_id = 2").select(G.rings_centroid(F.col("rings")).alias("c")).first()["c"]
+    assert abs(c["x"] - (64 * 4 - 4 * 3) / 60) < 1e-9 and abs(c["y"] - c["x"]) < 1e-9
+    fixed = VE.clip_to_frame(VE.repair(df), cat)
+    assert {r["feature_id"]: r["area_m2"] for r in fixed.filter("feature_id in (1, 4)").collect()} == {1: 64.0, 4: 66.0}
+    assert fixed.filter("area_m2 = 60.0").count() == 1
+
+
 def test_validity_and_repair(spark):
     rows = [(1, 1, 1, "a", [pts((0, 0), (4, 0), (4, 4), (0, 4), (0, 0))]),
             (1, 2, 1, "a", [pts((0, 0), (4, 4), (4, 0), (0, 4), (0, 0))]),
