@@ -32,6 +32,7 @@ def comp_ctes(name, src):
 
 CTES.update({
     "road0": "select raster_id,row,col from truth_px where class_id=1",
+    "pred_road": "select raster_id,row,col from pred_px where class_id=1",
     "gapd1": dilate_sql("road0", 3, 3), "gapd2": dilate_sql("road0", 25, 3), "gapd3": dilate_sql("road0", 3, 25),
     "gape1": erode_sql("gapd1", 3, 3), "gape2": erode_sql("gapd2", 25, 3), "gape3": erode_sql("gapd3", 3, 25),
     "gapnew": """select raster_id,row,col from (select * from gape1 union select * from gape2 union select * from gape3) g
@@ -59,9 +60,12 @@ def j12(s):
     return px_summary(subtract(class_layer(PP.road_gap_fill(s.mask, FRAME), 1), s.mask))
 
 
-@query("r08_refine_roads", f"""with d as ({dilate_sql('road0', 5, 5)}), e as ({erode_sql('d', 5, 5)}), {comp_ctes('k', 'e')},
+R08 = f"""with d as ({dilate_sql('road0', 5, 5)}), e as ({erode_sql('d', 5, 5)}), {comp_ctes('k', 'e')},
   new_px as (select raster_id,row,col from k_px where (raster_id,comp_id) in (select (raster_id,comp_id) from k_px group by raster_id,comp_id having count(*)>=200)),
-  out_px as ({OVER.format(k=1)}) select {CPX} from out_px group by 1,2""")
+  out_px as ({OVER.format(k=1)}) select {CPX} from out_px group by 1,2"""
+
+
+@query("r08_refine_roads", R08)
 def r08(s):
     return class_summary(PP.refine_roads(s.mask, FRAME))
 
@@ -125,7 +129,8 @@ def r13(s):
     return class_summary(PP.clean_mask(s.pred, FRAME, strict=True))
 
 
-@query("k03_stage_list")
+# The failing stage leaves no trace: what is left is r08 on the prediction.
+@query("k03_stage_list", R08.replace("truth_px", "pred_px").replace("road0", "pred_road"))
 def k03(s):
     """A user-chosen stage list with a failing stage that is passed over."""
     def broken(_):

@@ -194,15 +194,26 @@ def a56(s):
     return d.select(F.round("iou", 6).alias("iou"), F.round("recall", 6).alias("recall"), "sparse_pct_of_fg", "decision")
 
 
-@query("r16_distance_inside")
+# Nearest background of a road pixel: in a column of its run, by that column's vertical distance, or next to an end of the run.
+CTES["road_dist"] = """select a.raster_id, a.row, a.col, sqrt(least(min(b.g*b.g+(a.col-b.col)*(a.col-b.col)),
+    case when r.c0>0 then 1.0e0*(a.col-r.c0+1)*(a.col-r.c0+1) else 1e18 end, case when r.c1<255 then 1.0e0*(r.c1-a.col+1)*(r.c1-a.col+1) else 1e18 end)) as distance
+  from (select * from px_runs where class_id=1) r join road_gap a on a.raster_id=r.raster_id and a.row=r.row and a.col between r.c0 and r.c1
+  join road_gap b on b.raster_id=r.raster_id and b.row=r.row and b.col between r.c0 and r.c1 group by a.raster_id, a.row, a.col, r.c0, r.c1"""
+CTES["road_gap"] = """select raster_id, row, col, least(case when min(row) over w=0 then 1e9 else row-min(row) over w+1.0e0 end,
+    case when max(row) over w=255 then 1e9 else max(row) over w-row+1.0e0 end) as g
+  from (select *, row-row_number() over (partition by raster_id,col order by row) as k from truth_px where class_id=1) window w as (partition by raster_id,col,k)"""
+
+
+@query("r16_distance_inside", "select raster_id, count(*) as px, round(max(distance),6) as max_distance, round(avg(distance),6) as mean_distance from road_dist group by 1")
 def r16(s):
     """Exact distance to background inside the road layer, as per-raster totals."""
-    return TX.distance_inside(s.layer(1), 256, 256).groupBy("raster_id").agg(F.count("*").alias("px"), F.max("distance").alias("max_distance"), F.avg("distance").alias("mean_distance"))
+    return TX.distance_inside(s.layer(1), 256, 256).groupBy("raster_id").agg(
+        F.count("*").alias("px"), F.round(F.max("distance"), 6).alias("max_distance"), F.round(F.avg("distance"), 6).alias("mean_distance"))
 
 
-@query("a46_width_estimate")
+@query("a46_width_estimate", "select raster_id, round(2.0e0*quantile_cont(distance,0.5),6) as width_px from road_dist group by 1")
 def a46(s):
-    return TX.width_estimate(s.layer(1), 256, 256)
+    return TX.width_estimate(s.layer(1), 256, 256).withColumn("width_px", F.round("width_px", 6))
 
 
 @query("r15_skeleton_length")
