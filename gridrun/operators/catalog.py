@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridrun.constants import N_CLASSES
 from gridrun.functions import geometry as G
+from gridrun.functions.draws import draw
 from gridrun.operators.runs import run_len
 
 
@@ -53,7 +54,7 @@ def validation_grid(catalog: DataFrame, patch: int) -> DataFrame:
 
 def cap_grid(grid: DataFrame, limit: int, seed: int = 42) -> DataFrame:
     """Deterministic sample of at most ``limit`` cells: the smallest seeded hashes."""
-    return grid.withColumn("_h", F.xxhash64("raster_id", "y", "x", F.lit(seed))).orderBy("_h", "raster_id", "y", "x").limit(limit).drop("_h")
+    return grid.withColumn("_h", draw(seed, "raster_id", "y", "x")).orderBy("_h", "raster_id", "y", "x").limit(limit).drop("_h")
 
 
 def clamp_window(center: Column, patch: int, limit: Column) -> Column:

@@ -5,17 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridrun.functions.draws import draw, uniform
 from gridrun.operators.catalog import clamp_window
-from gridrun.operators.ranking import number_rows
+from gridrun.operators.ranking import number_rows, running
 from gridrun.operators.onerow import with_row
 
 
-def uniform(seed: int, *keys) -> Column:
-    """Uniform in (0, 1) from the key columns."""
-    h = F.xxhash64(*[F.col(k) if isinstance(k, str) else k for k in keys], F.lit(seed))
-    return (F.pmod(h, F.lit(1 << 40)).cast("double") + 0.5) / float(1 << 40)
-
-
 def class_weights(centroids: DataFrame) -> DataFrame:
     """Inverse counts per class, normalised to one."""
     c = centroids.groupBy("class_id").agg(F.count("*").alias("n"))
@@ -69,21 +64,22 @@ def oversample_weight(px: Column) -> Column:
     return F.lit(1.0) + F.when(px > 0, 8.0).otherwise(0.0) + F.when(px > 200, 4.0).otherwise(0.0)
 
 
-def weighted_draws(df: DataFrame, weight: str, seed: int = 42) -> DataFrame:
-    """Number of draws per row when as many rows are drawn with replacement as there are.
+def weighted_draws(df: DataFrame, weight: str, order: list[str], seed: int = 42) -> DataFrame:
+    """Number of draws per row when exactly as many rows are drawn with replacement as there are.
 
-    Expected draws ``n*w/sum(w)`` are rounded up or down by a seeded draw, so
-    no cumulative table is shuffled to one task.
+    Systematic draws: the rows lie end to end, as long as their weights (to 12 digits), and points at even steps from
+    a seeded start fall on them. Running sums are range-partitioned; ``order`` must be a total order.
     """
-    t = df.agg(F.count("*").alias("_n"), F.sum(weight).alias("_w"))
-    e = F.col(weight) * F.col("_n") / F.col("_w")
-    d = df.transform(with_row, t)
-    return d.withColumn("draws", (F.floor(e) + F.when(uniform(seed, *[c for c in df.columns if c != weight]) < e - F.floor(e), 1).otherwise(0)).cast("long")).drop("_n", "_w")
+    d = df.withColumn("_w", F.round(F.col(weight) * 1e12).cast("decimal(19,0)"))
+    d = running(d, [], order, {"_from": ("sum", "_w")})
+    t = df.agg(F.count("*").cast("decimal(19,0)").alias("_n"), F.sum(F.round(F.col(weight) * 1e12).cast("decimal(19,0)")).alias("_t"), F.floor(uniform(seed, F.lit("start")) * 1e6).cast("decimal(7,0)").alias("_u"))
+    points = lambda at: F.expr(f"((({at}) * _n * 1000000 + _u * _t) div (_t * 1000000))")
+    return d.transform(with_row, t).withColumn("draws", (points("_from + _w") - points("_from")).cast("long")).drop("_w", "_from", "_n", "_t", "_u")
 
 
 def stratified_split(df: DataFrame, stratum: str, key: list[str], train: float = 0.7, cap: int | None = None, seed: int = 42) -> DataFrame:
     """Train/test flag by hash rank within each stratum; ``cap`` limits a stratum first."""
-    d = df.withColumn("_h", F.xxhash64(*key, F.lit(seed)))
+    d = df.withColumn("_h", draw(seed, *key))
     d = number_rows(d, [stratum], ["_h", *key], "_r")
     if cap is not None:
         d = d.filter(F.col("_r") <= cap)

@@ -26,6 +26,31 @@ CTES.update({
 PK = "raster_id, y, x"
 
 
+def draw_sql(seed, *keys):
+    """The seeded whole number below 2^52, as in gridrun.functions.draws."""
+    return f"cast('0x' || substr(md5(concat_ws(':', {seed}, {', '.join(keys)})), 1, 13) as bigint)"
+
+
+def uniform_sql(seed, *keys):
+    return f"(({draw_sql(seed, *keys)} + 0.5e0) / 4503599627370496.0e0)"
+
+
+def placed_sql(slots):
+    """One window per slot around a centroid of a class drawn by inverse count."""
+    jitter = lambda s: f"cast(floor(({uniform_sql(42 + s, 'slot')} * 2 - 1) * 16) as int)"
+    at = lambda v, s: f"cast(greatest(0, least({v} + {jitter(s)} - 32, 192)) as int)"
+    return f"""select slot, raster_id, class_id, {at('row', 2)} as y, {at('col', 3)} as x from (
+  select slot, raster_id, unnest(p) from (select slot, raster_id, arg_min(struct_pack(class_id := class_id, m := m), -ln({uniform_sql(42, 'slot', 'class_id')}) / weight) as p
+    from ({slots}) join (select raster_id, class_id, count(*) as m from cents group by 1,2) using (raster_id)
+    join (select class_id, 1.0e0/n/(sum(1.0e0/n) over ()) as weight from (select class_id, count(*) as n from cents group by 1)) using (class_id) group by 1,2))
+  join (select raster_id, class_id, row, col, row_number() over (partition by raster_id, class_id order by feature_id) as k from cents) c using (raster_id, class_id)
+  where c.k = cast(floor({uniform_sql(43, 'slot')} * m) as bigint) + 1"""
+
+
+def slots_sql(per):
+    return f"select raster_id, raster_id*{per}+j as slot from catalog, (select unnest(range({per})) as j)"
+
+
 @query("r20_tile_positions", "select raster_id, p as pos from catalog, tpos")
 def r20(s):
     return s.catalog.select("raster_id", F.explode(CT.tile_positions(F.col("height"), 64, 48)).alias("pos"))
@@ -45,7 +70,7 @@ def r22(s):
     return CT.validation_grid(s.catalog, 96)
 
 
-@query("r23_grid_cap")
+@query("r23_grid_cap", f"select raster_id, y, x from {VG} order by {draw_sql(42, 'raster_id', 'y', 'x')}, raster_id, y, x limit 500")
 def r23(s):
     """At most 500 cells, the smallest seeded hashes."""
     return CT.cap_grid(CT.validation_grid(s.catalog, 96), 500)
@@ -201,9 +226,13 @@ def m03(s):
     return SA.dominant_weights(s.patches).select("raster_id", "y", "x", "dominant", F.round("weight", 9).alias("weight"))
 
 
-@query("m03_draws")
+@query("m03_draws", f"""with p as (select {PK}, list_position([px1,px2,px3,px4,px0], greatest(px1,px2,px3,px4,px0)) as dom from patches),
+  w as (select *, 1.0e0/count(*) over (partition by dom) as weight from p), i as (select *, cast(round(weight*1e12) as hugeint) as v from w),
+  c as (select *, coalesce(sum(v) over (order by {PK} rows between unbounded preceding and 1 preceding), 0)::hugeint as f, sum(v) over ()::hugeint as t, count(*) over ()::hugeint as n,
+    cast(floor({uniform_sql(42, "'start'")}*1e6) as hugeint) as u from i)
+  select {PK}, weight, cast(((f+v)*n*1000000+u*t)//(t*1000000) - (f*n*1000000+u*t)//(t*1000000) as bigint) as draws from c""")
 def m03d(s):
-    return SA.weighted_draws(SA.dominant_weights(s.patches).select("raster_id", "y", "x", "weight"), "weight")
+    return SA.weighted_draws(SA.dominant_weights(s.patches).select("raster_id", "y", "x", "weight"), "weight", ["raster_id", "y", "x"])
 
 
 @query("m04_oversample_weights", f"select {PK}, 1.0e0+case when px2>0 then 8 else 0 end+case when px2>200 then 4 else 0 end as weight from patches")
@@ -211,7 +240,8 @@ def m04(s):
     return s.patches.select("raster_id", "y", "x", SA.oversample_weight(F.col("px2")).alias("weight"))
 
 
-@query("m05_stratified_split")
+@query("m05_stratified_split", f"""select split, raster_id, y, x, case when rn <= floor(n*0.7e0) then 'train' else 'test' end as part from (
+  select *, row_number() over (partition by split order by {draw_sql(42, 'raster_id', 'y', 'x')}, raster_id, y, x) as rn, count(*) over (partition by split) as n from patches)""")
 def m05(s):
     return SA.stratified_split(s.patches.select("split", "raster_id", "y", "x"), "split", ["raster_id", "y", "x"])
 
@@ -221,12 +251,13 @@ def _slots(s, per=4):
         "raster_id", (F.col("raster_id") * per + F.col("j")).alias("slot"))
 
 
-@query("m01_class_balanced_draw")
+@query("m01_class_balanced_draw", placed_sql(slots_sql(4)))
 def m01(s):
     return SA.class_balanced_windows(_slots(s), CT.feature_centroids(s.rings, s.catalog), s.catalog, 64)
 
 
-@query("m02_mixed_draw")
+@query("m02_mixed_draw", f"""select slot, raster_id, y, x, 'centroid' as kind from ({placed_sql("select * from (" + slots_sql(4) + ") where " + uniform_sql(51, 'slot') + " < 0.5")})
+  union all select slot, raster_id, cast(floor({uniform_sql(7, 'slot')}*193) as int), cast(floor({uniform_sql(8, 'slot')}*193) as int), 'uniform' from ({slots_sql(4)}) where {uniform_sql(51, 'slot')} >= 0.5""")
 def m02(s):
     return SA.mixed_windows(_slots(s), CT.feature_centroids(s.rings, s.catalog), s.catalog, 64)
 
@@ -263,7 +294,12 @@ def w11(s):
     return SPX.hard_positive_records(s.catalog, s.patches.filter("split = 'train'"), 5)
 
 
-@query("f10_foreground_gate")
+@query("f10_foreground_gate", f"""with w as (select raster_id, slot, attempt, cast(floor({uniform_sql(0, 'slot', 'attempt')}*193) as int) as y, cast(floor({uniform_sql(1, 'slot', 'attempt')}*193) as int) as x
+    from ({slots_sql(2)}), (select unnest(range(10)) as attempt)),
+  r as (select w.slot, w.attempt, w.raster_id, w.y, w.x, 1.0e0 - (4096-count(t.class_id))/4096.0e0 as fg_ratio from w left join truth_px t
+    on t.raster_id=w.raster_id and t.row between w.y and w.y+63 and t.col between w.x and w.x+63 group by 1,2,3,4,5)
+  select slot, unnest(arg_min(struct_pack(attempt := cast(attempt as int), raster_id := raster_id, y := y, x := x, fg_ratio := fg_ratio), attempt)) from r
+  where fg_ratio >= 0.03e0 or {uniform_sql(42, 'slot', 'attempt')} >= 0.7e0 or attempt = 9 group by slot""")
 def f10(s):
     """Ten seeded windows per slot, the first acceptable one kept."""
     cand = _slots(s, 2).select("raster_id", "slot", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("attempt")).join(
