@@ -25,7 +25,9 @@ from gridrun.llm.common import slices
 MASKS = ("111010011", "110110101", "101100111")
 SPAN = 9
 WINDOW = 13
-BLOOM_BITS = 22
+#: The filter has 2^bits bits, by the number of seeds, between these bounds: 512 KB to 32 MB.
+BLOOM_BITS = (22, 28)
+HITS = 50_000
 TOKENS = re.compile(r"\w+")
 HIT = "doc_id bigint, doc_key bigint, seed bigint, mask int, pos int, around binary"
 SEED = "item_id bigint, seed bigint, mask int, pos int, n_tokens int, around binary"
@@ -98,15 +100,16 @@ def benchmark_seeds(benchmark: DataFrame, masks: tuple[str, ...] = MASKS, window
     return benchmark.select("item_id", "text").mapInArrow(scan, SEED)
 
 
-def _bits(seeds: np.ndarray) -> np.ndarray:
-    return (seeds >> np.uint64(64 - BLOOM_BITS)).astype(np.int64)
+def _bit(seeds: np.ndarray, size: int) -> np.ndarray:
+    return (seeds >> np.uint64(65 - size.bit_length())).astype(np.int64)
 
 
 def seed_filter(seeds: DataFrame) -> np.ndarray:
-    """Bit array of 2^BLOOM_BITS bits over the seeds, whatever their number: at most 2^(BLOOM_BITS - 6) words reach the driver."""
-    bit = F.shiftrightunsigned("seed", 64 - BLOOM_BITS)
-    words = seeds.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(seed, {64 - BLOOM_BITS}) & 63 AS INT))")).alias("bits"))
-    out = np.zeros(1 << (BLOOM_BITS - 6), dtype=np.uint64)
+    """Bit array over the seeds. Its size has a fixed bound, so at most 2^22 words of it reach the driver; a seed it lets through in vain finds no partner in the join."""
+    bits = min(max(int(16 * seeds.count()).bit_length(), BLOOM_BITS[0]), BLOOM_BITS[1])
+    bit = F.shiftrightunsigned("seed", 64 - bits)
+    words = seeds.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(seed, {64 - bits}) & 63 AS INT))")).alias("bits"))
+    out = np.zeros(1 << (bits - 6), dtype=np.uint64)
     for r in words.toLocalIterator():
         out[r["word"]] = r["bits"] & 0xFFFFFFFFFFFFFFFF
     return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
@@ -118,29 +121,32 @@ def seed_hits(docs: DataFrame, benchmark_lengths: list[int], bloom: np.ndarray,
     packed = docs.sparkSession.sparkContext.broadcast(np.packbits(bloom))
     kinds = [(i, m) for i, m in enumerate(masks)] + [(len(masks) + n, "1" * n) for n in benchmark_lengths]
 
+    def emitted(part, tokens, starts, counts, owner, number, at, seeds) -> pa.RecordBatch:
+        own = owner[at]
+        around = _windows(tokens, at, reach)
+        place = at[:, None] + np.arange(-reach, SPAN + reach)[None, :]
+        around[(place < starts[own][:, None]) | (place >= (starts + counts)[own][:, None])] = 0
+        return pa.RecordBatch.from_arrays(
+            [part.column("doc_id").cast(pa.int64()).take(pa.array(own)), part.column("doc_key").take(pa.array(own)), pa.array(seeds.view(np.int64)), pa.array(number, type=pa.int32()),
+             pa.array((at - starts[own]).astype(np.int32)), pa.array([x.tobytes() for x in around], type=pa.binary())],
+            names=["doc_id", "doc_key", "seed", "mask", "pos", "around"],
+        )
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         allowed = np.unpackbits(packed.value).astype(bool)
         for part, texts in slices(batches):
             tokens, counts = token_hashes(texts)
             starts = np.cumsum(counts) - counts
             owner = np.repeat(np.arange(len(texts)), counts)
-            ids = part.column("doc_id").to_numpy(zero_copy_only=False)
             found = []
             for number, mask in kinds:
                 seeds = seeds_at(tokens, mask, number)
-                at = np.flatnonzero(allowed[_bits(seeds)])
+                at = np.flatnonzero(allowed[_bit(seeds, len(allowed))])
                 at = at[owner[at] == owner[at + len(mask) - 1]]  # a seed lies in one text
                 found.append((np.full(len(at), number), at, seeds[at]))
             number, at, seeds = (np.concatenate([f[i] for f in found]) for i in range(3))
-            own = owner[at]
-            around = _windows(tokens, at, reach)
-            place = at[:, None] + np.arange(-reach, SPAN + reach)[None, :]
-            around[(place < starts[own][:, None]) | (place >= (starts + counts)[own][:, None])] = 0
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(part.column("doc_id").cast(pa.int64()).take(pa.array(own))), pa.array(part.column("doc_key").take(pa.array(own))), pa.array(seeds.view(np.int64)), pa.array(number, type=pa.int32()),
-                 pa.array((at - starts[own]).astype(np.int32)), pa.array([x.tobytes() for x in around], type=pa.binary())],
-                names=["doc_id", "doc_key", "seed", "mask", "pos", "around"],
-            )
+            for few in range(0, len(at), HITS):
+                yield emitted(part, tokens, starts, counts, owner, number[few : few + HITS], at[few : few + HITS], seeds[few : few + HITS])
 
     return docs.select("doc_id", text_key().alias("doc_key"), "text").mapInArrow(scan, HIT)
 

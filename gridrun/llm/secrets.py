@@ -26,8 +26,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # a run of 32 or more: runs are maximal
 KINDS = ("assign", "access", "hex")
 HINTS = ("password", "passwd", "secret", "token", "api")
-PERCENT = re.compile(r"[A-Za-z0-9_.~+/=:&?@!$'(),;*-]*(?:%[0-9A-Fa-f]{2}[A-Za-z0-9_.~+/=:&?@!$'(),;*-]*)+")
-ESCAPES = re.compile(r"(?:[\x21-\x5B\x5D-\x7E]*\\(?:u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2}))+[\x21-\x5B\x5D-\x7E]*")
+#: Maximal runs that may hold escapes, and one escape; a run is found in one pass, whatever its length.
+PERCENT_RUN, PERCENT = re.compile(r"[A-Za-z0-9_.~+/=:&?@!$'(),;*%-]+"), re.compile(r"%([0-9A-Fa-f]{2})")
+ESCAPE_RUN = re.compile(r"[\x21-\x7E]+")
 ESCAPE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|x([0-9A-Fa-f]{2}))")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 ODD = re.compile(r"[\x00-\x08\x0E-\x1F\x7F]")
@@ -67,7 +68,7 @@ def _chars(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 def _percent(token: str) -> Layer | None:
     data, start, end, i = bytearray(), [], [], 0
-    for m in re.finditer(r"%([0-9A-Fa-f]{2})", token):
+    for m in PERCENT.finditer(token):
         plain = token[i : m.start()]
         data += plain.encode("ascii")
         start += range(i, m.start())
@@ -150,12 +151,12 @@ def _base64(token: str) -> Layer | None:
 def encoded(text: str) -> Iterator[tuple[str, int, Layer]]:
     """Encoded stretches: name of the coding, start in ``text``, and the layer with places relative to that start."""
     if "%" in text:
-        for m in PERCENT.finditer(text):
-            if (layer := _percent(m.group())) is not None:
+        for m in PERCENT_RUN.finditer(text):
+            if PERCENT.search(m.group()) and (layer := _percent(m.group())) is not None:
                 yield "url", m.start(), layer
     if "\\" in text:
-        for m in ESCAPES.finditer(text):
-            if (layer := _escapes(m.group())) is not None:
+        for m in ESCAPE_RUN.finditer(text):
+            if ESCAPE.search(m.group()) and (layer := _escapes(m.group())) is not None:
                 yield "unicode", m.start(), layer
     for m in BASE64.finditer(text):
         if (layer := _base64(m.group())) is not None:
