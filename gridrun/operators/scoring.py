@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,10 +15,11 @@ from gridrun.constants import N_CLASSES
 
 
 def image_tiles(pixels: DataFrame, tile: int) -> DataFrame:
-    """Pixels -> one row per tile with its pixel list (at most ``tile^2`` entries)."""
+    """Pixels -> one row per tile with its pixels as parallel arrays (at most ``tile^2`` entries)."""
     t = lambda c: F.floor(F.col(c) / tile).cast("int")
-    return pixels.withColumn("tr", t("row")).withColumn("tc", t("col")).groupBy("raster_id", "tr", "tc").agg(
-        F.collect_list(F.struct("row", "col", F.array("red", "green", "blue").alias("rgb"))).alias("px"))
+    packed = pixels.withColumn("tr", t("row")).withColumn("tc", t("col")).groupBy("raster_id", "tr", "tc").agg(
+        F.collect_list(F.struct("row", "col", "red", "green", "blue")).alias("px"))
+    return packed.select("raster_id", "tr", "tc", *[F.col(f"px.{c}").alias(c) for c in ("row", "col", "red", "green", "blue")])
 
 
 def score_tiles(tiles: DataFrame, load: Callable[[], Callable[[list[np.ndarray]], list[np.ndarray]]], batch: int = 4) -> DataFrame:
@@ -26,17 +28,21 @@ def score_tiles(tiles: DataFrame, load: Callable[[], Callable[[list[np.ndarray]]
     ``load`` builds the scorer once per task. It maps a list of ``(n, 3)``
     arrays to a list of ``(n, classes)`` score arrays.
     """
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = load()
-        for pdf in parts:
-            for s in range(0, len(pdf), batch):
-                rows = pdf.iloc[s:s + batch]
-                for rid, px, z in zip(rows["raster_id"], rows["px"], scorer([np.array([p["rgb"] for p in px], float) for px in rows["px"]])):
-                    out = pd.DataFrame({"raster_id": rid, "row": [p["row"] for p in px], "col": [p["col"] for p in px]})
-                    out["z"] = list(z)
-                    yield out
-
-    return tiles.select("raster_id", "px").mapInPandas(run, "raster_id long, row int, col int, z array<double>")
+        for part in parts:
+            for s in range(0, part.num_rows, batch):
+                rows = part.slice(s, batch)
+                flat = {c: rows.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("row", "col", "red", "green", "blue")}
+                size = np.array([len(x) for x in rows.column("row")])
+                bands = np.stack([flat["red"], flat["green"], flat["blue"]], axis=1).astype(float)
+                z = np.concatenate(scorer(np.split(bands, np.cumsum(size)[:-1])))
+                ends = pa.array(np.arange(len(z) + 1) * z.shape[1], type=pa.int32())
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.repeat(rows.column("raster_id").to_numpy(zero_copy_only=False), size)), pa.array(flat["row"], type=pa.int32()),
+                    pa.array(flat["col"], type=pa.int32()), pa.ListArray.from_arrays(ends, pa.array(z.ravel()))], names=["raster_id", "row", "col", "z"])
+
+    return tiles.select("raster_id", "row", "col", "red", "green", "blue").mapInArrow(run, "raster_id long, row int, col int, z array<double>")
 
 
 def linear_scorer() -> Callable[[list[np.ndarray]], list[np.ndarray]]:

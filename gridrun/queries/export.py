@@ -117,9 +117,9 @@ def r34(s):
 K1 = ", ".join(f"({k + 1}*red+({2 - k})*green+({k * k - 3})*blue)/255.0e0" for k in range(5))
 
 
-@query("k01_tile_scorer", f"select raster_id, pred, count(*) as px from (select raster_id, cast(list_position(z, list_max(z))-1 as int) as pred from (select raster_id, [{K1}] as z from img)) group by 1,2")
+@query("k01_tile_scorer", f"select raster_id, pred, count(*) as px from (select raster_id, cast(list_position(z, list_max(z))-1 as int) as pred from (select raster_id, [{K1}] as z from grid_img)) group by 1,2")
 def k01(s):
-    z = MODEL.score_tiles(MODEL.image_tiles(s.image, 32), MODEL.linear_scorer)
+    z = MODEL.score_tiles(MODEL.image_tiles(s.frame_image, 32), MODEL.linear_scorer)
     return z.select("raster_id", L.argmax(F.transform("z", lambda x: F.round(x, 9))).alias("pred")).groupBy("raster_id", "pred").agg(F.count("*").alias("px"))
 
 

@@ -71,10 +71,10 @@ def a02(s):
     return _class_px(s).unionByName(roof)
 
 
-@query("p10_rgb_normalise", f"select raster_id, class_id, round(avg((red/255.0e0-0.485e0)/0.229e0),6) as r, round(avg((green/255.0e0-0.456e0)/0.224e0),6) as g, round(avg((blue/255.0e0-0.406e0)/0.225e0),6) as b from img group by 1,2")
+@query("p10_rgb_normalise", f"select raster_id, class_id, round(avg((red/255.0e0-0.485e0)/0.229e0),6) as r, round(avg((green/255.0e0-0.456e0)/0.224e0),6) as g, round(avg((blue/255.0e0-0.406e0)/0.225e0),6) as b from grid_img group by 1,2")
 def p10(s):
     r, g, b = RU.normalise_rgb("red", "green", "blue")
-    return s.image.groupBy("raster_id", "class_id").agg(F.round(F.avg(r), 6).alias("r"), F.round(F.avg(g), 6).alias("g"), F.round(F.avg(b), 6).alias("b"))
+    return s.frame_image.groupBy("raster_id", "class_id").agg(F.round(F.avg(r), 6).alias("r"), F.round(F.avg(g), 6).alias("g"), F.round(F.avg(b), 6).alias("b"))
 
 
 def _coloured(s):
@@ -115,10 +115,10 @@ def p14(s):
 STR = lambda b: f"case when z_{b}<=a_{b}+1e-6 then 0 else cast(floor(round(least(greatest(({b}-a_{b})/(z_{b}-a_{b}),0),1)*255.0e0,6)) as int) end as {b}"
 
 
-@query("p15_percentile_stretch", f"""with q as (select raster_id, {", ".join(f"quantile_cont({b},0.02) a_{b}, quantile_cont({b},0.98) z_{b}" for b in ("red", "green", "blue"))} from img group by 1)
-  select raster_id, cast(sum(red) as bigint) as red, cast(sum(green) as bigint) as green, cast(sum(blue) as bigint) as blue from (select raster_id, {STR('red')}, {STR('green')}, {STR('blue')} from img join q using (raster_id)) group by 1""")
+@query("p15_percentile_stretch", f"""with q as (select raster_id, {", ".join(f"quantile_cont({b},0.02) a_{b}, quantile_cont({b},0.98) z_{b}" for b in ("red", "green", "blue"))} from grid_img group by 1)
+  select raster_id, cast(sum(red) as bigint) as red, cast(sum(green) as bigint) as green, cast(sum(blue) as bigint) as blue from (select raster_id, {STR('red')}, {STR('green')}, {STR('blue')} from grid_img join q using (raster_id)) group by 1""")
 def p15(s):
-    d = TX.percentile_stretch(s.image, ["red", "green", "blue"])
+    d = TX.percentile_stretch(s.frame_image, ["red", "green", "blue"])
     return d.groupBy("raster_id").agg(*[F.sum(b).alias(b) for b in ("red", "green", "blue")])
 
 

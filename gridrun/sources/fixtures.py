@@ -11,7 +11,7 @@ from gridrun.constants import CLASSES, CONFIDENCE_THRESHOLD
 from gridrun.operators.burn import box_runs, burn_runs
 from gridrun.operators.catalog import patch_class_px, patch_positions
 from gridrun.operators.components import label_components
-from gridrun.operators.runs import as_layer, class_layer, coverage, decode, overlay
+from gridrun.operators.runs import as_layer, class_layer, coverage, decode, frame_rows, overlay
 from gridrun.session import durable
 
 IMAGE_BANDS = (
@@ -131,6 +131,11 @@ class Survey:
         """Pixel colours of the painted pixels: ``raster_id, row, col, class_id, red, green, blue``."""
         return decode(self.truth).selectExpr("raster_id", "row", "col", "class_id", *IMAGE_BANDS)
 
+    @cached_property
+    def frame_image(self) -> DataFrame:
+        """Pixel colours of whole rasters, background included."""
+        return self.image_on(frame_rows(self.catalog))
+
     def image_on(self, runs: DataFrame) -> DataFrame:
         """Pixel colours under any runs, background included."""
         o = overlay({"on": as_layer(runs), "class_id": as_layer(self.truth, "class_id")}).filter("on is not null").drop("on")
