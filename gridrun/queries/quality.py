@@ -8,6 +8,7 @@ from gridrun.operators.runs import run_len
 from gridrun.queries.registry import CTES, query
 from gridrun.sources import inventory as IN
 from gridrun.sources import sinks as SI
+from gridrun.constants import CLASSES
 from gridrun.operators.onerow import with_row
 
 CTES.update({
@@ -93,14 +94,35 @@ def s16(s):
     return d.groupBy(F.array_join("missing", ",").alias("missing")).agg(F.count("*").alias("docs"))
 
 
-@query("s17_tile_manifest")
+PCT = ", ".join(f"round(100.0e0*count(*) filter (class_id={k})/16384,6) as pct{k}" for k in range(1, 5))
+
+
+@query("s17_tile_manifest", f"select raster_id, cast(row//64 as int) as tile, {PCT}, true as matches from truth_px group by 1,2")
 def s17(s):
-    """Tile manifest with class shares, read back from JSON text and recomputed."""
-    px = s.truth.withColumn("tile", F.floor(F.col("row") / 64).cast("int")).groupBy("raster_id", "tile").agg(
+    """Tile manifests with class shares, one JSON document per raster, written, read back and recomputed."""
+    px = s.mask.withColumn("tile", F.floor(F.col("row") / 64).cast("int")).groupBy("raster_id", "tile").agg(
         *[F.coalesce(F.sum(F.when(F.col("class_id") == k, run_len())), F.lit(0)).alias(f"px{k}") for k in range(1, 5)])
-    doc = px.select("raster_id", "tile", F.to_json(F.struct("tile", *[(100.0 * F.col(f"px{k}") / 16384).alias(f"pct{k}") for k in range(1, 5)])).alias("doc"), "px1")
-    back = doc.withColumn("m", F.from_json("doc", "tile int, pct1 double, pct2 double, pct3 double, pct4 double"))
-    return back.select("raster_id", "m.*", (F.abs(F.col("m.pct1") - 100.0 * F.col("px1") / 16384) < 1e-9).alias("matches"))
+    path = SI.scratch_path(s.spark, "manifest")
+    tiles = F.collect_list(F.struct("tile", *[(100.0 * F.col(f"px{k}") / 16384).alias(f"pct{k}") for k in range(1, 5)]))     # as many as a raster has tiles
+    SI.write_json(px.groupBy("raster_id").agg(tiles.alias("tiles")), path)
+    back = s.spark.read.schema("raster_id long, tiles array<struct<tile:int,pct1:double,pct2:double,pct3:double,pct4:double>>").json(path)
+    t = back.select("raster_id", F.explode("tiles").alias("m")).select("raster_id", "m.*").join(px, ["raster_id", "tile"])
+    same = [F.abs(F.col(f"pct{k}") - 100.0 * F.col(f"px{k}") / 16384) < 1e-9 for k in range(1, 5)]
+    return t.select("raster_id", "tile", *[F.round(f"pct{k}", 6).alias(f"pct{k}") for k in range(1, 5)], (same[0] & same[1] & same[2] & same[3]).alias("matches"))
+
+
+@query("s05_config_load", """select 'split' as part, split as name, count(*) as n, cast(sum(length(stem)) as bigint) as chars from catalog group by 1,2
+  union all select 'class', name, 1, cast(red+green+blue as bigint) from dim_class""")
+def s05(s):
+    """Configuration documents written as JSON, a thousand rasters in each, and loaded as class and split dimensions."""
+    path = SI.scratch_path(s.spark, "config")
+    stems = lambda split: F.collect_list(F.when(F.col("split") == split, F.col("stem")))
+    splits = s.catalog.groupBy(F.floor(F.col("raster_id") / 1000).alias("part")).agg(stems("train").alias("train_tiffs"), stems("val").alias("val_tiffs"))
+    classes = F.array(*[F.struct(F.lit(k).alias("id"), F.lit(n).alias("name"), F.array(*map(F.lit, rgb)).alias("color_rgb")) for k, (n, *rgb) in CLASSES.items()])
+    SI.write_json(splits.select(classes.alias("classes"), F.struct("train_tiffs", "val_tiffs").alias("splits")), path)
+    cfg = IN.load_config(s.spark, path, lines=True)
+    by_split = cfg["splits"].groupBy(F.lit("split").alias("part"), F.col("split").alias("name")).agg(F.count("*").alias("n"), F.sum(F.length("stem")).alias("chars"))
+    return by_split.unionByName(cfg["classes"].select(F.lit("class").alias("part"), "name", F.lit(1).cast("long").alias("n"), F.expr("cast(red+green+blue as bigint)").alias("chars")))
 
 
 @query("s18_quarantine", "select raster_id, 'moved' as action from catalog where not readable")

@@ -26,12 +26,12 @@ def scan_files(spark, pattern: str | list[str], sources: dict[str, str]) -> Data
     return files.select(tag.alias("source"), "path", F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1).alias("stem"), "bytes").dropDuplicates(["path"])
 
 
-def load_config(spark, path: str) -> dict[str, DataFrame]:
-    """JSON configuration -> class dimension and split dimension."""
-    doc = spark.read.option("multiLine", True).schema(
+def load_config(spark, path: str, lines: bool = False) -> dict[str, DataFrame]:
+    """JSON configuration -> class dimension and split dimension; with ``lines`` a document per line, each with a part of the splits."""
+    doc = spark.read.option("multiLine", not lines).schema(
         "classes array<struct<id:int,name:string,color_rgb:array<int>>>, "
         "splits struct<train_tiffs:array<string>,val_tiffs:array<string>>").json(path)
-    c = doc.select(F.explode("classes").alias("c"))
+    c = doc.select(F.explode("classes").alias("c")).distinct()
     classes = c.select(F.col("c.id").alias("class_id"), F.col("c.name").alias("name"), F.col("c.color_rgb")[0].alias("red"),
                        F.col("c.color_rgb")[1].alias("green"), F.col("c.color_rgb")[2].alias("blue"))
     part = lambda name, split: doc.select(F.explode(f"splits.{name}").alias("stem"), F.lit(split).alias("split"))
