@@ -20,7 +20,7 @@ from gridrun.llm.common import slices, stored
 from gridrun.llm.minhash import band_tables, bands_for, components, shingle_table
 
 THRESHOLD, SHINGLE, ROWS, RECALL = 0.8, 5, 3, 0.9999
-BLOCK = 200
+BLOCK, BLOCK_CHARS = 800, 8_000_000
 #: Groups up to this size are compared together, larger ones by matrix products.
 FEW = 8
 HELD_CHARS = 3_000_000
@@ -53,10 +53,11 @@ def shared_buckets(rows: DataFrame) -> DataFrame:
     return members.join(small(chosen), "bh")
 
 
-def _blocked(members: DataFrame, block: int) -> DataFrame:
-    """Every member of a bucket in all the block pairs it belongs to: ``bh, u, i, j, left, right``."""
-    count = F.ceil(F.col("n") / block).cast("int")
-    own = members.withColumn("blocks", count).withColumn("own", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("u", "bh"), "blocks")).otherwise(0).cast("int"))
+def _blocked(members: DataFrame, sizes: DataFrame, block: int) -> DataFrame:
+    """Every member of a bucket in all the block pairs it belongs to: ``bh, u, i, j, own``; blocks are bounded in members and characters."""
+    chars = members.join(sizes, "u").groupBy("bh").agg(F.sum("chars").alias("chars"))
+    count = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("chars") / BLOCK_CHARS), F.lit(1)).cast("int")
+    own = members.join(chars, "bh").withColumn("blocks", count).withColumn("own", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("u", "bh"), "blocks")).otherwise(0).cast("int"))
     other = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return other.select("bh", "u", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
 
@@ -122,10 +123,37 @@ def _forest(pairs: list[tuple[int, int]], m: int) -> np.ndarray:
     return np.array([find(x) for x in range(m)])
 
 
+def _meet_before(rows: list[tuple]) -> np.ndarray:
+    """For the members of one group, which pairs share a lesser bucket too."""
+    lesser: dict[int, int] = {}
+    places = [(i, lesser.setdefault(h, len(lesser))) for i, r in enumerate(rows) for h in r[5] if h < r[0]]
+    out = np.zeros((len(rows), len(rows)), dtype=bool)
+    for at in range(0, len(lesser), 2048):
+        piece = np.zeros((len(rows), 2048), dtype=np.float32)
+        for i, h in places:
+            if at <= h < at + 2048:
+                piece[i, h - at] = 1
+        out |= (piece @ piece.T) > 0
+    return out
+
+
+def _least_linked(near: np.ndarray) -> np.ndarray:
+    """Least member that each is linked with over any number of links, from the matrix of links."""
+    root = np.full(len(near), -1)
+    for start in range(len(near)):
+        if root[start] < 0:
+            root[start], front = start, np.array([start])
+            while len(front):
+                front = np.flatnonzero(near[front].any(axis=0) & (root < 0))
+                root[front] = start
+    return root
+
+
 def verified(members: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE, block: int = BLOCK) -> DataFrame:
     """Bucket members and the texts of their units to ``u, links, root``: exact links of a unit in one block pair of one bucket."""
     home = members.groupBy("u").agg(F.sort_array(F.collect_set("bh")).alias("homes"))  # as many as there are bands at most
-    rows = _blocked(members, block).join(home, "u").join(texts.select("u", "text"), "u").repartition("bh", "i", "j").sortWithinPartitions("bh", "i", "j", "u")
+    sizes = texts.select("u", F.length("text").alias("chars"))
+    rows = _blocked(members, stored(sizes), block).join(home, "u").join(texts.select("u", "text"), "u").repartition("bh", "i", "j").sortWithinPartitions("bh", "i", "j", "u")
 
     def judged(held: list[tuple]) -> pa.RecordBatch:
         """Whole groups: their rows ``(bh, i, j, u, own, homes, text)``, a group's in a row."""
@@ -138,22 +166,28 @@ def verified(members: DataFrame, texts: DataFrame, threshold: float = THRESHOLD,
         little = sizes[group] <= FEW
         part = little[owner]
         found = [few_in_common(key[part], owner[part], group, FEW)]
-        for g in np.flatnonzero(sizes > FEW):
-            a, b = heads[g], heads[g] + sizes[g]
-            common = np.triu(many_in_common(key[begin[a] : begin[b]], begin[a : b + 1] - begin[a]), 1)
-            x, y = np.nonzero(common)
-            found.append((x + a, y + a, common[x, y]))
         a, b, common = (np.concatenate([f[i] for f in found]) for i in range(3))
-        split = np.array([held[h][1] != held[h][2] for h in heads])[group[a]] if len(a) else np.zeros(0, dtype=bool)
-        close = (common >= threshold * (count[a] + count[b] - common) - 1e-9) & ~(split & (own[a] == own[b]))  # within its own blocks a pair is verified elsewhere
-        a, b = a[close].tolist(), b[close].tolist()
+        split = np.array([held[h][1] != held[h][2] for h in heads])[group]
+        close = (common >= threshold * (count[a] + count[b] - common) - 1e-9) & ~(split[a] & (own[a] == own[b]))  # within its own blocks a pair is verified elsewhere
+        pairs = list(zip(a[close].tolist(), b[close].tolist(), strict=True))
         links = np.zeros(len(held), dtype=np.int64)
-        for x, y in zip(a, b, strict=True):
+        for x, y in pairs:
             if next(h for h in held[x][5] if h in held[y][5]) == held[x][0]:
                 links[x] += 1
                 links[y] += 1
-        root = _forest(list(zip(a, b, strict=True)), len(held))
-        at = sorted({*a, *b})
+        root = _forest(pairs, len(held))
+        at = {x for pair in pairs for x in pair}
+        for g in np.flatnonzero(sizes > FEW):
+            a, b = heads[g], heads[g] + sizes[g]
+            common = many_in_common(key[begin[a] : begin[b]], begin[a : b + 1] - begin[a])
+            near = common >= threshold * (count[a:b, None] + count[None, a:b] - common) - 1e-9
+            np.fill_diagonal(near, False)
+            if split[a]:
+                near &= own[a:b, None] != own[None, a:b]
+            links[a:b] = (near & ~_meet_before(held[a:b])).sum(axis=1)
+            root[a:b] = a + _least_linked(near)
+            at |= set((a + np.flatnonzero(near.any(axis=1))).tolist())
+        at = sorted(at)
         columns = ([held[x][3] for x in at], links[at].tolist(), [held[root[x]][3] for x in at])
         return pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in columns], names=["u", "links", "root"])
 
@@ -211,7 +245,10 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE, row
 
 
 def keep_one_per_class(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, all columns, whose doc_id is the least of its class; rows repeated in full stay once, texts without words stay."""
+    """The rows of ``docs``, all columns, whose doc_id is the least of its class.
+
+    Rows repeated in full stay once, and so do rows with a null doc_id for each text of theirs; texts without words stay.
+    """
     judged = classes(docs, **options)
     kept = judged.where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("class_id"))).select("doc_id", "u").distinct()
     marked = docs.withColumn("_u", F.xxhash64("text"))
