@@ -3,9 +3,9 @@
 A paragraph is a line of ``min_words`` words or more. Equal paragraphs are one unit; units meet by MinHash bands tuned
 for recall, are verified by exact Jaccard of their word shingles (see ``jaccard``), and of every component of links the
 first paragraph in (doc_id, line) order stays. Passages need not be whole lines: every stretch of ``window`` words of a
-line also counts as a paragraph of one band with one row, the least hash of its ``shingle`` consecutive words. Equal least
-shingles are equal words, so this collision needs no further check: the shared words go from all documents but the
-least, and a repeated stretch of ``window`` words can't be missed.
+text, over line ends too, also counts as a paragraph of one band with one row, the least hash of its ``shingle``
+consecutive words. Stretches that meet in it are compared by the names of all their words (128 bits), and every stretch
+that a smaller document has goes whole, so of a shared passage the maximal run goes.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from gridrun.llm.jaccard import band_rows, near_links, small
 from gridrun.llm.minhash import bands_for
 
 MIN_WORDS, WINDOW, SHINGLE = 10, 50, 20
+RUN = 32  # stretches in one row
 ROWS, RECALL, THRESHOLD, WORD_SHINGLE = 2, 0.9999, 0.8, 5
 
 
@@ -33,65 +34,154 @@ def lines(docs: DataFrame, min_words: int) -> DataFrame:
     return split.where(F.regexp_count("text", F.lit(WORD)) >= min_words).withColumn("u", F.xxhash64("text"))
 
 
-def slice_marks(texts: list, window: int, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(text, word, hash)`` of the selected shingles of a slice of texts: the least of every stretch of ``window`` words of a line."""
-    digest, known, hashes, per_line, owner = xxhash.xxh3_64_intdigest, {}, [], [], []
-    for i, text in enumerate(texts):
-        for line in (text or "").split("\n"):
-            words = WORDS.findall(line)
-            per_line.append(len(words))
-            owner.append(i)
-            for w in words:
-                h = known.get(w)
-                if h is None:
-                    h = known[w] = digest(w)
-                hashes.append(h)
-    count, owner = np.array(per_line, dtype=np.int64), np.array(owner, dtype=np.int64)
-    key, length = np.array(hashes, dtype=np.uint64), 1
-    none = np.zeros(0, dtype=np.int64)
-    if len(key) < window:
-        return none, none, none
-    line_of = np.repeat(np.arange(len(count)), count)
-    text_of = owner[line_of]
-    first = np.searchsorted(text_of, np.arange(len(texts)))  # first word of each text
+def _joined(texts: list) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts in a row, and the number of words of each text."""
+    digest, known, hashes, count = xxhash.xxh3_64_intdigest, {}, [], []
+    for text in texts:
+        words = WORDS.findall(text or "")
+        count.append(len(words))
+        for w in words:
+            h = known.get(w)
+            if h is None:
+                h = known[w] = digest(w)
+            hashes.append(h)
+    return np.array(hashes, dtype=np.uint64), np.array(count, dtype=np.int64)
+
+
+def _names(key: np.ndarray, words: int) -> np.ndarray:
+    """Names of the runs of ``words`` words, by doubling; ``key`` names the single words."""
+    length = 1
     with np.errstate(over="ignore"):
-        while length < shingle:  # names of runs of words by doubling
-            step = min(length, shingle - length)
+        while length < words:
+            step = min(length, words - length)
             key = (key[:-step] ^ (key[step:] * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xC2B2AE3D27D4EB4F)
             key ^= key >> np.uint64(29)
             length += step
-    least, length, width = key, 1, window - shingle + 1
+    return key
+
+
+def _least(words: np.ndarray, count: np.ndarray, window: int, shingle: int) -> np.ndarray:
+    """For every stretch of ``window`` words the least name of its shingles; 0 where it leaves its text."""
+    least, length, width = _names(words, shingle), 1, window - shingle + 1
     while length < width:
         step = min(length, width - length)
         least = np.minimum(least[:-step], least[step:])
         length += step
-    least = np.where(line_of[: len(least)] == line_of[window - 1 :], least, np.uint64(0))
+    text_of = np.repeat(np.arange(len(count)), count)
+    return np.where(text_of[: len(least)] == text_of[window - 1 :], least, np.uint64(0))
+
+
+def slice_marks(texts: list, window: int, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(text, word, hash)`` of the selected shingles of a slice of texts: the least of every stretch of ``window`` words."""
+    words, count = _joined(texts)
+    none = np.zeros(0, dtype=np.int64)
+    if len(words) < window:
+        return none, none, none
+    key, least, length, width = _names(words, shingle), _least(words, count, window, shingle), 1, window - shingle + 1
     # a shingle is selected if it is the least of a stretch that holds it, so if the greatest of these least ones is its own
-    most, length = np.concatenate([np.zeros(width - 1, dtype=np.uint64), least, np.zeros(width - 1, dtype=np.uint64)]), 1
+    most = np.concatenate([np.zeros(width - 1, dtype=np.uint64), least, np.zeros(width - 1, dtype=np.uint64)])
     while length < width:
         step = min(length, width - length)
         most = np.maximum(most[:-step], most[step:])
         length += step
     at = np.flatnonzero((most == key) & (most != 0))
-    return text_of[at], at - first[text_of[at]], key[at].view(np.int64)
+    text_of = np.repeat(np.arange(len(count)), count)[at]
+    return text_of, at - (np.cumsum(count) - count)[text_of], key[at].view(np.int64)
 
 
 def marks(docs: DataFrame, window: int, shingle: int) -> DataFrame:
-    """``mark, doc_id, word``: the selected shingles of all lines, by number of their first word in the text."""
+    """``mark, doc_id``: the selected shingles of all texts, each once per text."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in slices(batches):
+            owner, _, mark = slice_marks(texts, window, shingle)
+            order = np.lexsort((mark, owner))
+            owner, mark = owner[order], mark[order]
+            new = np.ones(len(mark), dtype=bool)
+            new[1:] = (mark[1:] != mark[:-1]) | (owner[1:] != owner[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(mark[new]), part.column("doc_id").cast(pa.int64()).take(pa.array(owner[new]))], names=["mark", "doc_id"])
+
+    return docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInArrow(scan, "mark bigint, doc_id bigint")
+
+
+def segments(docs: DataFrame, window: int, shingle: int) -> DataFrame:
+    """``doc_id, key, mark, start, n, s1, s2, names``: up to RUN stretches in a row under one of the ``marks`` of their document.
+
+    ``s1, s2`` name all words of the segment, ``names`` the stretches (two numbers each); a segment found again in a
+    slice comes without ``names``. ``key`` tells texts with one doc_id apart.
+    """
+    half = (window + 1) // 2
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches):
-            owner, word, mark = slice_marks(texts, window, shingle)
-            yield pa.RecordBatch.from_arrays([pa.array(mark), part.column("doc_id").cast(pa.int64()).take(pa.array(owner)), pa.array(word)], names=["mark", "doc_id", "word"])
+            words, count = _joined(texts)
+            if len(words) < window:
+                continue
+            wanted = np.unique(np.array(pa.compute.list_flatten(part.column("marks")), dtype=np.int64))
+            least = _least(words, count, window, shingle)
+            text_of = np.repeat(np.arange(len(count)), count)
+            new = np.ones(len(least), dtype=bool)
+            new[1:] = (least[1:] != least[:-1]) | (text_of[1 : len(least)] != text_of[: len(least) - 1])
+            start = np.flatnonzero(new)
+            n = np.diff(np.append(start, len(least)))
+            keep = (least[start] != 0) & np.isin(least[start].view(np.int64), wanted)
+            start, n = start[keep], n[keep]
+            pieces = -(-n // RUN)
+            order = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            start, n = np.repeat(start, pieces) + order * RUN, np.minimum(np.repeat(n, pieces) - order * RUN, RUN)
+            rank = _names(words, half)
+            pairs = np.stack([rank[: len(least)], rank[window - half : window - half + len(least)]], axis=1)
+            seen, s1, s2, names = set(), [], [], []
+            for a, k in zip(start.tolist(), n.tolist(), strict=True):
+                h = xxhash.xxh3_128_digest(words[a : a + k + window - 1].tobytes())
+                s1.append(int.from_bytes(h[:8], "little", signed=True))
+                s2.append(int.from_bytes(h[8:], "little", signed=True))
+                names.append(None if h in seen else pairs[a : a + k].tobytes())
+                seen.add(h)
+            own = text_of[start]
+            doc, key = (part.column(c).take(pa.array(own)) for c in ("doc_id", "key"))
+            yield pa.RecordBatch.from_arrays(
+                [doc, key, pa.array(least[start].view(np.int64)), pa.array(start - (np.cumsum(count) - count)[own]), pa.array(n), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(names, pa.binary())],
+                names=["doc_id", "key", "mark", "start", "n", "s1", "s2", "names"])
 
-    return docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInArrow(scan, "mark bigint, doc_id bigint, word bigint")
+    return docs.mapInArrow(scan, "doc_id bigint, key bigint, mark bigint, start bigint, n bigint, s1 bigint, s2 bigint, names binary")
 
 
-def repeated_marks(docs: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
-    """``doc_id, word, first``: marks that a smaller document has too, and the least such document."""
+def stretch_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per stretch of the segments: ``s1, s2, first, i, a, b``."""
+    for batch in batches:
+        data = batch.column("names").to_pylist()
+        n = np.array([len(x) // 16 for x in data], dtype=np.int64)
+        pairs = np.frombuffer(b"".join(data), dtype=np.int64).reshape(-1, 2)
+        row = np.repeat(np.arange(len(n)), n)
+        inside = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        cols = [batch.column(c).take(pa.array(row)) for c in ("s1", "s2", "first")]
+        yield pa.RecordBatch.from_arrays([*cols, pa.array(inside.astype(np.int32)), pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], names=["s1", "s2", "first", "i", "a", "b"])
+
+
+def repeated_runs(docs: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
+    """``doc_id, key, starts, firsts``: stretches of ``window`` words that a smaller document has too, and the least such documents.
+
+    Equal stretches share a mark, so only stretches under a mark of several documents are compared: segments as a
+    whole first, and where a mark has segments that differ, their stretches one by one.
+    """
     found = stored(marks(docs, window, shingle))
-    shared = found.groupBy("mark").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last").select("mark", "first")
-    return found.join(small(stored(shared)), "mark").where("doc_id > first").select("doc_id", "word", "first")
+    shared = found.groupBy("mark").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("mark")
+    mine = stored(found.join(small(stored(shared)), "mark").groupBy("doc_id").agg(F.collect_set("mark").alias("marks")))
+    source = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text").alias("key"), "text")
+    touched = source.join(small(mine.select("doc_id")), "doc_id", "left_semi").join(mine, "doc_id")
+    placed = stored(segments(touched, window, shingle))
+    kinds = stored(placed.groupBy("s1", "s2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.min("mark").alias("mark"), F.first("names", ignorenulls=True).alias("names")))
+    several = kinds.groupBy("mark").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi")).where("lo <> hi").select("mark")
+    several = small(stored(several))
+    each = stored(kinds.join(several, "mark").select("s1", "s2", "first", "names").mapInArrow(stretch_names, "s1 bigint, s2 bigint, first bigint, i int, a bigint, b bigint"))
+    least = each.groupBy("a", "b").agg(F.min("first").alias("least"), F.max("first").alias("most")).where("least <> most").select("a", "b", "least")
+    earlier = each.join(small(stored(least)), ["a", "b"]).where("first > least").groupBy("s1", "s2").agg(F.map_from_entries(F.collect_list(F.struct("i", "least"))).alias("earlier"))
+    per_kind = kinds.join(stored(earlier), ["s1", "s2"], "left").where("first <> last OR earlier IS NOT NULL").select("s1", "s2", "first", "earlier")
+    every = F.transform(F.sequence(F.lit(0), (F.col("n") - 1).cast("int")), lambda i: F.struct((F.col("start") + i).alias("start"), F.coalesce(F.col("earlier")[i], F.col("first")).alias("first")))
+    gone = placed.drop("names").join(stored(per_kind), ["s1", "s2"]).select("doc_id", "key", F.filter(every, lambda x: x["first"] < F.col("doc_id")).alias("gone")).where(F.size("gone") > 0)
+    listed = gone.groupBy("doc_id", "key").agg(F.flatten(F.collect_list("gone")).alias("gone"))
+    return listed.select("doc_id", "key", F.col("gone.start").alias("starts"), F.array_distinct(F.col("gone.first")).alias("firsts"))
 
 
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, threshold: float = THRESHOLD, rows: int = ROWS, recall: float = RECALL) -> DataFrame:
@@ -109,12 +199,23 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, threshold: float
     return out.select("doc_id", "line", F.col("first.doc_id").alias("first"))
 
 
-def cut_text(text: str, gone_lines: list[int], marked: list[int], shingle: int) -> tuple[str, int]:
-    """The text without the lines and the marked runs of ``shingle`` words, and the number of words that went."""
+def merged(starts: list[int], window: int) -> list[tuple[int, int]]:
+    """Runs of words ``(first, one after the last)`` that the stretches at ``starts`` cover; runs that touch are one."""
+    out: list[tuple[int, int]] = []
+    for s in sorted(starts):
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], s + window))
+        else:
+            out.append((s, s + window))
+    return out
+
+
+def cut_text(text: str, gone_lines: list[int], runs: list[tuple[int, int]]) -> tuple[str, int]:
+    """The text without the lines and the runs of words, and the number of words that went."""
     starts = [0] + [m.end() for m in re.finditer("\n", text)]
     ends = [*starts[1:], len(text)]
-    places = [m.span() for m in WORDS.finditer(text)] if marked else []
-    cuts = sorted([*((starts[i], ends[i]) for i in gone_lines), *((places[i][0], places[i + shingle - 1][1]) for i in marked)])
+    places = [m.span() for m in WORDS.finditer(text)] if runs else []
+    cuts = sorted([*((starts[i], ends[i]) for i in gone_lines), *((places[a][0], places[b - 1][1]) for a, b in runs)])
     out, at, words = [], 0, 0
     for a, b in cuts:
         a = max(a, at)
@@ -129,24 +230,27 @@ def cut_text(text: str, gone_lines: list[int], marked: list[int], shingle: int)
 def dedup_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, window: int = WINDOW, shingle: int = SHINGLE, **tuning) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_removed_lines, n_removed_spans, n_removed_words, first_docs, text`` (what stays).
 
-    ``first_docs`` lists the documents that keep what was removed here. Repeats inside one document count for whole
-    paragraphs, not for passages. Null texts stay null; lines under ``min_words`` words stay unless a passage covers
-    them, which it can't across lines. Rows with a null doc_id stay whole. Repeated rows with the same doc_id are one
+    A word goes with its paragraph, or if a stretch of ``window`` words that covers it, line ends counting as blanks,
+    is also in a document with a smaller doc_id; stretches are judged on the input, overlaps count, and what lies
+    between the words of a run goes with it. ``n_removed_spans`` counts such runs. ``first_docs`` lists the least
+    documents that hold what was removed here. Repeats inside one document count for whole paragraphs, not for
+    passages. Null texts stay null; lines under ``min_words`` words stay unless a passage covers them. Rows with a null doc_id stay whole. Repeated rows with the same doc_id are one
     document. No rows in, no rows out.
     """
     by_line = repeated_lines(docs, min_words, **tuning).groupBy("doc_id").agg(F.collect_set("line").alias("lines"), F.collect_set("first").alias("f1"))
-    by_mark = repeated_marks(docs, window, shingle).groupBy("doc_id").agg(F.collect_set("word").alias("words"), F.collect_set("first").alias("f2"))
-    both = by_line.join(by_mark, "doc_id", "full").select("doc_id", "lines", "words", F.array_sort(F.array_union(F.coalesce("f1", F.array().cast("array<bigint>")), F.coalesce("f2", F.array().cast("array<bigint>")))).alias("first_docs"))
+    by_run = repeated_runs(docs, window, shingle).groupBy("doc_id").agg(F.collect_list(F.struct("key", "starts")).alias("runs"), F.array_distinct(F.flatten(F.collect_list("firsts"))).alias("f2"))
+    both = by_line.join(by_run, "doc_id", "full").select("doc_id", "lines", "runs", F.array_sort(F.array_union(F.coalesce("f1", F.array().cast("array<bigint>")), F.coalesce("f2", F.array().cast("array<bigint>")))).alias("first_docs"))
     found = stored(both)
     mine = small(found.select("doc_id"))
-    source = docs.select("doc_id", "text")
+    source = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches):
-            cols = [part.column(c).to_pylist() for c in ("lines", "words")]
+            cols = [part.column(c).to_pylist() for c in ("key", "lines", "runs")]
             rows = []
-            for text, gone, marked in zip(texts, *cols, strict=True):
-                rows.append((len(gone or []), len(marked or []), *cut_text(text or "", gone or [], marked or [], shingle)[::-1]))
+            for text, key, gone, found_runs in zip(texts, *cols, strict=True):
+                runs = merged([s for r in found_runs or [] if r["key"] == key for s in r["starts"]], window)
+                rows.append((len(gone or []), len(runs), *cut_text(text or "", gone or [], runs)[::-1]))
             lines_gone, n_spans, words, kept = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(lines_gone, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(words, pa.int64()), part.column("first_docs"), pa.array(kept, pa.string())],
                                              names=["doc_id", "n_removed_lines", "n_removed_spans", "n_removed_words", "first_docs", "text"])

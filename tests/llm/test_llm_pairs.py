@@ -179,6 +179,51 @@ def test_passages_of_window_words_are_never_missed(docs_of):
         assert a & b
 
 
+def brute_runs(rows, window):
+    """doc_id to the words that stay when every stretch that a smaller document has goes."""
+    seen, out = {}, {}
+    for d, t in rows:
+        w = WORD.findall(t or "")
+        for i in range(len(w) - window + 1):
+            seen[tuple(w[i : i + window])] = min(seen.get(tuple(w[i : i + window]), d), d)
+    for d, t in rows:
+        w = WORD.findall(t or "")
+        gone = [False] * len(w)
+        for i in range(len(w) - window + 1):
+            if seen[tuple(w[i : i + window])] < d:
+                gone[i : i + window] = [True] * window
+        out[d] = [x for x, g in zip(w, gone, strict=True) if not g]
+    return out
+
+
+def test_passages_go_whole_and_over_line_ends(docs_of):
+    rng = random.Random(6)
+    passage = words(rng, 50)
+    around = lambda p, sep: "\n".join([" ".join(words(rng, 9)), sep.join(p), " ".join(words(rng, 9))])
+    verse = "\n".join(" ".join(passage[i : i + 6]) for i in range(0, 50, 6))
+    rows = [(1, around(passage, " ")), (2, around(passage, " ")), (3, around([verse], " ")), (4, around(passage[:49], " "))]
+    got = {r.doc_id: r for r in paragraphs.dedup_paragraphs(docs_of(rows), min_words=1000).collect()}
+    assert [got[d].n_removed_words for d in (1, 2, 3, 4)] == [0, 50, 50, 0]
+    assert {d: WORD.findall(got[d].text) for d in got} == brute_runs(rows, 50) and list(got[3].first_docs) == [1]
+
+
+@pytest.mark.parametrize("window, shingle", [(13, 5), (50, 20)])
+def test_passages_against_brute_force(docs_of, window, shingle):
+    rng = random.Random(12)
+    shared = [words(rng, rng.randrange(window // 2, 4 * window)) for _ in range(10)]
+    rows = []
+    for d in range(60):
+        parts = []
+        for _ in range(rng.randrange(5)):
+            p = rng.choice(shared) if rng.random() < 0.6 else words(rng, rng.randrange(30))
+            a = rng.randrange(len(p) // 2 + 1)
+            parts += p[a : rng.randrange(a, len(p) + 1)] if rng.random() < 0.5 else p
+        rows.append((d, "".join(w + rng.choice("  \n") for w in parts)))
+    rows += [(100, "la " * 200), (101, "la\n" * 90), (102, "la lo " * 100), (103, "lo la " * 30), (104, None), (105, "")]
+    got = {r.doc_id: WORD.findall(r.text or "") for r in paragraphs.dedup_paragraphs(docs_of(rows), min_words=1000, window=window, shingle=shingle).collect()}
+    assert got == brute_runs(rows, window)
+
+
 def test_paragraphs_whole_table_lines(spark, sf):
     """Lines that go, against all pairs of distinct lines."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")
