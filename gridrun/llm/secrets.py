@@ -1,7 +1,8 @@
 """Secret scan with a recursive decoding worklist.
 
-A text is scanned, then every encoded stretch in it (percent escapes, Unicode escapes, base64, and gzip, zlib or bz2
-data under base64) is unwrapped into a layer, which is scanned and searched for encoded stretches in turn. A layer
+A text is scanned, then what is encoded in it is unwrapped into layers: percent escapes and Unicode escapes in place,
+into a layer of the whole text each, and every stretch of base64, over line ends too, and of gzip, zlib or bz2 data
+under base64 into a layer of its own, which is scanned and searched for encoded stretches in turn. A layer
 equal to one already seen on the way to it ends that branch, so the worklist reaches a fixpoint. Every layer carries
 for each of its characters the stretch of the original text it came from; findings are reported there.
 """
@@ -13,7 +14,8 @@ import bz2
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +28,15 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # a run of 32 or more: runs are maximal
 KINDS = ("assign", "access", "hex")
 HINTS = ("password", "passwd", "secret", "token", "api")
-#: Maximal runs that may hold escapes, and one escape; a run is found in one pass, whatever its length.
-PERCENT_RUN, PERCENT = re.compile(r"[A-Za-z0-9_.~+/=:&?@!$'(),;*%-]+"), re.compile(r"%([0-9A-Fa-f]{2})")
-ESCAPE_RUN = re.compile(r"[\x21-\x7E]+")
+#: Escapes that follow one another.
+PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
+ESCAPES = re.compile(r"(?:\\(?:u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2}))+")
 ESCAPE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|x([0-9A-Fa-f]{2}))")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Base64 over several lines, and one line of it.
+PIECE = re.compile(r"[A-Za-z0-9+/_-]+")
+CHAIN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)+")
+LEAST_BASE64 = 16
 ODD = re.compile(r"[\x00-\x08\x0E-\x1F\x7F]")
 MAX_LAYER = 64 * 1024 * 1024
 
@@ -66,67 +72,75 @@ def _chars(text: str) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.append(starts[1:], len(data))
 
 
-def _percent(token: str) -> Layer | None:
-    data, start, end, i = bytearray(), [], [], 0
-    for m in PERCENT.finditer(token):
-        plain = token[i : m.start()]
-        data += plain.encode("ascii")
-        start += range(i, m.start())
-        end += range(i + 1, m.start() + 1)
-        data.append(int(m.group(1), 16))
-        start.append(m.start())
-        end.append(m.end())
+def _in_place(text: str, runs: re.Pattern, decoded: Callable[[str], list[tuple[str, int, int]]]) -> Layer | None:
+    """The whole text with its runs of escapes decoded to ``(character, start, end)``; None if there are none."""
+    out, start, end, i = [], [], [], 0
+    for m in runs.finditer(text):
+        out.append(text[i : m.start()])
+        start.append(np.arange(i, m.start()))
+        end.append(start[-1] + 1)
+        chars, a, b = zip(*decoded(m.group()), strict=True)
+        out += chars
+        start.append(np.array(a) + m.start())
+        end.append(np.array(b) + m.start())
         i = m.end()
-    data += token[i:].encode("ascii")
-    start += range(i, len(token))
-    end += range(i + 1, len(token) + 1)
-    out = _text(bytes(data))
-    if out is None:
+    if not out:
         return None
-    first, after = _chars(out)
-    return out, np.array(start)[first], np.array(end)[after - 1]
+    start.append(np.arange(i, len(text)))
+    end.append(start[-1] + 1)
+    return "".join([*out, text[i:]]), np.concatenate(start), np.concatenate(end)
 
 
-def _escapes(token: str) -> Layer | None:
-    out, start, end, i = [], [], [], 0
-    for m in ESCAPE.finditer(token):
-        out += token[i : m.start()]
-        start += range(i, m.start())
-        end += range(i + 1, m.start() + 1)
-        out.append(chr(int(m.group(1) or m.group(2), 16)))
-        start.append(m.start())
-        end.append(m.end())
-        i = m.end()
-    out += token[i:]
-    start += range(i, len(token))
-    end += range(i + 1, len(token) + 1)
-    starts, ends, chars, k = [], [], [], 0
-    while k < len(out):  # a surrogate pair is one character
-        if "\ud800" <= out[k] <= "\udbff" and k + 1 < len(out) and "\udc00" <= out[k + 1] <= "\udfff":
-            chars.append((out[k] + out[k + 1]).encode("utf-16", "surrogatepass").decode("utf-16"))
-            starts.append(start[k])
-            ends.append(end[k + 1])
-            k += 2
-        else:
-            chars.append(out[k] if not "\ud800" <= out[k] <= "\udfff" else "�")
-            starts.append(start[k])
-            ends.append(end[k])
-            k += 1
-    return "".join(chars), np.array(starts), np.array(ends)
+def _percent(run: str) -> list[tuple[str, int, int]]:
+    """Bytes as UTF-8; a byte that is none becomes U+FFFD."""
+    out, at = [], 0
+    for c in bytes.fromhex(run.replace("%", "")).decode("utf-8", "surrogateescape"):
+        n = len(c.encode("utf-8", "surrogateescape"))
+        out.append(("\ufffd" if "\ud800" <= c <= "\udfff" else c, at, at + 3 * n))
+        at += 3 * n
+    return out
 
 
-def _inflated(data: bytes) -> bytes | None:
-    """Decompressed gzip, zlib or bz2 data, as far as MAX_LAYER bytes; None if it is neither."""
+def _escapes(run: str) -> list[tuple[str, int, int]]:
+    """A surrogate pair is one character, half of one becomes U+FFFD."""
+    found = [(chr(int(m.group(1) or m.group(2), 16)), *m.span()) for m in ESCAPE.finditer(run)]
+    out, k = [], 0
+    while k < len(found):
+        c, a, b = found[k]
+        if "\ud800" <= c <= "\udbff" and k + 1 < len(found) and "\udc00" <= found[k + 1][0] <= "\udfff":
+            c, b, k = (c + found[k + 1][0]).encode("utf-16", "surrogatepass").decode("utf-16"), found[k + 1][2], k + 1
+        out.append(("\ufffd" if "\ud800" <= c <= "\udfff" else c, a, b))
+        k += 1
+    return out
+
+
+def _compressed(data: bytes) -> bool:
+    """Whether the first bytes are those of gzip, zlib or bz2 data."""
+    return data[:2] == b"\x1f\x8b" or data[:3] == b"BZh" or (data[:1] == b"\x78" and len(data) > 2 and int.from_bytes(data[:2], "big") % 31 == 0)
+
+
+def _inflated(data: bytes) -> tuple[bytes, int] | None:
+    """Decompressed gzip, zlib or bz2 data, as far as MAX_LAYER bytes, and how many bytes it took; None if it is neither."""
+    if not _compressed(data):
+        return None
     try:
-        if data[:2] == b"\x1f\x8b":
-            return zlib.decompressobj(31).decompress(data, MAX_LAYER)
-        if data[:1] == b"\x78" and len(data) > 2 and int.from_bytes(data[:2], "big") % 31 == 0:
-            return zlib.decompressobj().decompress(data, MAX_LAYER)
-        if data[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(data, MAX_LAYER)
+        one = bz2.BZ2Decompressor() if data[:3] == b"BZh" else zlib.decompressobj(31 if data[:1] == b"\x1f" else zlib.MAX_WBITS)
+        out = one.decompress(data, MAX_LAYER)
+        return out, len(data) - len(one.unused_data)
     except (zlib.error, OSError, EOFError, ValueError):
-        pass
-    return None
+        return None
+
+
+def _unwrapped(data: bytes) -> tuple[str, int] | None:
+    """Text under compression, nested too, and how many bytes of ``data`` it took; None if there is none."""
+    found, depth = _inflated(data), 0
+    if found is None:
+        return None
+    wrapped, used = found
+    while depth < 64 and (inner := _inflated(wrapped)) is not None:
+        wrapped, depth = inner[0], depth + 1
+    out = _text(wrapped)
+    return None if out is None else (out, used)
 
 
 def _base64(token: str) -> Layer | None:
@@ -141,37 +155,94 @@ def _base64(token: str) -> Layer | None:
     if out is not None:
         first, after = _chars(out)
         return out, first // 3 * 4 + first % 3, np.minimum((after - 1) // 3 * 4 + (after - 1) % 3 + 2, len(token))
-    depth, wrapped = 0, _inflated(data)
-    while wrapped is not None and depth < 64 and (inner := _inflated(wrapped)) is not None:
-        wrapped, depth = inner, depth + 1
-    out = _text(wrapped) if wrapped is not None else None
-    return None if out is None else (out, np.zeros(len(out), dtype=np.int64), np.full(len(out), len(token), dtype=np.int64))
+    found = _unwrapped(data)
+    return None if found is None else (found[0], np.zeros(len(found[0]), dtype=np.int64), np.full(len(found[0]), len(token), dtype=np.int64))
+
+
+def _bytes(body: str) -> bytes:
+    body = body[: len(body) - (len(body) % 4 == 1)]
+    return base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4))
+
+
+def _text_bytes(data: bytes) -> int:
+    """How many bytes from the first are UTF-8 text without control characters."""
+    try:
+        out = data.decode("utf-8")
+    except UnicodeDecodeError as e:
+        out = data[: e.start].decode("utf-8")
+    odd = ODD.search(out)
+    return len((out[: odd.start()] if odd else out).encode("utf-8"))
+
+
+def _lines(chain: str) -> Iterator[tuple[int, Layer]]:
+    """Layers of base64 wrapped over lines of ``chain``: from a line on, as many lines as decode to text or compressed data."""
+    spans = [m.span() for m in PIECE.finditer(chain)]
+    body = "".join(chain[a:b] for a, b in spans)
+    place = np.concatenate([np.arange(a, b) for a, b in spans])
+    ends = np.cumsum([b - a for a, b in spans])
+    i = 0
+    while i < len(spans) - 1:
+        first, last = int(ends[i]) - (spans[i][1] - spans[i][0]), i
+        layer = None
+        if _compressed(_bytes(body[first : first + 8])) and (found := _unwrapped(_bytes(body[first:]))) is not None:
+            out, used = found
+            last = min(int(np.searchsorted(ends, first + -(-used * 4 // 3))), len(spans) - 1)
+            layer = out, np.full(len(out), place[first]), np.full(len(out), place[ends[last] - 1] + 1)
+        else:
+            size, valid = 64, 0
+            while True:  # as far as it is text, in steps that double
+                data = _bytes(body[first : first + size])
+                valid = _text_bytes(data)
+                if first + size >= len(body) or valid < len(data) - 3:
+                    break
+                size *= 2
+            n = (ends[i:] - first) * 3 // 4
+            whole = ((ends[i:] - first) % 4 != 1) & (n <= valid)
+            after = np.append(np.frombuffer(data[:valid], dtype=np.uint8), 0)
+            whole[whole] = (after[n[whole]] & 0xC0) != 0x80  # not within a character
+            last = i + int(np.flatnonzero(whole)[-1]) if whole.any() else i
+            if last > i and (out := data[: n[last - i]].decode("utf-8")):
+                begin, stop = _chars(out)
+                size = int(ends[last]) - first
+                layer = out, place[first + begin // 3 * 4 + begin % 3], place[first + np.minimum((stop - 1) // 3 * 4 + (stop - 1) % 3 + 2, size) - 1] + 1
+        if layer is not None and last > i and ends[last] - first >= LEAST_BASE64:
+            yield 0, layer
+        i = last + 1
 
 
 def encoded(text: str) -> Iterator[tuple[str, int, Layer]]:
-    """Encoded stretches: name of the coding, start in ``text``, and the layer with places relative to that start."""
-    if "%" in text:
-        for m in PERCENT_RUN.finditer(text):
-            if PERCENT.search(m.group()) and (layer := _percent(m.group())) is not None:
-                yield "url", m.start(), layer
-    if "\\" in text:
-        for m in ESCAPE_RUN.finditer(text):
-            if ESCAPE.search(m.group()) and (layer := _escapes(m.group())) is not None:
-                yield "unicode", m.start(), layer
+    """Encoded stretches: name of the coding, start in ``text``, and the layer with places relative to that start.
+
+    Escapes are decoded in place, so that layer is the whole text.
+    """
+    if "%" in text and (layer := _in_place(text, PERCENT, _percent)) is not None:
+        yield "url", 0, layer
+    if "\\" in text and (layer := _in_place(text, ESCAPES, _escapes)) is not None:
+        yield "unicode", 0, layer
     for m in BASE64.finditer(text):
         if (layer := _base64(m.group())) is not None:
             yield "base64", m.start(), layer
+    if "\n" in text:
+        for m in CHAIN.finditer(text):
+            if m.end() - m.start() > LEAST_BASE64:
+                for at, layer in _lines(m.group()):
+                    yield "base64", m.start() + at, layer
 
 
 def all_spans(text: str, base: list[tuple[int, int, int]]) -> set[tuple[int, int, int, str]]:
     """``(start, end, kind number, kind)`` in the original text over all layers; the base spans are among them."""
     found = {(s, e, k, KINDS[k]) for s, e, k in base}
-    work: list[tuple[Layer | None, str, tuple[str, ...], frozenset[str]]] = [(None, text, (), frozenset([text]))]
+    work: deque[tuple[Layer | None, str, tuple[str, ...], frozenset[str]]] = deque([(None, text, (), frozenset([text]))])
+    known = {(s, e, k) for s, e, k in base}
+    queued: set[tuple[str, int, int]] = set()
     while work:
-        layer, here, path, seen = work.pop()
+        layer, here, path, seen = work.popleft()  # layers of few codings first
         if layer is not None:
             for s, e, k in base_spans(here):
-                found.add((int(layer[1][s]), int(layer[2][e - 1]), k, ".".join((*path, KINDS[k]))))
+                place = int(layer[1][s]), int(layer[2][e - 1]), k
+                if path[-1] == "base64" or place not in known:  # decoding in place leaves the rest as it was
+                    found.add((*place, ".".join((*path, KINDS[k]))))
+                known.add(place)
         for coding, at, (inner, start, end) in encoded(here):
             if inner in seen or inner == here:
                 continue  # a cycle: nothing new below
@@ -179,6 +250,9 @@ def all_spans(text: str, base: list[tuple[int, int, int]]) -> set[tuple[int, int
                 places = (inner, start + at, end + at)
             else:
                 places = (inner, layer[1][start + at], layer[2][np.maximum(end + at - 1, 0)])
+            if (key := (inner, int(places[1][0]), int(places[2][-1]))) in queued:
+                continue  # the same stretch of the original, by another way
+            queued.add(key)
             work.append((places, inner, (*path, coding), seen | {inner}))
     return found
 
@@ -198,7 +272,8 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
 
     Places are code points of the original text, end exclusive. A find in a decoded layer is named by the codings on
     the way to it; under base64 its place is exact to the character, under compression it is the whole stretch. A
-    layer that is no UTF-8 text, or holds control characters, is not unwrapped further. Decompression stops at
+    find that decoding in place leaves as it was is not named again. An escaped byte that is no UTF-8 counts as U+FFFD;
+    base64 that is no UTF-8 text, or holds control characters, is not unwrapped further. Decompression stops at
     MAX_LAYER bytes (a safeguard against decompression bombs). Null is an empty text; very long texts are
     scanned whole. No rows in, no rows out; further columns are ignored.
     """

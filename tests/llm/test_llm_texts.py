@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 import random
+import re
 import urllib.parse
 
 import numpy as np
@@ -76,6 +77,29 @@ def test_secret_layers_round_trip():
     assert secrets.scan_text("%25%32%35 %2525 100% \\u0025")[4] == ""
 
 
+def test_secret_layers_over_line_ends_and_blanks():
+    secret = "password=d9f3929e83c8655244"
+    wrapped = lambda data, n=76, end="\n": end.join(re.findall(f".{{1,{n}}}", base64.b64encode(data).decode()))
+    rng = random.Random(1)
+    noise = " ".join(f"w{rng.randrange(10**6)}é" for _ in range(120))
+    coded = {
+        "base64.assign": [wrapped(f"{'x' * k} {secret} {noise}".encode(), n, e) for k in range(30, 60) for n, e in ((76, "\n"), (64, "\r\n"), (50, "\n  "), (10, "\n"))] + [wrapped(gzip.compress(f"{noise} {secret}".encode()))],
+        "unicode.assign": ['{\\u0022password\\u0022: \\u0022hunter2hunter2\\u0022}'],
+        "url.assign": ['password%3D "hunter2hunter2"', "caf%E9&password%3Dd9f3929e83c8655244&%00"],
+    }
+    for kind, all_coded in coded.items():
+        for one in all_coded:
+            for text in (f"é see {one}", f"Heading\n{one}\nEnd\n", f"data: {one} end"):
+                found = [tuple(map(int, x.split(":")[1:])) for x in secrets.scan_text(text)[4].split(",") if x.startswith(f"{kind}:")]
+                at = text.index(one)
+                assert found and all(at <= s < e <= at + len(one) for s, e in found), (kind, text, found)
+                if kind == "base64.assign" and len(one) < 2500 and "H4sI" not in one:
+                    whole = max(found, key=lambda x: x[1] - x[0])
+                    body = re.sub(r"\s", "", text[whole[0] : whole[1]])
+                    assert any(secret in base64.b64decode(("A" * k + body + "AAAA")[: (len(body) + k + 4) // 4 * 4]).decode(errors="replace") for k in range(4)), (text, found)
+    assert secrets.scan_text("password=hunter2hunter2 100%25")[4] == "assign:0:23"
+
+
 def test_secret_scan_awkward(awkward, nothing):
     rows = secrets.scan_secrets(awkward.withColumn("spans", F.lit(1))).collect()
     assert len(rows) == 10 and {r.base_sha256 for r in rows} == {hashlib.sha256(b"").hexdigest()}
