@@ -8,7 +8,8 @@ corpus at each step would move many times its size, so positions are thinned wit
 1. Names found in one document only are unique: their positions leave (Spark shuffle by name, sorted in buckets).
 2. The remaining positions, in runs of one name, go to Spark again; each bucket sorts their pairs (rank at the position,
    rank at the position plus half the threshold). Pairs past the threshold are equal strings: all but those of the
-   least document are removed.
+   least document are removed. A name in very many documents (a common line in various surroundings) is not sent as
+   one group: its strings go to the buckets of their own pairs, from each slice only those of its least document.
 3. Per document the removed starts become byte spans.
 
 Both shuffles are combined before they start: a name or a run found in many documents of a slice is sent once.
@@ -32,6 +33,8 @@ RUN = 32  # starts in one row, a bit each
 #: Text bytes that one bucket of names stands for.
 BUCKET_BYTES = 64 * 1024 * 1024
 KEY_BITS = 48
+#: Names in more documents than this, or than one HOT_NAMES-th of all, are sent string by string.
+HOT, HOT_NAMES = 1_000, 100_000
 
 
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -174,8 +177,29 @@ def _rows(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.nulls(n, kinds.get(k, pa.int64())) if c is None else pa.array(c, type=kinds.get(k, pa.int64())) for k, c in columns.items()], names=list(columns))
 
 
-def removed_starts(docs: DataFrame, names: DataFrame, min_bytes: int, bits: int) -> DataFrame:
-    """``doc_id, start, mask``: bit i is set where the string at byte ``start + i`` also starts in a smaller document."""
+def hot_names(names: DataFrame) -> np.ndarray:
+    """Sorted names in very many documents; HOT_NAMES of them at most."""
+    total = names.agg(F.sum(F.size("names"))).first()[0] or 0
+    counts = names.select(F.explode("names").alias("name")).groupBy("name").count().where(F.col("count") > max(HOT, total // HOT_NAMES))
+    return np.sort(np.array([r["name"] for r in counts.collect()], dtype=np.int64).view(np.uint64))
+
+
+def pair_ranks(rank: np.ndarray, place: np.ndarray, min_bytes: int, half: int) -> tuple[np.ndarray, np.ndarray]:
+    """The 128 bits that tell strings of ``min_bytes`` apart."""
+    return _mix(rank[place], rank[place + min_bytes - half]), rank[place]
+
+
+def later(doc: np.ndarray, pair: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Places of the strings that a smaller document has too."""
+    order = np.lexsort((doc, pair[1], pair[0]))
+    a, b, d = pair[0][order], pair[1][order], doc[order]
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return order[d > d[np.maximum.accumulate(np.where(new, np.arange(len(d)), 0))]]
+
+
+def sent_starts(docs: DataFrame, names: DataFrame, min_bytes: int, bits: int) -> DataFrame:
+    """``name, doc_id, start, count, payload``: runs with their bytes, by name; strings of hot names (count 0), by rank; what is decided (no payload)."""
     mask = np.uint64((1 << min(64, bits + KEY_BITS)) - 1)
     half = min_bytes // 2
 
@@ -187,6 +211,29 @@ def removed_starts(docs: DataFrame, names: DataFrame, min_bytes: int, bits: int)
             name = name & mask
             at = np.flatnonzero(np.isin(name, wanted))
             starts = np.cumsum(lengths) - lengths
+            common = np.isin(name[at], hot.value)
+            if common.any():
+                run, at = at[common], at[~common]
+                row = np.repeat(np.arange(len(run)), count[run])
+                inside = np.arange(len(row)) - np.repeat(np.cumsum(count[run]) - count[run], count[run])
+                doc, low = ids[owner[run]], start[run] - starts[owner[run]]
+                pair = pair_ranks(half_ranks(data, half), start[run][row] + inside, min_bytes, half)
+                gone = later(doc[row], pair)
+                bitmask = np.zeros(len(run), dtype=np.int64)
+                np.bitwise_or.at(bitmask, row[gone], np.int64(1) << inside[gone])
+                some = bitmask != 0
+                yield _rows(name=doc[some] & 0xFFFF, doc_id=doc[some], start=low[some], count=bitmask[some], payload=None)
+                left = np.ones(len(row), dtype=bool)
+                left[gone] = False
+                x, y, doc, low = pair[0][left], pair[1][left], doc[row[left]], (low[row] + inside)[left]
+                order = np.lexsort((low, doc, y, x))
+                x, y, doc, low = x[order], y[order], doc[order], low[order]
+                new = np.ones(len(x), dtype=bool)
+                new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+                heads = np.flatnonzero(new)
+                # one row a string, with all its places in the least document
+                places = [y[i : i + 1].tobytes() + low[i:j].tobytes() for i, j in zip(heads.tolist(), [*heads[1:].tolist(), len(x)], strict=True)]
+                yield _rows(name=x[heads].view(np.int64), doc_id=doc[heads], start=low[heads], count=np.zeros(len(heads), dtype=np.int64), payload=places)
             raw = data.tobytes()
             best: dict[tuple[int, bytes], tuple] = {}
             known: list[tuple[int, int, int]] = []
@@ -210,34 +257,42 @@ def removed_starts(docs: DataFrame, names: DataFrame, min_bytes: int, bits: int)
                 doc, low, c = zip(*best.values(), strict=True)
                 yield _rows(name=[k for k, _ in best], doc_id=doc, start=low, count=c, payload=[p[: n + min_bytes - 1] for (_, p), n in zip(best, c, strict=True)])
 
+    hot = docs.sparkSession.sparkContext.broadcast(hot_names(names))
+    return docs.select("doc_id", "text").join(names, "doc_id").mapInArrow(scan, "name bigint, doc_id bigint, start bigint, count bigint, payload binary")
+
+
+def removed_starts(docs: DataFrame, names: DataFrame, min_bytes: int, bits: int) -> DataFrame:
+    """``doc_id, start, mask``: bit i is set where the string at byte ``start + i`` also starts in a smaller document."""
+    half = min_bytes // 2
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def done(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-            rows = rows.combine_chunks()
+            single = rows.filter(pa.compute.equal(rows.column("count"), 0)).combine_chunks()
+            if single.num_rows > 1:
+                payload, doc = single.column("payload").to_pylist(), single.column("doc_id").to_numpy()
+                gone = later(doc, (single.column("name").to_numpy().view(np.uint64), np.frombuffer(b"".join(p[:8] for p in payload), dtype=np.uint64)))
+                places = [np.frombuffer(payload[i], dtype=np.int64, offset=8) for i in gone.tolist()]
+                doc = np.repeat(doc[gone], [len(p) for p in places])
+                low = np.concatenate([np.zeros(0, dtype=np.int64), *places])
+                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(low), pa.array(np.ones(len(low), dtype=np.int64))], names=["doc_id", "start", "mask"])
+            rows = rows.filter(pa.compute.greater(rows.column("count"), 0)).combine_chunks()
             if rows.num_rows < 2:
                 return
             payload = rows.column("payload").to_pylist()
             data = np.frombuffer(b"".join(payload), dtype=np.uint8)
             count = rows.column("count").to_numpy()
-            doc, key, low = (rows.column(c).to_numpy() for c in ("doc_id", "name", "start"))
+            doc, low = (rows.column(c).to_numpy() for c in ("doc_id", "start"))
             rank = half_ranks(data, half)
             begin = np.cumsum(count + min_bytes - 1) - (count + min_bytes - 1)
             row = np.repeat(np.arange(len(count)), count)
             inside = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-            place = begin[row] + inside
-            pair = _mix(rank[place], rank[place + min_bytes - half]), rank[place]
-            order = np.lexsort((doc[row], pair[1], pair[0]))
-            a, b, d = pair[0][order], pair[1][order], doc[row][order]
-            new = np.ones(len(order), dtype=bool)
-            new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-            least = d[np.maximum.accumulate(np.where(new, np.arange(len(d)), 0))]
-            gone = order[d > least]
+            gone = later(doc[row], pair_ranks(rank, begin[row] + inside, min_bytes, half))
             bitmask = np.zeros(len(count), dtype=np.int64)
             np.bitwise_or.at(bitmask, row[gone], np.int64(1) << inside[gone])
             keep = bitmask != 0
             yield pa.RecordBatch.from_arrays([pa.array(doc[keep]), pa.array(low[keep]), pa.array(bitmask[keep])], names=["doc_id", "start", "mask"])
-            del key
 
         rows_held = 0
         for batch in batches:
@@ -257,8 +312,7 @@ def removed_starts(docs: DataFrame, names: DataFrame, min_bytes: int, bits: int)
         if rows_held:
             yield from done(pa.Table.from_batches(held))
 
-    sent = docs.select("doc_id", "text").join(names, "doc_id").mapInArrow(scan, "name bigint, doc_id bigint, start bigint, count bigint, payload binary")
-    return sent.repartition("name").sortWithinPartitions("name").mapInArrow(meet, "doc_id bigint, start bigint, mask bigint")
+    return sent_starts(docs, names, min_bytes, bits).repartition("name").sortWithinPartitions("name").mapInArrow(meet, "doc_id bigint, start bigint, mask bigint")
 
 
 def removed_bytes(n_bytes: int, starts: list, masks: list, min_bytes: int) -> np.ndarray:

@@ -123,6 +123,23 @@ def brute_substrings(rows, n=50):
     return out
 
 
+def test_a_common_line_is_spread(docs_of, monkeypatch):
+    """A line in many documents with other surroundings: right with hot names, and no name holds a row per document."""
+    monkeypatch.setattr(substrings, "HOT", 20)
+    rng = random.Random(13)
+    line = "".join(rng.choice("abcdefgh ") for _ in range(140))
+    noise = lambda: "".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(30, 90)))
+    rows = [(d, noise() + line + noise()) for d in range(400)] + [(1000 + d, line[: 60 + d] + noise()) for d in range(60)]
+    rows += [(2000 + d, noise() + "la lo " * (40 + d)) for d in range(60)]
+    docs = docs_of(rows)
+    got = {r.doc_id: tuple(r)[1:5] for r in substrings.dedup_substrings(docs).collect()}
+    assert got == brute_substrings(rows)
+    bits = substrings._bits_for(docs)
+    names = substrings.shared_names(docs, 50, bits).groupBy("doc_id").agg(F.collect_set("name").alias("names"))
+    sent = substrings.sent_starts(docs, names, 50, bits).where("payload IS NOT NULL")
+    assert sent.groupBy("name").count().agg(F.max("count")).first()[0] <= 20
+
+
 @pytest.mark.parametrize("slice_chars", [300, 4_000_000])
 def test_substrings_against_brute_force(docs_of, slice_chars, monkeypatch):
     rng = random.Random(11)
