@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridrun.llm import decontaminate, jaccard, language, licenses, mixing, paragraphs, repetition, secrets, substrings, toolcalls
+from gridrun.llm import collocations, decontaminate, jaccard, language, licenses, mixing, negatives, paragraphs, repetition, secrets, substrings, toolcalls, urls
 from gridrun.llm.common import table
 
 
@@ -52,6 +52,18 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(table(spark, sf_dir, "documents")).drop("u")
 
 
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.filter_urls(table(spark, sf_dir, "pages"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_license_scan": op2_license_scan,
@@ -63,10 +75,15 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op11_url_filter": op11_url_filter,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_collocations": op13_collocations,
 }
 ORACLES = {
     "op2_license_scan": licenses.oracle(),
     "op3_chat_tool_calls": toolcalls.ORACLE,
     "op5_quality_rules": repetition.ORACLE,
     "op8_mixing": mixing.ORACLE,
+    "op12_hard_negatives": negatives.ORACLE,
+    "op13_collocations": collocations.ORACLE,
 }
