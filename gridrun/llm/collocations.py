@@ -29,6 +29,8 @@ from gridrun.operators.ranking import top_k
 FILTER_BITS, FILTER_HASHES = 26, 3
 #: Bytes of text worked on at once, cut between pieces, and phrases that a task holds before it sends them on.
 BLOCK, HELD = 2_000_000, 1_000_000
+#: Parts of the scan that one task builds stripes of: every task sends each frequent phrase it has, so few large ones send less.
+STRIPE_PARTS = 4
 SPACE, END = 32, 10
 #: Bytes of a text: A-Z small, line ends and punctuation end a piece, a tab is a space.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else END if b in b".,;:!?\n\x0b\x0c\r" else SPACE if b == 9 else b for b in range(256))
@@ -232,7 +234,8 @@ def stripes(docs: DataFrame, known: list[Broadcast]) -> DataFrame:
                 held, said = [Sums() for _ in known], [{} for _ in known]
         yield sent()
 
-    return docs.mapInArrow(scan, "lang string, prefix string, next array<string>, counts array<long>")
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, docs.rdd.getNumPartitions() // STRIPE_PARTS)
+    return docs.coalesce(tasks).mapInArrow(scan, "lang string, prefix string, next array<string>, counts array<long>")
 
 
 def merged(rows: DataFrame) -> DataFrame:
