@@ -27,8 +27,8 @@ from gridrun.operators.ranking import top_k
 
 #: Bits and hash functions of the filter of a round: 8 MB, good for about ten million frequent phrases.
 FILTER_BITS, FILTER_HASHES = 26, 3
-#: Bytes of text worked on at once, cut between pieces, and phrases that a task holds before it sends them on.
-BLOCK, HELD = 2_000_000, 1_000_000
+#: Bytes of text worked on at once, cut between pieces, phrases that a task holds before it sends them on, and phrases it sends at once.
+BLOCK, HELD, SENT = 1_000_000, 1_000_000, 50_000
 #: Parts of the scan that one task builds stripes of: every task sends each frequent phrase it has, so few large ones send less.
 STRIPE_PARTS = 4
 SPACE, END = 32, 10
@@ -205,18 +205,20 @@ def stripes(docs: DataFrame, known: list[Broadcast]) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[Sums] = [Sums() for _ in known]
-        said: list[dict[int, tuple[str, str, str]]] = [{} for _ in known]
+        said: list[dict[int, str]] = [{} for _ in known]
 
-        def sent() -> pa.RecordBatch:
-            rows: dict[tuple[str, str], tuple[list, list]] = {}
+        def sent() -> Iterator[pa.RecordBatch]:
             for sums, names in zip(held, said, strict=True):
-                for h, n in zip(sums.key.tolist(), sums.n.tolist(), strict=True):
-                    lang, prefix, word = names[h]
-                    cells = rows.setdefault((lang, prefix), ([], []))
-                    cells[0].append(word)
-                    cells[1].append(n)
-            cols = [k[0] for k in rows], [k[1] for k in rows], [v[0] for v in rows.values()], [v[1] for v in rows.values()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64())), strict=True)], names=["lang", "prefix", "next", "counts"])
+                for at in range(0, len(sums.key), SENT):
+                    rows: dict[tuple[str, str], tuple[list, list]] = {}
+                    for h, n in zip(sums.key[at : at + SENT].tolist(), sums.n[at : at + SENT].tolist(), strict=True):
+                        lang, _, phrase = names[h].rpartition("\n")
+                        prefix, _, word = phrase.rpartition(" ")
+                        cells = rows.setdefault((lang, prefix), ([], []))
+                        cells[0].append(word)
+                        cells[1].append(n)
+                    cols = [k[0] for k in rows], [k[1] for k in rows], [v[0] for v in rows.values()], [v[1] for v in rows.values()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64())), strict=True)], names=["lang", "prefix", "next", "counts"])
 
         for words in blocks(batches):
             for k, (sums, names) in enumerate(zip(held, said, strict=True), 1):
@@ -226,13 +228,12 @@ def stripes(docs: DataFrame, known: list[Broadcast]) -> DataFrame:
                 new, first = np.unique(h, return_index=True)
                 fresh = ~np.isin(new, sums.key)
                 for key, i in zip(new[fresh].tolist(), at[first[fresh]].tolist(), strict=True):
-                    *prefix, word = [words.text(j) for j in range(i, i + k)]
-                    names[key] = words.names[words.lang[i]], " ".join(prefix), word
+                    names[key] = words.names[words.lang[i]] + "\n" + " ".join([words.text(j) for j in range(i, i + k)])
                 sums.add(h)
             if sum(map(len, said)) > HELD // 4:
-                yield sent()
+                yield from sent()
                 held, said = [Sums() for _ in known], [{} for _ in known]
-        yield sent()
+        yield from sent()
 
     tasks = max(docs.sparkSession.sparkContext.defaultParallelism, docs.rdd.getNumPartitions() // STRIPE_PARTS)
     return docs.coalesce(tasks).mapInArrow(scan, "lang string, prefix string, next array<string>, counts array<long>")
