@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridrun.llm.common import slices
+from gridrun.llm.common import free_name, slices
 
 #: Spaced seeds: '1' counts, '0' is ignored.
 MASKS = ("111010011", "110110101", "101100111")
@@ -198,6 +198,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MAS
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, all columns, that overlap no item of the benchmark."""
     bad = overlaps(docs, benchmark, **options).select("doc_id", "doc_key").distinct()
-    keyed = docs.withColumn("_key", text_key())
+    mark = free_name(docs, "_key")
+    keyed = docs.withColumn(mark, text_key())
     # a null doc_id equals a null doc_id here
-    return keyed.alias("d").join(bad.alias("b"), F.col("d.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("d._key") == F.col("b.doc_key")), "left_anti").drop("_key")
+    return keyed.alias("d").join(bad.alias("b"), F.col("d.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col(f"d.{mark}") == F.col("b.doc_key")), "left_anti").drop(mark)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridrun.llm.common import slices, stored
+from gridrun.llm.common import free_name, slices, stored
 from gridrun.llm.minhash import band_tables, bands_for, components, shingle_table
 
 THRESHOLD, SHINGLE, ROWS, RECALL = 0.8, 5, 3, 0.9999
@@ -251,6 +251,7 @@ def keep_one_per_class(docs: DataFrame, **options) -> DataFrame:
     """
     judged = classes(docs, **options)
     kept = judged.where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("class_id"))).select("doc_id", "u").distinct()
-    marked = docs.withColumn("_u", F.xxhash64("text"))
-    out = marked.alias("d").join(kept.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d._u") == F.col("k.u")), "left_semi")
-    return out.dropDuplicates(["doc_id", "_u"]).drop("_u")
+    mark = free_name(docs, "_u")
+    marked = docs.withColumn(mark, F.xxhash64("text"))
+    out = marked.alias("d").join(kept.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col(f"d.{mark}") == F.col("k.u")), "left_semi")
+    return out.dropDuplicates(["doc_id", mark]).drop(mark)

@@ -12,10 +12,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridrun.llm.common import word_count
+from gridrun.llm.common import stored, word_count
 
 #: Cells by hash into which the documents of a source are dealt, so that no window holds a whole source.
 CELLS = 1024
+#: Up to so many sources, of a few numbers each, are sent to every task.
+MOST_SOURCES = 100_000
 
 
 def draw_order(doc_id: Column, seed: str) -> Column:
@@ -50,29 +52,50 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), max_e
     return rows.select("source", "source_size", target.alias("target"))
 
 
+def source_cuts(sized: DataFrame, weights: Sequence[float], max_epochs: int) -> DataFrame:
+    """One row per source: ``source, source_size, target, whole`` (times that it is repeated as a whole) and the cut.
+
+    The rest of the target is taken from the source's documents in seeded order. ``cut`` is the key of the document in
+    which the rest ends and ``cut_taken`` the words taken of it; it is looked for in the one cell that holds it.
+    """
+    cells = stored(sized.groupBy("source", "_cell").agg(F.sum("size").alias("_cell_size")))
+    targets = source_targets(cells.groupBy("source").agg(F.sum("_cell_size").alias("source_size")), weights, max_epochs)
+    targets = targets.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.floor("target") / F.col("source_size"))).otherwise(0).cast("long"))
+    targets = targets.withColumn("_rest", F.floor("target").cast("long") - F.col("whole") * F.col("source_size"))
+    earlier = Window.partitionBy("source").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    starts = cells.withColumn("_start", F.coalesce(F.sum("_cell_size").over(earlier), F.lit(0))).withColumnRenamed("source", "_s")
+    at = starts.join(targets, F.col("_s").eqNullSafe(F.col("source"))).where((F.col("_start") <= F.col("_rest")) & (F.col("_rest") < F.col("_start") + F.col("_cell_size")))
+    at = stored(at.select(F.col("source").alias("_s"), F.col("_cell").alias("_at"), (F.col("_rest") - F.col("_start")).alias("_left")))
+    inside = sized.join(at, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_cell") == F.col("_at")))
+    keys = inside.groupBy("_s", "key").agg(F.sum("size").alias("_sum"), F.count("*").alias("_n"), F.first("_left").alias("_left"))
+    before = F.coalesce(F.sum("_sum").over(Window.partitionBy("_s").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cuts = keys.withColumn("_before", before).where((F.col("_before") <= F.col("_left")) & (F.col("_left") < F.col("_before") + F.col("_sum")))
+    cuts = cuts.select("_s", F.col("key").alias("cut"), F.floor((F.col("_left") - F.col("_before")) / F.col("_n")).alias("cut_taken"))
+    return stored(targets.join(cuts, F.col("source").eqNullSafe(F.col("_s")), "left").select("source", "source_size", "target", "whole", "cut", "cut_taken"))
+
+
 def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_epochs: int = 3, seed: str = "mix", carry: Sequence[str] = ()) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken (and the ``carry`` columns of ``docs``).
 
     A source is repeated whole ``target div source_size`` times; the rest of its target is taken from its documents
-    in seeded order, the last one only as far as the target needs. So the words taken are the target's whole part.
+    in seeded order (draw, doc_id, size, text), the last one only as far as the target needs. So the words taken are
+    the target's whole part. Documents themselves are neither shuffled nor sorted: each is held against its source's
+    row, in which the rest ends.
+
     Documents without words, with null text or of an empty source take 0. A null source is a source of its own.
-    Repeated rows are documents of their own. No rows in, no rows out.
+    Repeated rows are documents of their own; if the rest ends in equal rows, they share what is left evenly, down to
+    whole words. Texts of any length count whole. ``docs`` may have columns of the result's or of other names; only
+    those in ``carry`` come along. No rows in, no rows out.
     """
-    sized = docs.select(
-        F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), word_count(F.col("text")).alias("size"), draw_order(F.col("doc_id"), seed).alias("_draw"), *[F.col(c).alias(f"_c_{c}") for c in carry]
-    ).withColumn("_cell", F.shiftright("_draw", 60 - CELLS.bit_length() + 1))
-    cells = sized.groupBy("source", "_cell").agg(F.sum("size").alias("_cell_size"))
-    targets = source_targets(cells.groupBy("source").agg(F.sum("_cell_size").alias("source_size")), weights, max_epochs)
-    earlier = Window.partitionBy("source").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    starts = cells.withColumn("_start", F.coalesce(F.sum("_cell_size").over(earlier), F.lit(0)))
-    starts = starts.alias("a").join(targets.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source"))).select("a.source", "a._cell", "_start", "source_size", "target")
-    in_cell = Window.partitionBy("source", "_cell").orderBy("_draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = sized.withColumn("_before", F.coalesce(F.sum("size").over(in_cell), F.lit(0)))
-    joined = placed.alias("d").join(starts.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")) & (F.col("d._cell") == F.col("s._cell")))
-    whole = F.when(F.col("source_size") > 0, F.floor(F.floor("target") / F.col("source_size"))).otherwise(0).cast("long")
-    rest = F.floor("target").cast("long") - whole * F.col("source_size") - F.col("_start") - F.col("_before")
-    taken = whole * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest))
-    return joined.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), *[F.col(f"_c_{c}").alias(c) for c in carry if c != "doc_id"])
+    draw = draw_order(F.col("doc_id"), seed)
+    key = F.struct(draw.alias("draw"), F.col("doc_id").alias("doc_id"), word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("text"))
+    rows = docs.select(F.col("source").alias("source"), key.alias("key"), *[F.col(c).alias(f"_c_{c}") for c in carry]).withColumn("size", F.col("key.size"))
+    sized = rows.select("source", "key", "size", F.shiftright("key.draw", 60 - CELLS.bit_length() + 1).alias("_cell"))
+    cuts = source_cuts(sized, weights, max_epochs).withColumnRenamed("source", "_source")
+    joined = rows.join(F.broadcast(cuts) if cuts.limit(MOST_SOURCES + 1).count() <= MOST_SOURCES else cuts, F.col("source").eqNullSafe(F.col("_source")))
+    part = F.when(F.col("key") < F.col("cut"), F.col("size")).when(F.col("key") == F.col("cut"), F.col("cut_taken")).otherwise(0)
+    taken = F.col("whole") * F.col("size") + F.coalesce(part, F.lit(0))
+    return joined.select(F.col("key.doc_id").alias("doc_id"), "size", "source_size", "target", taken.cast("long").alias("taken"), *[F.col(f"_c_{c}").alias(c) for c in carry if c != "doc_id"])
 
 
 ORACLE = r"""

@@ -52,6 +52,22 @@ def test_mixing_awkward(awkward, nothing):
     assert {r.taken for r in mixing.mix_sources(awkward.where("size(split(text, ' ')) IS NULL OR text = ''")).collect()} == {0}
 
 
+def test_mixing_ends_in_equal_rows(docs_of):
+    """Equal rows share the rest; rows that differ in their text only don't tie."""
+    rows = [(7, "w " * 9, None, "a")] * 10 + [(8, f"{i} " * 5, None, "b") for i in range(20)] + [(9, "w", None, "c")]
+    got = mixing.mix_sources(docs_of(rows), carry=["source", "text"]).collect()
+    by = {s: [r for r in got if r.source == s] for s in "abc"}
+    assert len({r.taken for r in by["a"]}) == 1 and 0 <= by["a"][0].target - sum(r.taken for r in by["a"]) < 10
+    assert 0 <= by["b"][0].target - sum(r.taken for r in by["b"]) < 1 and len({r.text for r in by["b"]}) == 20
+
+
+def test_stages_keep_columns_of_any_name(docs_of, spark, sf):
+    docs = docs_of([(1, "a text of some words"), (2, "another text of other words")]).withColumn("_u", F.lit(1)).withColumn("_key", F.lit(2)).withColumn("size", F.lit(3)).withColumn("key", F.lit(4))
+    for _, stage in corpus_pipeline.STAGES[1:3]:
+        got = stage(spark, docs, sf)
+        assert got.columns == docs.columns and {(r["_u"], r["_key"], r["size"], r["key"]) for r in got.collect()} == {(1, 2, 3, 4)}
+
+
 def test_tool_calls(spark):
     call = lambda **x: json.dumps({"tool_calls": [x]})
     rows = [
