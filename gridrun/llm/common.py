@@ -18,6 +18,8 @@ from gridrun.session import shared_folder
 WORD = r"[^\x20\x09-\x0D]+"
 WORDS = re.compile(WORD)
 SLICE_CHARS = 4_000_000
+#: For operators that hold several numbers per character, and run after one another in the same workers.
+SMALL_SLICE = 1_500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,13 +31,13 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Arrow batches cut to about SLICE_CHARS of text (one row at least), with the texts as Python strings (None for null)."""
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", chars: int = SLICE_CHARS) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Arrow batches cut to about ``chars`` of text (one row at least), with the texts as Python strings (None for null)."""
     for batch in batches:
         sizes = np.asarray(pa.compute.fill_null(pa.compute.utf8_length(batch.column(text).cast(pa.large_string())), 0), dtype=np.int64)
         at, total = 0, 0
         for i, n in enumerate(sizes):
-            if i > at and total + n > SLICE_CHARS:
+            if i > at and total + n > chars:
                 part = batch.slice(at, i - at)
                 yield part, part.column(text).to_pylist()
                 at, total = i, 0

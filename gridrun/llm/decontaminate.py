@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridrun.llm.common import free_name, slices
+from gridrun.llm.common import SMALL_SLICE, free_name, slices
 
 #: Spaced seeds: '1' counts, '0' is ignored.
 MASKS = ("111010011", "110110101", "101100111")
@@ -79,7 +79,7 @@ def benchmark_seeds(benchmark: DataFrame, masks: tuple[str, ...] = MASKS, window
     reach = window - 1
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in slices(batches):
+        for part, texts in slices(batches, chars=SMALL_SLICE):
             tokens, counts = token_hashes(texts)
             ends = np.cumsum(counts)
             cols: list[list] = [[], [], [], [], [], []]
@@ -134,7 +134,7 @@ def seed_hits(docs: DataFrame, benchmark_lengths: list[int], bloom: np.ndarray,
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         allowed = np.unpackbits(packed.value).astype(bool)
-        for part, texts in slices(batches):
+        for part, texts in slices(batches, chars=SMALL_SLICE):
             tokens, counts = token_hashes(texts)
             starts = np.cumsum(counts) - counts
             owner = np.repeat(np.arange(len(texts)), counts)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridrun.llm.common import free_name, slices, stored
+from gridrun.llm.common import SMALL_SLICE, free_name, slices, stored
 from gridrun.llm.minhash import band_tables, bands_for, components, shingle_table
 
 THRESHOLD, SHINGLE, ROWS, RECALL = 0.8, 5, 3, 0.9999
@@ -36,7 +36,7 @@ def band_rows(units: DataFrame, bands: int, rows: int, n: int = SHINGLE) -> Data
     """``(u, text)`` to ``(u, bh)``: a row per unit and band; units without words have none."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in slices(batches):
+        for part, texts in slices(batches, chars=SMALL_SLICE):
             hashes, has = band_tables(texts, bands, rows, n)
             ids = part.column("u").to_numpy()[has]
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, bands)), pa.array(hashes.reshape(-1))], names=["u", "bh"])
@@ -194,7 +194,7 @@ def verified(members: DataFrame, texts: DataFrame, threshold: float = THRESHOLD,
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0  # characters held
-        for part, texts in slices(batches):
+        for part, texts in slices(batches, chars=SMALL_SLICE):
             cols = [part.column(c).to_pylist() for c in ("bh", "i", "j", "u", "own", "homes")]
             for row in zip(*cols, texts, strict=True):
                 if size > HELD_CHARS and row[:3] != held[-1][:3]:

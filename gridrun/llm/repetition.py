@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from gridrun.llm.common import WORDS, slices
+from gridrun.llm.common import SMALL_SLICE, WORDS, slices
 
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\v\f\r"
@@ -129,7 +129,7 @@ def quality_rules(docs: DataFrame, min_words: int = 8, max_covered: float = 0.35
     """
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in slices(batches):
+        for part, texts in slices(batches, chars=SMALL_SLICE):
             columns = [part.column("doc_id").cast(pa.int64()), *_judged(texts, min_words, max_covered, max_longest)]
             yield pa.RecordBatch.from_arrays([pa.array(x, type=kind) for x, (_, kind) in zip(columns, KINDS, strict=True)], names=[name for name, _ in KINDS])
 
@@ -140,7 +140,7 @@ def keep_quality(docs: DataFrame, **limits) -> DataFrame:
     """The rows of ``docs``, all columns, that ``quality_rules`` keeps; one pass, no shuffle."""
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in slices(batches):
+        for part, texts in slices(batches, chars=SMALL_SLICE):
             yield part.filter(pa.array(_judged(texts, limits.get("min_words", 8), limits.get("max_covered", 0.35), limits.get("max_longest", 100))[6]))
 
     return docs.mapInArrow(judge, docs.schema)
