@@ -6,8 +6,10 @@ from gridrun.constants import BUILTUP, ROAD, WATER
 from gridrun.operators import components as C
 from gridrun.operators import morphology as MO
 from gridrun.operators import proximity as P
-from gridrun.operators.runs import as_layer, coverage, decode, encode, intersect, merge_runs, overlay, run_len, subtract, window_clip
+from gridrun.operators.runs import as_layer, coverage, decode, encode, intersect, merge_runs, overlay, run_len, subtract
 from gridrun.queries.registry import query
+from gridrun.sources import sinks as SI
+from gridrun.sources.fixtures import WIDE
 
 FRAME = (256, 256)
 PXSUM = "raster_id, cast(count(*) as bigint) as px, cast(sum(row*256+col) as bigint) as pos_sum"
@@ -194,7 +196,28 @@ def j06(s):
 
 @query("s03_windowed_read", "select raster_id, class_id, count(*) as px from truth_px where row>=64 and row<128 and col>=32 and col<200 group by 1,2")
 def s03(s):
-    return window_clip(s.truth, 64, 32, 64, 168).groupBy("raster_id", "class_id").agg(F.sum(run_len()).alias("px"))
+    """A window of the stored mask."""
+    path = SI.scratch_path(s.spark, "mask")
+    SI.write_mask(s.truth, path, strip=64)
+    return SI.read_window(s.spark, path, 64, 32, 64, 168).groupBy("raster_id", "class_id").agg(F.sum(run_len()).alias("px"))
+
+
+@query("s03_windowed_read_wide", """select raster_id, class_id, min(row) as first_row, max(row) as last_row, min(col) as first_col, max(col) as last_col, count(*) as px
+  from wide_px where row>=700 and row<1100 and col>=300 and col<1900 group by 1,2""")
+def s03_wide(s):
+    """A window over strip borders of a stored mask, rasters of many tiles."""
+    path = SI.scratch_path(s.spark, "mask")
+    SI.write_mask(s.wide_truth, path, strip=256)
+    return SI.read_window(s.spark, path, 700, 300, 400, 1600).groupBy("raster_id", "class_id").agg(
+        F.min("row").alias("first_row"), F.max("row").alias("last_row"), F.min("c0").alias("first_col"), F.max("c1").alias("last_col"), F.sum(run_len()).alias("px"))
+
+
+@query("r06_components_wide", "select raster_id, class_id, count(*) as n, max(area_px) as largest, cast(sum(x1-x0+1) as bigint) as widths, cast(sum(y1-y0+1) as bigint) as heights, cast(sum(comp_id) as bigint) as ids from wide_comps group by 1,2")
+def r06_wide(s):
+    """Components over tile borders: one feature per row of lineitem, rasters of many tiles."""
+    st = C.component_stats(C.label_components(s.wide_mask, (WIDE, WIDE)))
+    return st.groupBy("raster_id", "class_id").agg(
+        F.count("*").alias("n"), F.max("area_px").alias("largest"), F.sum(F.col("bw").cast("long")).alias("widths"), F.sum(F.col("bh").cast("long")).alias("heights"), F.sum("comp_id").alias("ids"))
 
 
 RING = """with road as (select raster_id,row,col from truth_px where class_id=1),

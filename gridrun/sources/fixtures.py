@@ -33,6 +33,7 @@ SCHEMAS = {
 
 SIDE = 256          # raster side in pixels
 GSD = 5.0           # pixel size in metres
+WIDE = 2048         # raster side of the wide survey
 
 
 class Survey:
@@ -80,6 +81,32 @@ class Survey:
         return self.features.filter("feature_id%9<>0").withColumn(
             "c0", F.expr("cast(least(c0 + feature_id%2, 239) as int)"))
 
+    @cached_property
+    def wide_catalog(self) -> DataFrame:
+        return self.catalog.withColumn("width", F.lit(WIDE)).withColumn("height", F.lit(WIDE))
+
+    @cached_property
+    def wide_features(self) -> DataFrame:
+        """Every row of ``lineitem`` is a feature of its own, on rasters of many tiles."""
+        return self.table("lineitem").selectExpr(
+            "l_suppkey as raster_id", "l_orderkey*8+l_linenumber as feature_id",
+            "cast(1+(l_orderkey+l_linenumber)%4 as int) as class_id",
+            f"cast((l_partkey*37+l_orderkey*11)%{WIDE - 16} as int) as c0",
+            f"cast((l_orderkey*53+l_linenumber*29+l_partkey*7)%{WIDE - 16} as int) as r0",
+            """cast(case (l_orderkey+l_linenumber)%4 when 0 then case when l_orderkey%8<4 then 120 else 3 end
+                 when 1 then 9 when 2 then 6+l_partkey%14 else 24 end as int) as w""",
+            """cast(case (l_orderkey+l_linenumber)%4 when 0 then case when l_orderkey%8<4 then 3 else 120 end
+                 when 1 then 4 when 2 then 6+l_orderkey%11 else 18 end as int) as h""")
+
+    @cached_property
+    def wide_truth(self) -> DataFrame:
+        return burn_runs(box_runs(self.wide_features, WIDE, WIDE))
+
+    @cached_property
+    def wide_mask(self) -> DataFrame:
+        """The wide mask, stored once for plans that read it several times."""
+        return durable(self.wide_truth)
+
     @cached_property
     def rings(self) -> DataFrame:
         """Features as closed world rings; ``gt_c = 500000 + 2000*raster_id``."""

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridrun.operators.runs import window_clip
 from gridrun.session import shared_folder
 
 
@@ -16,16 +17,39 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def write_mask(mask: DataFrame, path: str, strip: int = 4096) -> None:
-    """Class runs partitioned by row strip and sorted, so windows prune files and row groups.
+    """Class runs in folders of ``strip`` rows each, sorted, so that a window prunes folders, files and row groups.
 
-    Partitioning by raster alone would give one writer a whole raster.
+    The folder's column is named after the height, ``strip_<height>``, so a reader needs no other metadata. Rows are
+    dealt by ranges of (strip, raster, row): a raster that holds most of the runs is split over many writers, and a
+    file spans few rasters and rows.
     """
-    d = mask.withColumn("strip", F.floor(F.col("row") / strip).cast("int"))
-    d.repartition("raster_id", "strip").sortWithinPartitions("strip", "raster_id", "class_id", "row").write.mode("overwrite").partitionBy("strip").parquet(path)
+    name = f"strip_{strip}"
+    d = mask.withColumn(name, F.floor(F.col("row") / strip).cast("int"))
+    d.repartitionByRange(name, "raster_id", "row").sortWithinPartitions(name, "raster_id", "row", "c0").write.mode("overwrite").partitionBy(name).parquet(path)
+
+
+def _strip_column(stored: DataFrame) -> tuple[str, int]:
+    name = next(c for c in stored.columns if c.startswith("strip_"))
+    return name, int(name.removeprefix("strip_"))
 
 
 def read_mask(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop("strip")
+    stored = spark.read.parquet(path)
+    return stored.drop(_strip_column(stored)[0])
+
+
+def read_window(spark: SparkSession, path: str, r0: int, c0: int, h: int, w: int, rasters: tuple[int, ...] = ()) -> DataFrame:
+    """Runs of a stored mask inside a pixel window, cut to it, of all or some rasters.
+
+    Only folders of strips that the window meets are listed; rows, columns and rasters are tested against the
+    statistics of row groups. A window outside of all strips, or without height or width, gives no rows.
+    """
+    stored = spark.read.parquet(path)
+    name, height = _strip_column(stored)
+    d = stored.filter(F.col(name).between(r0 // height, (r0 + h - 1) // height))
+    if rasters:
+        d = d.filter(F.col("raster_id").isin(*rasters))
+    return window_clip(d, r0, c0, h, w).filter("c0 <= c1").drop(name)
 
 
 def write_layers(layers: DataFrame, path: str) -> None:
