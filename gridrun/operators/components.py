@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridrun.operators.runs import run_len
+from gridrun.operators.runs import join_touching, run_len
 from gridrun.session import durable
 
 TILE = 512
@@ -169,6 +169,11 @@ def keep_components(labelled: DataFrame, min_px: int = 0, max_px: int | None = N
     return labelled.join(area.filter(ok).drop("area_px"), ["raster_id", "class_id", "comp_id"], "left_semi")
 
 
+def mask_of(labelled: DataFrame) -> DataFrame:
+    """Labelled runs as a class mask of maximal runs: pieces that a tile border parts are one run again."""
+    return join_touching(labelled.select("raster_id", "row", "c0", "c1", "class_id"))
+
+
 def aspect():
     return F.greatest("bw", "bh") / F.greatest(F.least("bw", "bh"), F.lit(1)).cast("double")
 

@@ -67,8 +67,9 @@ def has_box_within(targets: DataFrame, others: DataFrame, reach: int, cell: int
     the other side are merged first.
     """
     span = lambda lo, n: F.sequence(F.floor(lo / cell), F.floor((lo + n - 1) / cell))
-    t = targets.select("*", F.explode(span(F.col("r0") - reach, F.col("h") + 2 * reach)).alias("gr")).select(
-        "*", F.explode(span(F.col("c0") - reach, F.col("w") + 2 * reach)).alias("gc"))
+    # a gap of exactly ``reach`` leaves the other box's nearest pixel one further off
+    t = targets.select("*", F.explode(span(F.col("r0") - reach - 1, F.col("h") + 2 * reach + 2)).alias("gr")).select(
+        "*", F.explode(span(F.col("c0") - reach - 1, F.col("w") + 2 * reach + 2)).alias("gc"))
     o = others.select("raster_id", F.col("c0").alias("oc"), F.col("r0").alias("orr"), F.col("w").alias("ow"), F.col("h").alias("oh")).distinct()
     o = o.select("*", F.explode(span(F.col("orr"), F.col("oh"))).alias("gr")).select("*", F.explode(span(F.col("oc"), F.col("ow"))).alias("gc"))
     gx = F.greatest(F.col("oc") - (t["c0"] + t["w"]), t["c0"] - (F.col("oc") + F.col("ow")), F.lit(0))

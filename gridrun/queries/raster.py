@@ -9,18 +9,17 @@ from gridrun.operators import proximity as P
 from gridrun.operators.runs import as_layer, coverage, decode, encode, intersect, merge_runs, overlay, run_len, subtract
 from gridrun.queries.registry import query
 from gridrun.sources import sinks as SI
-from gridrun.sources.fixtures import WIDE
 
 FRAME = (256, 256)
 PXSUM = "raster_id, cast(count(*) as bigint) as px, cast(sum(row*256+col) as bigint) as pos_sum"
 
 
-def px_summary(runs):
+def px_summary(runs, side=256):
     """Pixel count and position sum per raster: equal only if the masks are."""
     n = run_len()
     return runs.groupBy("raster_id").agg(
         F.sum(n).alias("px"),
-        F.sum(F.col("row").cast("long") * 256 * n + ((F.col("c0") + F.col("c1")).cast("long") * n / 2).cast("long")).alias("pos_sum"))
+        F.sum(F.col("row").cast("long") * side * n + ((F.col("c0") + F.col("c1")).cast("long") * n / 2).cast("long")).alias("pos_sum"))
 
 
 @query("r01_run_encode", "select raster_id, class_id, row, c0, c1 from px_runs")
@@ -28,7 +27,7 @@ def r01(s):
     return s.truth.select("raster_id", "class_id", "row", "c0", "c1")
 
 
-@query("r01_run_roundtrip", "select raster_id, class_id, count(*) as runs, cast(sum(c1-c0+1) as bigint) as px from px_runs group by 1,2")
+@query("r01_run_roundtrip", "select raster_id, class_id, count(*) as runs, cast(sum(c1-c0+1) as bigint) as px from px_runs group by 1,2", wide=True)
 def r01b(s):
     return encode(decode(s.truth)).groupBy("raster_id", "class_id").agg(F.count("*").alias("runs"), F.sum(run_len()).alias("px"))
 
@@ -42,25 +41,25 @@ def disc_sql(cls, r, src="px_runs"):
 
 @query("r02_dilate_disc", f"select {PXSUM} from near_road group by 1")
 def r02(s):
-    return px_summary(MO.dilate(s.layer(ROAD), MO.disc(MO.radius_px(50.0, 5.0)), FRAME))
+    return px_summary(MO.dilate(s.layer(ROAD), MO.disc(MO.radius_px(50.0, 5.0)), s.frame), s.side)
 
 
 @query("r02_dilate_rect", f"""select {PXSUM} from (select distinct t.raster_id, t.row+y.d as row, t.col+x.d as col
   from (select * from truth_px where class_id=2) t, (select unnest(range(-7,8)) d) y, (select unnest(range(-2,3)) d) x
   where t.row+y.d between 0 and 255 and t.col+x.d between 0 and 255) group by 1""")
 def r02r(s):
-    return px_summary(MO.dilate(s.layer(2), MO.rect(5, 15), FRAME))
+    return px_summary(MO.dilate(s.layer(2), MO.rect(5, 15), s.frame), s.side)
 
 
 @query("r02_dilate_tall", f"""select {PXSUM} from (select distinct r.raster_id, r.row, unnest(range(r.a, r.z+1)) as col from
   (select raster_id, greatest(c0-50,0) a, least(c1+50,255) z, unnest(range(greatest(row-50,0), least(row+50,255)+1)) as row from px_runs where class_id=2) r) group by 1""")
 def r02t(s):
-    return px_summary(MO.dilate(s.layer(2), MO.rect(101, 101), FRAME))
+    return px_summary(MO.dilate(s.layer(2), MO.rect(101, 101), s.frame), s.side)
 
 
 @query("r02b_near_large_radius", f"""select {PXSUM} from truth_px t join near_road n using (raster_id,row,col) where t.class_id=3 group by 1""")
 def r02b(s):
-    return px_summary(P.near_pixels(s.layer(BUILTUP), s.layer(ROAD), 10, tile=128))
+    return px_summary(P.near_pixels(s.layer(BUILTUP), s.layer(ROAD), 10, tile=128), s.side)
 
 
 def erode_sql(src, w, h):
@@ -83,13 +82,13 @@ PLUS = "(select unnest([0,1,-1,0,0]) as dy, unnest([0,0,0,1,-1]) as dx) k"
 
 @query("r03_erode", f"""with b as (select raster_id,row,col from truth_px where class_id=4) select {PXSUM} from ({erode_sql('b', 5, 3)}) group by 1""")
 def r03(s):
-    return px_summary(MO.erode(s.layer(WATER), MO.rect(5, 3), FRAME))
+    return px_summary(MO.erode(s.layer(WATER), MO.rect(5, 3), s.frame), s.side)
 
 
 @query("r04_close", f"""with b as (select raster_id,row,col from truth_px where class_id=1), d as ({dilate_sql('b', 5, 5)})
   select {PXSUM} from ({erode_sql('d', 5, 5)}) group by 1""")
 def r04(s):
-    return px_summary(MO.close(s.layer(ROAD), MO.rect(5, 5), FRAME))
+    return px_summary(MO.close(s.layer(ROAD), MO.rect(5, 5), s.frame), s.side)
 
 
 @query("r05_open", f"""with b as (select raster_id,row,col from truth_px where class_id=4),
@@ -98,7 +97,7 @@ def r04(s):
   select {PXSUM} from (select distinct raster_id, row+k.dy as row, col+k.dx as col from e, {PLUS}
     where row+k.dy between 0 and 255 and col+k.dx between 0 and 255) group by 1""")
 def r05(s):
-    return px_summary(MO.open_(s.layer(WATER), MO.disc(1), FRAME))
+    return px_summary(MO.open_(s.layer(WATER), MO.disc(1), s.frame), s.side)
 
 
 @query("u02_union_of_closings", f"""with b as (select raster_id,row,col from truth_px where class_id=1),
@@ -107,38 +106,38 @@ def r05(s):
   select {PXSUM} from (select * from e1 union select * from e2 union select * from e3) group by 1""")
 def u02(s):
     road = s.layer(ROAD)
-    parts = [MO.close(road, MO.rect(w, h), FRAME) for w, h in ((3, 3), (25, 3), (3, 25))]
-    return px_summary(merge_runs(parts[0].unionByName(parts[1]).unionByName(parts[2])))
+    parts = [MO.close(road, MO.rect(w, h), s.frame) for w, h in ((3, 3), (25, 3), (3, 25))]
+    return px_summary(merge_runs(parts[0].unionByName(parts[1]).unionByName(parts[2])), s.side)
 
 
-@query("r06_components", "select raster_id, class_id, comp_id, area_px from comps")
+@query("r06_components", "select raster_id, class_id, comp_id, area_px from comps", wide=True)
 def r06(s):
     return s.components.groupBy("raster_id", "class_id", "comp_id").agg(F.sum(run_len()).alias("area_px"))
 
 
-@query("a17_component_stats", "select raster_id, class_id, comp_id, area_px, x0, y0, bw, bh, round(cx,6) as cx, round(cy,6) as cy from comps")
+@query("a17_component_stats", "select raster_id, class_id, comp_id, area_px, x0, y0, bw, bh, round(cx,6) as cx, round(cy,6) as cy from comps", wide=True)
 def a17(s):
     return C.component_stats(s.components).select(
         "raster_id", "class_id", "comp_id", "area_px", "x0", "y0", "bw", "bh", F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"))
 
 
 @query("p39_shape_descriptors", """select raster_id, class_id, comp_id, round(greatest(bw,bh)*1.0e0/greatest(least(bw,bh),1),6) as aspect,
-  round(area_px*1.0e0/greatest(bw*bh,1),6) as fill from comps""")
+  round(area_px*1.0e0/greatest(bw*bh,1),6) as fill from comps""", wide=True)
 def p39(s):
     return C.component_stats(s.components).select(
         "raster_id", "class_id", "comp_id", F.round(C.aspect(), 6).alias("aspect"), F.round(C.fill(), 6).alias("fill"))
 
 
-@query("f03_min_area_components", "select raster_id, class_id, count(*) as n, cast(sum(area_px) as bigint) as px from comps where area_px>=200 group by 1,2")
+@query("f03_min_area_components", "select raster_id, class_id, count(*) as n, cast(sum(area_px) as bigint) as px from comps where area_px>=200 group by 1,2", wide=True)
 def f03(s):
     return C.component_stats(s.components).filter("area_px >= 200").groupBy("raster_id", "class_id").agg(
         F.count("*").alias("n"), F.sum("area_px").alias("px"))
 
 
 @query("r07_drop_small", """select r.raster_id, r.class_id, cast(count(*) as bigint) as runs, cast(sum(r.c1-r.c0+1) as bigint) as px from comp_runs r
-  join comps c using (raster_id, class_id, comp_id) where c.area_px>=200 group by 1,2""")
+  join comps c using (raster_id, class_id, comp_id) where c.area_px>=200 group by 1,2""", wide=True)
 def r07(s):
-    return C.keep_components(s.components, 200).groupBy("raster_id", "class_id").agg(
+    return C.mask_of(C.keep_components(s.components, 200)).groupBy("raster_id", "class_id").agg(
         F.count("*").alias("runs"), F.sum(run_len()).alias("px"))
 
 
@@ -153,7 +152,7 @@ def rooftops(labelled):
         & (C.aspect() <= ROOFTOP_MAX_ASPECT) & (C.fill() >= ROOFTOP_MIN_FILL))
 
 
-@query("f05_rooftops", f"select raster_id, comp_id, area_px, bw, bh from comps where {ROOF}")
+@query("f05_rooftops", f"select raster_id, comp_id, area_px, bw, bh from comps where {ROOF}", wide=True)
 def f05(s):
     return rooftops(s.components).select("raster_id", "comp_id", "area_px", "bw", "bh")
 
@@ -162,7 +161,7 @@ def f05(s):
   (select raster_id, comp_id, row, unnest(range(c0,c1+1)) as col from comp_runs where class_id=3) c
   left join near_road n using (raster_id,row,col) group by 1,2""")
 def j07(s):
-    near = MO.dilate(s.layer(ROAD), MO.disc(10), FRAME)
+    near = MO.dilate(s.layer(ROAD), MO.disc(10), s.frame)
     return P.overlap_px(s.components.filter("class_id = 3"), {"near_road": near})
 
 
@@ -170,14 +169,14 @@ def j07(s):
   select distinct raster_id, comp_id from p semi join near_road using (raster_id,row,col)
   intersect select distinct raster_id, comp_id from p semi join near_water using (raster_id,row,col)""")
 def j08(s):
-    road = MO.dilate(s.layer(ROAD), MO.disc(10), FRAME)
-    water = MO.dilate(s.layer(WATER), MO.disc(6), FRAME)
+    road = MO.dilate(s.layer(ROAD), MO.disc(10), s.frame)
+    water = MO.dilate(s.layer(WATER), MO.disc(6), s.frame)
     return P.overlap_px(s.components.filter("class_id = 3"), {"r": road, "w": water}).filter("r > 0 and w > 0").select("raster_id", "comp_id")
 
 
 @query("j10_trim_to_buffer", f"select {PXSUM} from truth_px t semi join near_water n using (raster_id,row,col) where class_id=2 group by 1")
 def j10(s):
-    return px_summary(intersect(s.layer(2), MO.dilate(s.layer(WATER), MO.disc(6), FRAME)))
+    return px_summary(intersect(s.layer(2), MO.dilate(s.layer(WATER), MO.disc(6), s.frame)), s.side)
 
 
 @query("j19_zonal_mean", """select raster_id, class_id, comp_id, round(avg(conf)+1e-10,6) as mean_conf from
@@ -194,32 +193,16 @@ def j06(s):
     return o.groupBy("class_id", "raster_id").agg(F.sum(run_len()).alias("px"), F.round(F.sum(F.col("conf") * run_len()) / F.sum(run_len()) + 1e-10, 6).alias("mean_conf"))
 
 
-@query("s03_windowed_read", "select raster_id, class_id, count(*) as px from truth_px where row>=64 and row<128 and col>=32 and col<200 group by 1,2")
+@query("s03_windowed_read", """select raster_id, class_id, min(row) as first_row, max(row) as last_row, min(col) as first_col, max(col) as last_col, count(*) as px
+  from truth_px where row>=700 and row<1100 and col>=300 and col<1900 group by 1,2""", wide=True)
 def s03(s):
-    """A window of the stored mask."""
+    """A window over strip borders of the stored mask."""
     path = SI.scratch_path(s.spark, "mask")
-    SI.write_mask(s.truth, path, strip=64)
-    return SI.read_window(s.spark, path, 64, 32, 64, 168).groupBy("raster_id", "class_id").agg(F.sum(run_len()).alias("px"))
-
-
-@query("s03_windowed_read_wide", """select raster_id, class_id, min(row) as first_row, max(row) as last_row, min(col) as first_col, max(col) as last_col, count(*) as px
-  from wide_px where row>=700 and row<1100 and col>=300 and col<1900 group by 1,2""")
-def s03_wide(s):
-    """A window over strip borders of a stored mask, rasters of many tiles."""
-    path = SI.scratch_path(s.spark, "mask")
-    SI.write_mask(s.wide_truth, path, strip=256)
+    SI.write_mask(s.truth, path, strip=128)
     return SI.read_window(s.spark, path, 700, 300, 400, 1600).groupBy("raster_id", "class_id").agg(
         F.min("row").alias("first_row"), F.max("row").alias("last_row"), F.min("c0").alias("first_col"), F.max("c1").alias("last_col"), F.sum(run_len()).alias("px"))
 
 
-@query("r06_components_wide", "select raster_id, class_id, count(*) as n, max(area_px) as largest, cast(sum(x1-x0+1) as bigint) as widths, cast(sum(y1-y0+1) as bigint) as heights, cast(sum(comp_id) as bigint) as ids from wide_comps group by 1,2")
-def r06_wide(s):
-    """Components over tile borders: one feature per row of lineitem, rasters of many tiles."""
-    st = C.component_stats(C.label_components(s.wide_mask, (WIDE, WIDE)))
-    return st.groupBy("raster_id", "class_id").agg(
-        F.count("*").alias("n"), F.max("area_px").alias("largest"), F.sum(F.col("bw").cast("long")).alias("widths"), F.sum(F.col("bh").cast("long")).alias("heights"), F.sum("comp_id").alias("ids"))
-
-
 RING = """with road as (select raster_id,row,col from truth_px where class_id=1),
   core as (select raster_id,row,col from truth_px where class_id=2), d as ({}),
   ring as (select d.* from d anti join core using (raster_id,row,col)), rr as (select r.* from ring r semi join road using (raster_id,row,col))"""
@@ -233,7 +216,7 @@ RING = """with road as (select raster_id,row,col from truth_px where class_id=1)
 def j20(s):
     """Values on the road ring around the sparse class; all road where the ring is under 20 px."""
     core = s.layer(2)
-    ring = subtract(MO.dilate(core, MO.rect(25, 25), FRAME), core)
+    ring = subtract(MO.dilate(core, MO.rect(25, 25), s.frame), core)
     o = overlay({"road": as_layer(s.layer(ROAD)), "ring": as_layer(ring), "v": as_layer(s.conf, "conf")}).filter("road is not null and v is not null")
     n, on = run_len(), F.col("ring").isNotNull()
     g = o.groupBy("raster_id").agg(

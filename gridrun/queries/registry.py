@@ -15,19 +15,22 @@ from gridrun.sources.fixtures import Survey
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}      # bodies; see oracle()
+WIDE_KEYS: set[str] = set()       # queries over the wide survey
 
 
-def query(key: str, sql: str | None = None):
-    """Register ``fn(survey) -> DataFrame`` under ``key``; ``sql`` is its oracle."""
+def query(key: str, sql: str | None = None, wide: bool = False):
+    """Register ``fn(survey) -> DataFrame`` under ``key``; ``sql`` is its oracle, ``wide`` the survey it runs over."""
     def wrap(fn):
         if key in QUERIES:
             raise ValueError(f"duplicate query {key}")
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(Survey(spark, sf_dir))
+            return fn(Survey(spark, sf_dir, wide))
 
         run.__doc__ = fn.__doc__
         QUERIES[key] = run
+        if wide:
+            WIDE_KEYS.add(key)
         if sql is not None:
             ORACLES[key] = sql
         return fn
@@ -63,29 +66,6 @@ CTES: dict[str, str] = {
        when 1 then 4 when 2 then 6+ok%11 else 18 end as int) as h
   from (select l_suppkey as raster_id, year(l_shipdate)*4+quarter(l_shipdate)-1 as q, cast(sum(l_orderkey) as bigint) as ok,
     cast(sum(l_partkey) as bigint) as pk, cast(sum(l_linenumber) as bigint) as ln from lineitem group by 1, 2)""",
-    # Every row of lineitem as a feature on rasters of 2048 pixels a side.
-    "wide": """select l_suppkey as raster_id, l_orderkey*8+l_linenumber as feature_id, cast(1+(l_orderkey+l_linenumber)%4 as int) as class_id,
-  cast((l_partkey*37+l_orderkey*11)%2032 as int) as c0, cast((l_orderkey*53+l_linenumber*29+l_partkey*7)%2032 as int) as r0,
-  cast(case (l_orderkey+l_linenumber)%4 when 0 then case when l_orderkey%8<4 then 120 else 3 end
-       when 1 then 9 when 2 then 6+l_partkey%14 else 24 end as int) as w,
-  cast(case (l_orderkey+l_linenumber)%4 when 0 then case when l_orderkey%8<4 then 3 else 120 end
-       when 1 then 4 when 2 then 6+l_orderkey%11 else 18 end as int) as h from lineitem""",
-    "wide_px": """select raster_id, row, col, min(class_id) as class_id from (
-  select raster_id, class_id, row, cast(unnest(range(c0, least(c0+w,2048))) as int) as col from (
-  select raster_id, class_id, c0, w, cast(unnest(range(r0, least(r0+h,2048))) as int) as row from wide)) group by 1,2,3""",
-    "wide_runs": """select raster_id, class_id, row, min(col) as c0, max(col) as c1, cast(row*2048+min(col) as bigint) as rid from (
-  select *, col - row_number() over (partition by raster_id,class_id,row order by col) as g from wide_px)
-  group by raster_id, class_id, row, g""",
-    "wide_edges": """select a.raster_id, a.class_id, a.rid as a, b.rid as b from wide_runs a join wide_runs b
-  on a.raster_id=b.raster_id and a.class_id=b.class_id and b.row=a.row+1 and b.c0<=a.c1+1 and b.c1>=a.c0-1""",
-    "wide_links": "select raster_id, class_id, a, b from wide_edges union all select raster_id, class_id, b, a from wide_edges",
-    "wide_reach": """select raster_id, class_id, rid as l, rid as n from wide_runs r where not exists (
-    select 1 from wide_links k where k.raster_id=r.raster_id and k.class_id=r.class_id and k.a=r.rid and k.b<r.rid)
-  union select x.raster_id, x.class_id, x.l, k.b from wide_reach x join wide_links k
-    on k.raster_id=x.raster_id and k.class_id=x.class_id and k.a=x.n""",
-    "wide_comps": """select r.raster_id, r.class_id, l.comp_id, cast(sum(c1-c0+1) as bigint) as area_px, min(c0) as x0, min(row) as y0, max(c1) as x1, max(row) as y1
-  from wide_runs r join (select raster_id, class_id, n as rid, min(l) as comp_id from wide_reach group by 1,2,3) l
-  on l.raster_id=r.raster_id and l.class_id=r.class_id and l.rid=r.rid group by 1,2,3""",
     "featp": "select raster_id, feature_id, class_id, cast(least(c0 + feature_id%2, 239) as int) as c0, r0, w, h "
              "from feat where feature_id%9<>0",
     "truth_px": """select raster_id, row, col, min(class_id) as class_id from (
@@ -172,23 +152,41 @@ CTES: dict[str, str] = {
 
 
 # Recursive relations cannot be marked materialized.
-RECURSIVE = {"run_reach", "u_reach", "wide_reach", "walk"}
+RECURSIVE = {"run_reach", "u_reach", "walk"}
+
+
+#: Features of the wide survey: one per row of lineitem.
+WIDE_FEAT = """select l_suppkey as raster_id, cast((l_orderkey*8+l_linenumber)*100000+l_partkey as bigint) as feature_id, cast(1+(l_orderkey+l_linenumber)%4 as int) as class_id,
+  cast((l_partkey*37+l_orderkey*11)%2032 as int) as c0, cast((l_orderkey*53+l_linenumber*29+l_partkey*7)%2032 as int) as r0,
+  cast(case (l_orderkey+l_linenumber)%4 when 0 then case when l_orderkey%8<4 then 120 else 3 end
+       when 1 then 9 when 2 then 6+l_partkey%14 else 24 end as int) as w,
+  cast(case (l_orderkey+l_linenumber)%4 when 0 then case when l_orderkey%8<4 then 3 else 120 end
+       when 1 then 4 when 2 then 6+l_orderkey%11 else 18 end as int) as h from lineitem"""
+#: Raster side in pixels, its last column, its pixels, its square metres, and the greatest column that a prediction moves to.
+SIDES = {"256": "2048", "255": "2047", "65536": "4194304", "1638400": "104857600", "239": "2031"}
+
+
+def widened(sql: str) -> str:
+    """Oracle text of small rasters for wide ones. No SQL of a wide query has these numbers in another sense."""
+    return re.sub(r"(?<![\w.])(256|255|65536|1638400|239)(?![\w])", lambda m: SIDES[m[1]], sql)
 
 
-def with_ctes(sql: str) -> str:
+def with_ctes(sql: str, wide: bool = False) -> str:
     """Prefix ``sql`` with the derived tables it names, dependencies first."""
+    ctes = {k: WIDE_FEAT if k == "feat" else widened(v) for k, v in CTES.items()} if wide else CTES
+    sql = widened(sql) if wide else sql
     order: list[str] = []
 
     def visit(text: str, own: str | None = None) -> None:
-        for name in CTES:
+        for name in ctes:
             if name != own and name not in order and re.search(rf"(?:from|join|,)\s+{name}\b", text):
-                visit(CTES[name], name)
+                visit(ctes[name], name)
                 order.append(name)
 
     visit(sql)
     if not order:
         return sql
-    head = ",\n".join(f"{n} as {'' if n in RECURSIVE else 'materialized '}({CTES[n]})" for n in order)
+    head = ",\n".join(f"{n} as {'' if n in RECURSIVE else 'materialized '}({ctes[n]})" for n in order)
     sql = sql.strip()
     if sql.lower().startswith("with "):
         return f"with recursive {head},\n" + re.sub(r"(?i)^with\s+(recursive\s+)?", "", sql)
@@ -197,4 +195,4 @@ def with_ctes(sql: str) -> str:
 
 def oracle(key: str) -> str:
     """Complete oracle SQL of a query (all query modules must be loaded)."""
-    return with_ctes(ORACLES[key])
+    return with_ctes(ORACLES[key], key in WIDE_KEYS)

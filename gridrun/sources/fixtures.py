@@ -39,8 +39,11 @@ WIDE = 2048         # raster side of the wide survey
 class Survey:
     """Lazy access to the base tables in ``sf_dir`` and what is derived from them."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, wide: bool = False):
+        """``wide``: every row of ``lineitem`` is a feature, on rasters of many tiles; else a supplier's quarter is one, on small rasters."""
+        self.spark, self.sf_dir, self.wide = spark, sf_dir, wide
+        self.side = WIDE if wide else SIDE
+        self.frame = (self.side, self.side)
 
     def table(self, name: str) -> DataFrame:
         reader = self.spark.read
@@ -55,14 +58,24 @@ class Survey:
             "case s_suppkey%7 when 0 then null when 1 then 4326 when 2 then 3857 when 3 then 32644 else 32643 end as epsg",
             "cast(5.0 as double) as gt_a", "cast(500000+s_suppkey*2000 as double) as gt_c",
             "cast(-5.0 as double) as gt_e", "cast(3200000.0 as double) as gt_f",
-            "256 as width", "256 as height", "s_suppkey%11<>0 as readable",
+            f"{self.side} as width", f"{self.side} as height", "s_suppkey%11<>0 as readable",
             "case when s_suppkey%4=0 then 'val' else 'train' end as split",
             "concat('village_', cast(s_suppkey as string)) as stem",
             "case when s_suppkey%3=0 then 'north' when s_suppkey%3=1 then 'south' else 'delta' end as source")
 
     @cached_property
     def features(self) -> DataFrame:
-        """What a supplier shipped in a quarter is one feature; every row of ``lineitem`` counts in its place and shape."""
+        """Every row of ``lineitem`` is a feature (wide), or what a supplier shipped in a quarter; then every row counts in its place and shape."""
+        if self.wide:
+            return self.table("lineitem").selectExpr(
+                "l_suppkey as raster_id", "(l_orderkey*8+l_linenumber)*100000+l_partkey as feature_id",
+                "cast(1+(l_orderkey+l_linenumber)%4 as int) as class_id",
+                f"cast((l_partkey*37+l_orderkey*11)%{WIDE - 16} as int) as c0",
+                f"cast((l_orderkey*53+l_linenumber*29+l_partkey*7)%{WIDE - 16} as int) as r0",
+                """cast(case (l_orderkey+l_linenumber)%4 when 0 then case when l_orderkey%8<4 then 120 else 3 end
+                     when 1 then 9 when 2 then 6+l_partkey%14 else 24 end as int) as w""",
+                """cast(case (l_orderkey+l_linenumber)%4 when 0 then case when l_orderkey%8<4 then 3 else 120 end
+                     when 1 then 4 when 2 then 6+l_orderkey%11 else 18 end as int) as h""")
         quarter = "(year(l_shipdate)*4 + quarter(l_shipdate) - 1)"
         sums = self.table("lineitem").groupBy(F.col("l_suppkey").alias("raster_id"), F.expr(quarter).alias("q")).agg(
             F.sum("l_orderkey").alias("ok"), F.sum("l_partkey").alias("pk"), F.sum("l_linenumber").alias("ln"))
@@ -79,33 +92,7 @@ class Survey:
     @cached_property
     def pred_features(self) -> DataFrame:
         return self.features.filter("feature_id%9<>0").withColumn(
-            "c0", F.expr("cast(least(c0 + feature_id%2, 239) as int)"))
-
-    @cached_property
-    def wide_catalog(self) -> DataFrame:
-        return self.catalog.withColumn("width", F.lit(WIDE)).withColumn("height", F.lit(WIDE))
-
-    @cached_property
-    def wide_features(self) -> DataFrame:
-        """Every row of ``lineitem`` is a feature of its own, on rasters of many tiles."""
-        return self.table("lineitem").selectExpr(
-            "l_suppkey as raster_id", "l_orderkey*8+l_linenumber as feature_id",
-            "cast(1+(l_orderkey+l_linenumber)%4 as int) as class_id",
-            f"cast((l_partkey*37+l_orderkey*11)%{WIDE - 16} as int) as c0",
-            f"cast((l_orderkey*53+l_linenumber*29+l_partkey*7)%{WIDE - 16} as int) as r0",
-            """cast(case (l_orderkey+l_linenumber)%4 when 0 then case when l_orderkey%8<4 then 120 else 3 end
-                 when 1 then 9 when 2 then 6+l_partkey%14 else 24 end as int) as w""",
-            """cast(case (l_orderkey+l_linenumber)%4 when 0 then case when l_orderkey%8<4 then 3 else 120 end
-                 when 1 then 4 when 2 then 6+l_orderkey%11 else 18 end as int) as h""")
-
-    @cached_property
-    def wide_truth(self) -> DataFrame:
-        return burn_runs(box_runs(self.wide_features, WIDE, WIDE))
-
-    @cached_property
-    def wide_mask(self) -> DataFrame:
-        """The wide mask, stored once for plans that read it several times."""
-        return durable(self.wide_truth)
+            "c0", F.expr(f"cast(least(c0 + feature_id%2, {self.side - 17}) as int)"))
 
     @cached_property
     def rings(self) -> DataFrame:
@@ -178,7 +165,7 @@ class Survey:
 
     @cached_property
     def truth(self) -> DataFrame:
-        return burn_runs(box_runs(self.features, SIDE, SIDE))
+        return burn_runs(box_runs(self.features, *self.frame))
 
     @cached_property
     def mask(self) -> DataFrame:
@@ -187,7 +174,7 @@ class Survey:
 
     @cached_property
     def pred(self) -> DataFrame:
-        return burn_runs(box_runs(self.pred_features, SIDE, SIDE))
+        return burn_runs(box_runs(self.pred_features, *self.frame))
 
     def layer(self, class_id: int) -> DataFrame:
         return class_layer(self.truth, class_id)
@@ -206,18 +193,18 @@ class Survey:
     @cached_property
     def components(self) -> DataFrame:
         """Labelled truth runs of all classes."""
-        return label_components(self.truth, (SIDE, SIDE))
+        return label_components(self.truth, self.frame)
 
     @cached_property
     def components_of_mask(self) -> DataFrame:
         """Labelled runs of the stored mask, stored as well."""
-        return durable(label_components(self.mask, (SIDE, SIDE)))
+        return durable(label_components(self.mask, self.frame))
 
     @cached_property
     def uncertain(self) -> DataFrame:
         """Labelled low-confidence runs; merged first so equal blocks join up."""
         low = coverage(self.conf.filter(F.col("conf") < CONFIDENCE_THRESHOLD))
-        return label_components(low.withColumn("class_id", F.lit(0)), (SIDE, SIDE))
+        return label_components(low.withColumn("class_id", F.lit(0)), self.frame)
 
     @cached_property
     def logits(self) -> DataFrame:

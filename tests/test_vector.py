@@ -128,3 +128,16 @@ def test_min_area_box(make):
     m[4:9, 3:15] = 1
     r = PO.min_area_box(label_components(make(m), (20, 20))).first()
     assert abs(r["width"] - 5) < 1e-9 and abs(r["height"] - 12) < 1e-9
+
+
+def test_box_within_reach_over_cell_borders(spark):
+    """Gaps of exactly the reach and one more, at every place against the cell grid."""
+    from gridrun.operators.vector import has_box_within
+    boxes = lambda rows: spark.createDataFrame(rows, "raster_id long, feature_id long, c0 int, r0 int, w int, h int")
+    near = [(1, k, 200 + k, 200, 6, 5) for k in range(64)]
+    for gap, want in ((16, 64), (17, 0)):
+        right = boxes([(1, 1000 + k, 200 + k + 6 + gap, 200, 3, 5) for k in range(64)])
+        one = [has_box_within(boxes([near[k]]), right.filter(f"feature_id = {1000 + k}"), 16).count() for k in (35, 36, 37, 41, 42, 43)]
+        assert sum(one) == (6 if want else 0)
+        left = boxes([(1, 1, 200 - gap - 3, 200, 3, 5)])
+        assert has_box_within(boxes([(1, 5, 200, 200, 6, 5)]), left, 16).count() == (1 if want else 0)
