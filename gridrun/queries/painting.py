@@ -53,15 +53,15 @@ def _class_px(s):
 A01 = """select c.raster_id, d.class_id, d.name, case d.class_id when 0 then 65536-count(t.row) else count(t.row) end as px from catalog c cross join dim_class d left join truth_px t on t.raster_id=c.raster_id and (t.class_id=d.class_id or d.class_id=0) group by 1,2,3"""
 
 
-@query("a01_class_pixels", f"select raster_id, class_id, name, px, {rd('100.0e0*px/65536',4)} as pct from ({A01})")
+@query("a01_class_pixels", f"select raster_id, class_id, name, px, {rd('100.0e0*px/65536',4)} as pct from ({A01})", wide=True)
 def a01(s):
-    return _class_px(s).join(F.broadcast(s.classes), "class_id").select("raster_id", "class_id", "name", "px", rnd(100.0 * F.col("px") / 65536, 4).alias("pct"))
+    return _class_px(s).join(F.broadcast(s.classes), "class_id").select("raster_id", "class_id", "name", "px", rnd(100.0 * F.col("px") / s.side**2, 4).alias("pct"))
 
 
-@query("p02_physical_units", f"select raster_id, class_id, {rd('px*25.0e0',1)} as area_m2, {rd('px*25.0e0/10000',2)} as area_ha, {rd('100.0e0*px/65536',2)} as pct from ({A01})")
+@query("p02_physical_units", f"select raster_id, class_id, {rd('px*25.0e0',1)} as area_m2, {rd('px*25.0e0/10000',2)} as area_ha, {rd('100.0e0*px/65536',2)} as pct from ({A01})", wide=True)
 def p02(s):
     px = F.col("px")
-    return _class_px(s).select("raster_id", "class_id", rnd(px * 25.0, 1).alias("area_m2"), rnd(px * 25.0 / 10000.0, 2).alias("area_ha"), rnd(100.0 * px / 65536, 2).alias("pct"))
+    return _class_px(s).select("raster_id", "class_id", rnd(px * 25.0, 1).alias("area_m2"), rnd(px * 25.0 / 10000.0, 2).alias("area_ha"), rnd(100.0 * px / s.side**2, 2).alias("pct"))
 
 
 @query("a02_class_pixels_rooftops", f"select raster_id, class_id, px from ({A01}) union all select c.raster_id, 5, count(r.row) from catalog c left join roof_px r using (raster_id) group by 1")

@@ -36,7 +36,7 @@ def s02(s):
     return s.catalog.select("raster_id", "stem", "readable", F.when(~F.col("readable"), "cannot open raster").alias("error"))
 
 
-@query("s09_mask_sink", "select raster_id, class_id, count(*) as runs, cast(sum(c1-c0+1) as bigint) as px from px_runs group by 1,2")
+@query("s09_mask_sink", "select raster_id, class_id, count(*) as runs, cast(sum(c1-c0+1) as bigint) as px from px_runs group by 1,2", wide=True)
 def s09(s):
     """Mask written by row strip and read back."""
     path = SI.scratch_path(s.spark, "mask")
@@ -44,7 +44,7 @@ def s09(s):
     return SI.read_mask(s.spark, path).groupBy("raster_id", "class_id").agg(F.count("*").alias("runs"), F.sum(run_len()).alias("px"))
 
 
-@query("s10_layer_sink", "select d.layer, count(c.comp_id) as n from (values ('roads',1),('building_footprints',3),('water_bodies',4),('bridges_large',2)) d(layer,k) left join comps c on c.class_id=d.k and c.area_px>=200 group by 1")
+@query("s10_layer_sink", "select d.layer, count(c.comp_id) as n from (values ('roads',1),('building_footprints',3),('water_bodies',4),('bridges_large',2)) d(layer,k) left join comps c on c.class_id=d.k and c.area_px>=200 group by 1", wide=True)
 def s10(s):
     from gridrun.operators.components import component_stats
     name = F.expr("case class_id when 1 then 'roads' when 2 then 'bridges_large' when 3 then 'building_footprints' else 'water_bodies' end")
@@ -54,7 +54,7 @@ def s10(s):
     return SI.layer_counts(s.spark.read.parquet(path), names)
 
 
-@query("s11_json_sink", "select raster_id, class_id, count(*) as px from truth_px group by 1,2")
+@query("s11_json_sink", "select raster_id, class_id, count(*) as px from truth_px group by 1,2", wide=True)
 def s11(s):
     path = SI.scratch_path(s.spark, "report")
     d = s.truth.groupBy("raster_id", "class_id").agg(F.sum(run_len()).alias("px"))
@@ -62,7 +62,7 @@ def s11(s):
     return s.spark.read.schema("raster_id long, class_id int, px long").json(path)
 
 
-@query("s12_csv_sink", "select raster_id, class_id, count(*) as px from truth_px group by 1,2")
+@query("s12_csv_sink", "select raster_id, class_id, count(*) as px from truth_px group by 1,2", wide=True)
 def s12(s):
     path = SI.scratch_path(s.spark, "table")
     SI.write_csv(s.truth.groupBy("raster_id", "class_id").agg(F.sum(run_len()).alias("px")), path)
@@ -81,7 +81,7 @@ def s14(s):
     return IN.verify_manifest(m, s.assets.filter("asset_id % 17 <> 0")).select("path", "status")
 
 
-@query("s15_provenance", "select class_id, count(*) as px, 'gridrun' as tool, 'calibrated' as variant, 5.0e0 as pixel_size_m from truth_px group by 1")
+@query("s15_provenance", "select class_id, count(*) as px, 'gridrun' as tool, 'calibrated' as variant, 5.0e0 as pixel_size_m from truth_px group by 1", wide=True)
 def s15(s):
     d = s.truth.groupBy("class_id").agg(F.sum(run_len()).alias("px"))
     d = d.withColumn("provenance", F.struct(F.lit("gridrun").alias("tool"), F.lit("calibrated").alias("variant"), F.lit(5.0).alias("pixel_size_m"), F.current_timestamp().alias("at")))
@@ -146,18 +146,18 @@ def f02(s):
     return s.catalog.withColumn("side", F.expr("case when raster_id%5=0 then 64 else 256 end")).filter("side >= 128").select("raster_id", "side")
 
 
-@query("f07_crs_rules", "select severity, asset, message from issues where category='crs'")
+@query("f07_crs_rules", "select severity, asset, message from issues where category='crs'", wide=True)
 def f07(s):
     return QU.crs_issues(s.catalog).select("severity", "asset", "message")
 
 
-@query("f13_classes_present", "select raster_id, count(*) as n_classes from (select raster_id, class_id from truth_px group by 1,2 having 100.0e0*count(*)/65536>0.1) group by 1")
+@query("f13_classes_present", "select raster_id, count(*) as n_classes from (select raster_id, class_id from truth_px group by 1,2 having 100.0e0*count(*)/65536>0.1) group by 1", wide=True)
 def f13(s):
-    return s.truth.groupBy("raster_id", "class_id").agg((100.0 * F.sum(run_len()) / 65536).alias("pct")).filter("pct > 0.1").groupBy(
+    return s.truth.groupBy("raster_id", "class_id").agg((100.0 * F.sum(run_len()) / s.side**2).alias("pct")).filter("pct > 0.1").groupBy(
         "raster_id").agg(F.count("*").alias("n_classes"))
 
 
-@query("j14_missing_layers", "select source, class_id from explayer where (source,class_id) not in (select (source,class_id) from layr)")
+@query("j14_missing_layers", "select source, class_id from explayer where (source,class_id) not in (select (source,class_id) from layr)", wide=True)
 def j14(s):
     return QU.missing_layers(s.layers, s.expected_layers)
 
@@ -186,7 +186,7 @@ def p40(s):
     return QU.grid_match(_preds(s), src).select("pred_stem", "crs_match", "transform_match", "shape_match", "pixel_alignment_score", "geometry_alignment_score", "status")
 
 
-@query("j17_class_lookup", "select t.raster_id, d.name, count(*) as px from truth_px t join dim_class d using (class_id) group by 1,2")
+@query("j17_class_lookup", "select t.raster_id, d.name, count(*) as px from truth_px t join dim_class d using (class_id) group by 1,2", wide=True)
 def j17(s):
     d = s.truth.groupBy("raster_id", "class_id").agg(F.sum(run_len()).alias("px"))
     return d.join(F.broadcast(s.classes), "class_id").select("raster_id", "name", "px")
@@ -225,7 +225,7 @@ def _issues(s):
     return QU.preflight(s.catalog, s.layers, s.expected_layers)
 
 
-@query("a49_preflight", "select * from issues")
+@query("a49_preflight", "select * from issues", wide=True)
 def a49(s):
     return _issues(s)
 
@@ -233,17 +233,17 @@ def a49(s):
 VERD = "select count(*) filter (severity in ('critical','high'))=0 as ok, count(*) filter (severity='critical') as critical, count(*) filter (severity='high') as high, count(*) as issues from issues"
 
 
-@query("a48_verdict", VERD)
+@query("a48_verdict", VERD, wide=True)
 def a48(s):
     return QU.verdict(_issues(s))
 
 
-@query("t04_first_issues", "select * from issues order by severity, category, asset, message limit 10")
+@query("t04_first_issues", "select * from issues order by severity, category, asset, message limit 10", wide=True)
 def t04(s):
     return _issues(s).orderBy("severity", "category", "asset", "message").limit(10)
 
 
-@query("q09_validation_report", f"select v.*, (select count(*) from catalog) as rasters, (select count(*) from explayer) as layers, cast(coalesce((select count(*) from issues where category='crs'),0) as bigint) as crs_issues from ({VERD}) v")
+@query("q09_validation_report", f"select v.*, (select count(*) from catalog) as rasters, (select count(*) from explayer) as layers, cast(coalesce((select count(*) from issues where category='crs'),0) as bigint) as crs_issues from ({VERD}) v", wide=True)
 def q09(s):
     v = QU.verdict(_issues(s))
     n = s.catalog.agg(F.count("*").alias("rasters"))
@@ -275,7 +275,7 @@ def u06(s):
 
 
 @query("a40_attribute_coverage", """with f as (select case when feature_id%6 in (1,2,3,4) then cast(feature_id%6 as int) end as code from feat where class_id=3)
-  select code, count(*) as n, round(count(*)*1.0e0/(select count(*) from f),6) as share, round((select count(code)*1.0e0/count(*) from f),6) as coverage from f group by 1""")
+  select code, count(*) as n, round(count(*)*1.0e0/(select count(*) from f),6) as share, round((select count(code)*1.0e0/count(*) from f),6) as coverage from f group by 1""", wide=True)
 def a40(s):
     f = s.features.filter("class_id = 3").select(F.expr("case when feature_id%6 in (1,2,3,4) then cast(feature_id%6 as int) end").alias("code"))
     g = f.groupBy("code").agg(F.count("*").alias("n"))
