@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridrun.constants import N_CLASSES
 from gridrun.functions import geometry as G
 from gridrun.functions.draws import draw
 from gridrun.operators.runs import run_len
@@ -118,26 +117,6 @@ def patch_positions(boxes: DataFrame, catalog: DataFrame, patch: int, stride: in
                     clamp_window(F.col("p.x"), patch, F.col("width")).alias("x")).distinct()
 
 
-def patch_class_px(runs: DataFrame, patches: DataFrame, patch: int, cell: int = 64) -> DataFrame:
-    """Class pixels inside each patch, background included; equi-join on grid cells.
-
-    Runs are first summed to one row per (cell, row span)... each run is cut at
-    cell columns, so a cell key holds at most ``cell`` rows of runs.
-    """
-    span = lambda lo, n: F.sequence(F.floor(lo / cell), F.floor((lo + n - 1) / cell))
-    p = patches.select("*", F.explode(span(F.col("y"), F.lit(patch))).alias("gr")).select("*", F.explode(span(F.col("x"), F.lit(patch))).alias("gc"))
-    r = runs.select("raster_id", "row", "class_id", "c0", "c1", F.floor(F.col("row") / cell).alias("gr"),
-                    F.explode(F.sequence(F.floor(F.col("c0") / cell), F.floor(F.col("c1") / cell))).alias("gc")).select(
-        "raster_id", "row", "class_id", "gr", "gc", F.greatest(F.col("c0"), F.col("gc") * cell).alias("c0"),
-        F.least(F.col("c1"), F.col("gc") * cell + cell - 1).alias("c1"))
-    n = F.greatest(F.least(F.col("c1"), F.col("x") + patch - 1) - F.greatest(F.col("c0"), F.col("x")) + 1, F.lit(0))
-    hit = p.join(r, ["raster_id", "gr", "gc"]).filter(F.col("row").between(F.col("y"), F.col("y") + patch - 1))
-    per = hit.groupBy("raster_id", "y", "x").agg(*[
-        F.coalesce(F.sum(F.when(F.col("class_id") == k, n)), F.lit(0)).cast("long").alias(f"px{k}") for k in range(1, N_CLASSES)])
-    d = patches.join(per, ["raster_id", "y", "x"], "left").fillna(0, [f"px{k}" for k in range(1, N_CLASSES)])
-    return d.withColumn("px0", F.lit(patch * patch).cast("long") - F.expr("px1 + px2 + px3 + px4"))
-
-
 def nearest_preview(runs: DataFrame, catalog: DataFrame, max_side: int) -> DataFrame:
     """Nearest-neighbour downsample of a class mask to a long side of ``max_side``.
 

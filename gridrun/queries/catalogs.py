@@ -10,6 +10,7 @@ from gridrun.plans import sparse as SPX
 from gridrun.queries.registry import CTES, query
 from gridrun.queries.vector import windows
 from gridrun.operators.onerow import with_row
+from gridrun.operators.summed import box_class_px
 
 CLAMP = lambda v, ps=64, lim=256: f"cast(greatest(0, least({v} - {ps // 2}, {lim - ps})) as int)"
 CTES.update({
@@ -18,9 +19,10 @@ CTES.update({
    select raster_id, r0 as y, c0 as x from feat where class_id=2 union all select raster_id, r0+h, c0 from feat where class_id=2
    union all select raster_id, r0, c0+w from feat where class_id=2 union all select raster_id, r0+h, c0+w from feat where class_id=2
    union all select raster_id, (r0+r0+h)//2, (c0+c0+w)//2 from feat where class_id=2)""",
-    "patches": """select p.raster_id, p.y, p.x, c.split, c.source, """ + ", ".join(f"count(*) filter (class_id={k}) as px{k}" for k in range(1, 5)) + """, 4096-count(t.class_id) as px0
-   from ppos p join catalog c using (raster_id) left join truth_px t on t.raster_id=p.raster_id and t.row between p.y and p.y+63 and t.col between p.x and p.x+63
-   group by 1,2,3,4,5 having count(*) filter (class_id=2)>0""",
+    "patches": """select p.raster_id, p.y, p.x, c.split, c.source, """ + ", ".join(f"cast(coalesce(sum(n) filter (class_id={k}),0) as bigint) as px{k}" for k in range(1, 5)) + """, cast(4096-coalesce(sum(n),0) as bigint) as px0
+   from (select p.raster_id, p.y, p.x, t.class_id, least(t.c1,p.x+63)-greatest(t.c0,p.x)+1 as n from (select *, unnest(range(y//64, (y+63)//64+1)) as b from ppos) p
+     join (select *, row//64 as b from px_runs) t on t.raster_id=p.raster_id and t.b=p.b where t.row between p.y and p.y+63 and t.c0<=p.x+63 and t.c1>=p.x) p
+   join catalog c using (raster_id) group by 1,2,3,4,5 having coalesce(sum(n) filter (class_id=2),0)>0""",
     "tpos": "select unnest([0,48,96,144,192]) as p",
 })
 PK = "raster_id, y, x"
@@ -91,13 +93,13 @@ def u04(s):
     return CT.force_cells(g, CT.feature_centroids(s.rings, s.catalog), s.catalog, 96).exceptAll(g)
 
 
-@query("p34_window_clamp", f"select raster_id, feature_id, {CLAMP('row')} as y, {CLAMP('col')} as x from cents")
+@query("p34_window_clamp", f"select raster_id, feature_id, {CLAMP('row')} as y, {CLAMP('col')} as x from cents", wide=True)
 def p34(s):
     d = CT.feature_centroids(s.rings, s.catalog).join(s.catalog.select("raster_id", "height", "width"), "raster_id")
     return d.select("raster_id", "feature_id", CT.clamp_window(F.col("row"), 64, F.col("height")).alias("y"), CT.clamp_window(F.col("col"), 64, F.col("width")).alias("x"))
 
 
-@query("p33_class_weights", "with c as (select class_id, count(*) n from cents group by 1) select class_id, n, round(1.0e0/n/(select sum(1.0e0/n) from c),9) as weight from c")
+@query("p33_class_weights", "with c as (select class_id, count(*) n from cents group by 1) select class_id, n, round(1.0e0/n/(select sum(1.0e0/n) from c),9) as weight from c", wide=True)
 def p33(s):
     return SA.class_weights(CT.feature_centroids(s.rings, s.catalog)).withColumn("weight", F.round("weight", 9))
 
@@ -122,17 +124,17 @@ def r26(s):
     return class_summary(copy_paste(s.truth, s.layer(2), 2, 256, 256, prob=0.3))
 
 
-@query("r28_patch_positions", "select * from ppos")
+@query("r28_patch_positions", "select * from ppos", wide=True)
 def r28(s):
     return CT.patch_positions(s.features.filter("class_id = 2"), s.catalog, 64, 32)
 
 
-@query("k05_geometry_to_rows", "select raster_id, count(*) as positions from ppos group by 1")
+@query("k05_geometry_to_rows", "select raster_id, count(*) as positions from ppos group by 1", wide=True)
 def k05(s):
     return CT.patch_positions(s.features.filter("class_id = 2"), s.catalog, 64, 32).groupBy("raster_id").agg(F.count("*").alias("positions"))
 
 
-@query("r29_patch_catalog", f"select {PK}, split, source, px0, px1, px2, px3, px4 from patches")
+@query("r29_patch_catalog", f"select {PK}, split, source, px0, px1, px2, px3, px4 from patches", wide=True)
 def r29(s):
     return s.patches.select("raster_id", "y", "x", "split", "source", "px0", "px1", "px2", "px3", "px4")
 
@@ -153,19 +155,19 @@ def r32(s):
     return decode(CT.nearest_preview(s.truth, s.catalog, 100))
 
 
-@query("s08_ranked_train_patches", f"select {PK}, px2, row_number() over (partition by raster_id order by px2 desc, y, x) as rn from patches where split='train'")
+@query("s08_ranked_train_patches", f"select {PK}, px2, row_number() over (partition by raster_id order by px2 desc, y, x) as rn from patches where split='train'", wide=True)
 def s08(s):
     return number_rows(s.patches.filter("split = 'train'").select("raster_id", "y", "x", "px2"), ["raster_id"], ["-px2", "y", "x"])
 
 
 @query("a32_distribution", """select count(*) as n, cast(sum(px2) as bigint) as total, round(avg(px2),6) as mean, quantile_cont(px2,0.5) as median, cast(min(px2) as bigint) as lo, cast(max(px2) as bigint) as hi,
-  round(quantile_cont(px2,0.95),6) as p95 from patches""")
+  round(quantile_cont(px2,0.95),6) as p95 from patches""", wide=True)
 def a32(s):
     return SPX.distribution(s.patches, "px2")
 
 
 @query("a33_group_stats", """select coalesce(source,'all') as source, coalesce(raster_id,-1) as raster_id, count(*) as patches, cast(sum(px2) as bigint) as px2, round(avg(px2),6) as mean from patches
-  group by grouping sets ((source, raster_id),(source),())""")
+  group by grouping sets ((source, raster_id),(source),())""", wide=True)
 def a33(s):
     d = s.patches
     g = d.groupingSets([[F.col("source"), F.col("raster_id")], [F.col("source")], []], F.col("source"), F.col("raster_id")).agg(
@@ -173,7 +175,7 @@ def a33(s):
     return g.select(F.coalesce("source", F.lit("all")).alias("source"), F.coalesce("raster_id", F.lit(-1)).cast("long").alias("raster_id"), "patches", "px2", "mean")
 
 
-@query("a34_count_by_split", "select split, count(*) as n from patches group by 1")
+@query("a34_count_by_split", "select split, count(*) as n from patches group by 1", wide=True)
 def a34(s):
     return s.patches.groupBy("split").agg(F.count("*").alias("n"))
 
@@ -181,23 +183,23 @@ def a34(s):
 SH = "(select cast(sum(px1) as bigint) a, cast(sum(px2) as bigint) b, cast(sum(px3) as bigint) c, cast(sum(px4) as bigint) d from patches)"
 
 
-@query("a37_class_shares", f"select round(100.0e0*b/greatest(1,a+b+c+d),6) as sparse_pct_of_fg, round(b*1.0e0/greatest(1,a),6) as to_road, round(b*1.0e0/greatest(1,c),6) as to_built, round(b*1.0e0/greatest(1,d),6) as to_water from {SH}")
+@query("a37_class_shares", f"select round(100.0e0*b/greatest(1,a+b+c+d),6) as sparse_pct_of_fg, round(b*1.0e0/greatest(1,a),6) as to_road, round(b*1.0e0/greatest(1,c),6) as to_built, round(b*1.0e0/greatest(1,d),6) as to_water from {SH}", wide=True)
 def a37(s):
     return SPX.class_shares(s.patches)
 
 
-@query("a54_context_ratio", "select round(avg(px2*1.0e0/greatest(1,px1+px4)),6) as context_ratio from patches")
+@query("a54_context_ratio", "select round(avg(px2*1.0e0/greatest(1,px1+px4)),6) as context_ratio from patches", wide=True)
 def a54(s):
     return s.patches.agg(F.round(F.avg(F.col("px2") / F.greatest(F.lit(1), F.col("px1") + F.col("px4"))), 6).alias("context_ratio"))
 
 
 @query("p29_visibility_bands", """select count(*) filter (px2<50) as low, count(*) filter (px2>=50 and px2<200) as mid, count(*) filter (px2>=200) as high,
-  count(*) filter (px1>px2*5) as road_dominant, count(*) filter (px3>px2*5) as built_dominant from patches""")
+  count(*) filter (px1>px2*5) as road_dominant, count(*) filter (px3>px2*5) as built_dominant from patches""", wide=True)
 def p29(s):
     return SPX.visibility(s.patches)
 
 
-@query("a57_experiment_admission", "select count(*) filter (split='train') as train, count(*) filter (split='val') as val, case when count(*) filter (split='train')<8 or count(*) filter (split='val')<4 then 'BLOCKED' else 'READY' end as status from patches")
+@query("a57_experiment_admission", "select count(*) filter (split='train') as train, count(*) filter (split='val') as val, case when count(*) filter (split='train')<8 or count(*) filter (split='val')<4 then 'BLOCKED' else 'READY' end as status from patches", wide=True)
 def a57(s):
     return SPX.admission(s.patches)
 
@@ -209,19 +211,19 @@ def a38(s):
     return SPX.detector_feasibility(i)
 
 
-@query("t07_hard_positive_half", f"""select {PK}, px2 from (select *, row_number() over (order by px2 desc, raster_id, y, x) r, count(*) over () n from patches where split='train') where r<=greatest(16, n//2)""")
+@query("t07_hard_positive_half", f"""select {PK}, px2 from (select *, row_number() over (order by px2 desc, raster_id, y, x) r, count(*) over () n from patches where split='train') where r<=greatest(16, n//2)""", wide=True)
 def t07(s):
     return SPX.top_share(s.patches.filter("split = 'train'"), 16, 2).select("raster_id", "y", "x", "px2")
 
 
 @query("t08_curriculum_order", f"""with o as (select *, row_number() over (order by px2 desc, raster_id, y, x) r, count(*) over () n from patches where split='train')
-  select 0 as phase, r as pos, {PK} from o where r<=greatest(8,n//3) union all select 1, r, {PK} from o""")
+  select 0 as phase, r as pos, {PK} from o where r<=greatest(8,n//3) union all select 1, r, {PK} from o""", wide=True)
 def t08(s):
     return SPX.curriculum(s.patches.filter("split = 'train'")).select("phase", "pos", "raster_id", "y", "x")
 
 
 @query("m03_dominant_weights", f"""with d as (select *, case when px1>=px2 and px1>=px3 and px1>=px4 and px1>=px0 then 1 when px2>=px3 and px2>=px4 and px2>=px0 then 2 when px3>=px4 and px3>=px0 then 3 when px4>=px0 then 4 else 0 end as dominant from patches)
-  select {PK}, dominant, round(1.0e0/count(*) over (partition by dominant),9) as weight from d""")
+  select {PK}, dominant, round(1.0e0/count(*) over (partition by dominant),9) as weight from d""", wide=True)
 def m03(s):
     return SA.dominant_weights(s.patches).select("raster_id", "y", "x", "dominant", F.round("weight", 9).alias("weight"))
 
@@ -230,18 +232,18 @@ def m03(s):
   w as (select *, 1.0e0/count(*) over (partition by dom) as weight from p), i as (select *, cast(round(weight*1e12) as hugeint) as v from w),
   c as (select *, coalesce(sum(v) over (order by {PK} rows between unbounded preceding and 1 preceding), 0)::hugeint as f, sum(v) over ()::hugeint as t, count(*) over ()::hugeint as n,
     cast(floor({uniform_sql(42, "'start'")}*1e6) as hugeint) as u from i)
-  select {PK}, weight, cast(((f+v)*n*1000000+u*t)//(t*1000000) - (f*n*1000000+u*t)//(t*1000000) as bigint) as draws from c""")
+  select {PK}, weight, cast(((f+v)*n*1000000+u*t)//(t*1000000) - (f*n*1000000+u*t)//(t*1000000) as bigint) as draws from c""", wide=True)
 def m03d(s):
     return SA.weighted_draws(SA.dominant_weights(s.patches).select("raster_id", "y", "x", "weight"), "weight", ["raster_id", "y", "x"])
 
 
-@query("m04_oversample_weights", f"select {PK}, 1.0e0+case when px2>0 then 8 else 0 end+case when px2>200 then 4 else 0 end as weight from patches")
+@query("m04_oversample_weights", f"select {PK}, 1.0e0+case when px2>0 then 8 else 0 end+case when px2>200 then 4 else 0 end as weight from patches", wide=True)
 def m04(s):
     return s.patches.select("raster_id", "y", "x", SA.oversample_weight(F.col("px2")).alias("weight"))
 
 
 @query("m05_stratified_split", f"""select split, raster_id, y, x, case when rn <= floor(n*0.7e0) then 'train' else 'test' end as part from (
-  select *, row_number() over (partition by split order by {draw_sql(42, 'raster_id', 'y', 'x')}, raster_id, y, x) as rn, count(*) over (partition by split) as n from patches)""")
+  select *, row_number() over (partition by split order by {draw_sql(42, 'raster_id', 'y', 'x')}, raster_id, y, x) as rn, count(*) over (partition by split) as n from patches)""", wide=True)
 def m05(s):
     return SA.stratified_split(s.patches.select("split", "raster_id", "y", "x"), "split", ["raster_id", "y", "x"])
 
@@ -305,13 +307,13 @@ def f10(s):
     cand = _slots(s, 2).select("raster_id", "slot", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("attempt")).join(
         s.catalog.select("raster_id", "height", "width"), "raster_id")
     cand = cand.select("raster_id", "slot", "attempt", *[F.floor(SA.uniform(k, "slot", "attempt") * (F.col(d) - 63)).cast("int").alias(c) for k, (c, d) in enumerate((("y", "height"), ("x", "width")))])
-    px = CT.patch_class_px(s.truth, cand.select("raster_id", "y", "x").distinct(), 64)
+    px = box_class_px(s.truth, s.catalog, cand.select("raster_id", "y", "x").distinct(), 64)
     d = cand.join(px, ["raster_id", "y", "x"]).withColumn("fg_ratio", F.lit(1.0) - F.col("px0") / 4096.0).select("slot", "attempt", "raster_id", "y", "x", "fg_ratio")
     return SA.foreground_gate(d)
 
 
 @query("a41_exposure_counters", f"""with b as (select *, (row_number() over (order by raster_id,y,x)-1)//4 as batch from patches where split='train')
-  select count(*) as batches, cast(sum(n) as bigint) as patches, count(*) filter (t>0) as batches_with_target, cast(sum(t) as bigint) as target_px from (select batch, count(*) n, sum(px2) t from b group by 1)""")
+  select count(*) as batches, cast(sum(n) as bigint) as patches, count(*) filter (t>0) as batches_with_target, cast(sum(t) as bigint) as target_px from (select batch, count(*) n, sum(px2) t from b group by 1)""", wide=True)
 def a41(s):
     return SPX.exposure(s.patches.filter("split = 'train'"), batch_size=4)
 

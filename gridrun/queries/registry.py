@@ -162,13 +162,13 @@ WIDE_FEAT = """select l_suppkey as raster_id, cast((l_orderkey*8+l_linenumber)*1
        when 1 then 9 when 2 then 6+l_partkey%14 else 24 end as int) as w,
   cast(case (l_orderkey+l_linenumber)%4 when 0 then case when l_orderkey%8<4 then 3 else 120 end
        when 1 then 4 when 2 then 6+l_orderkey%11 else 18 end as int) as h from lineitem"""
-#: Raster side in pixels, its last column, its pixels, its square metres, and the greatest column that a prediction moves to.
-SIDES = {"256": "2048", "255": "2047", "65536": "4194304", "1638400": "104857600", "239": "2031"}
+#: Raster side in pixels, its last column, its pixels, its square metres, the greatest column that a prediction moves to, and the last place of a patch of 64.
+SIDES = {"256": "2048", "255": "2047", "65536": "4194304", "1638400": "104857600", "239": "2031", "192": "1984"}
 
 
 def widened(sql: str) -> str:
     """Oracle text of small rasters for wide ones. No SQL of a wide query has these numbers in another sense."""
-    return re.sub(r"(?<![\w.])(256|255|65536|1638400|239)(?![\w])", lambda m: SIDES[m[1]], sql)
+    return re.sub(r"(?<![\w.])(256|255|65536|1638400|239|192)(?![\w])", lambda m: SIDES[m[1]], sql)
 
 
 def with_ctes(sql: str, wide: bool = False) -> str:

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from gridrun.constants import CLASSES, CONFIDENCE_THRESHOLD
 from gridrun.operators.burn import box_runs, burn_runs
-from gridrun.operators.catalog import patch_class_px, patch_positions
+from gridrun.operators.catalog import patch_positions
 from gridrun.operators.components import label_components
 from gridrun.operators.runs import as_layer, class_layer, coverage, decode, frame_rows, overlay
+from gridrun.operators.summed import box_class_px
 from gridrun.session import durable
 
 IMAGE_BANDS = (
@@ -160,7 +161,7 @@ class Survey:
         """Patch catalog: 64-pixel patches covering the sparse class, with class pixels."""
         sparse = self.features.filter("class_id = 2")
         pos = patch_positions(sparse, self.catalog, 64, 32)
-        px = patch_class_px(self.truth, pos, 64).filter("px2 > 0")
+        px = box_class_px(self.truth, self.catalog, pos, 64).filter("px2 > 0")
         return px.join(self.catalog.select("raster_id", "split", "source"), "raster_id")
 
     @cached_property
