@@ -204,16 +204,16 @@ CTES["road_gap"] = """select raster_id, row, col, least(case when min(row) over
   from (select *, row-row_number() over (partition by raster_id,col order by row) as k from truth_px where class_id=1) window w as (partition by raster_id,col,k)"""
 
 
-@query("r16_distance_inside", "select raster_id, count(*) as px, round(max(distance),6) as max_distance, round(avg(distance),6) as mean_distance from road_dist group by 1")
+@query("r16_distance_inside", "select raster_id, count(*) as px, round(max(distance),6) as max_distance, round(avg(distance),6) as mean_distance from road_dist group by 1", wide=True)
 def r16(s):
     """Exact distance to background inside the road layer, as per-raster totals."""
-    return TX.distance_inside(s.layer(1), 256, 256).groupBy("raster_id").agg(
+    return TX.distance_inside(s.layer(1), *s.frame).groupBy("raster_id").agg(
         F.count("*").alias("px"), F.round(F.max("distance"), 6).alias("max_distance"), F.round(F.avg("distance"), 6).alias("mean_distance"))
 
 
-@query("a46_width_estimate", "select raster_id, round(2.0e0*quantile_cont(distance,0.5),6) as width_px from road_dist group by 1")
+@query("a46_width_estimate", "select raster_id, round(2.0e0*quantile_cont(distance,0.5),6) as width_px from road_dist group by 1", wide=True)
 def a46(s):
-    return TX.width_estimate(s.layer(1), 256, 256).withColumn("width_px", F.round("width_px", 6))
+    return TX.width_estimate(s.layer(1), *s.frame).withColumn("width_px", F.round("width_px", 6))
 
 
 @query("r15_skeleton_length")
@@ -222,7 +222,7 @@ def r15(s):
     return TX.thin(s.layer(1), FRAME).groupBy("raster_id").agg(F.sum(run_len()).alias("skel_px"), (F.sum(run_len()) * 5.0).alias("length_m"))
 
 
-@query("r15_area_length", "select raster_id, count(*)*5.0e0/3.0e0 as length_m from truth_px where class_id=1 group by 1")
+@query("r15_area_length", "select raster_id, count(*)*5.0e0/3.0e0 as length_m from truth_px where class_id=1 group by 1", wide=True)
 def r15b(s):
     """Area-based road length, the fallback when no skeleton is made."""
     return s.layer(1).groupBy("raster_id").agg((F.sum(run_len()) * 5.0 / 3.0).alias("length_m"))

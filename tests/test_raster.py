@@ -161,3 +161,30 @@ def test_spans_road(make):
 def test_window_clip(make):
     m = R.window_clip(make(BLOBS), 5, 6, 20, 21)
     assert m.agg(F.sum(R.run_len())).first()[0] == (BLOBS[5:25, 6:27] > 0).sum()
+
+
+def test_lower_envelope_is_exact_and_linear():
+    import time
+    rng = np.random.default_rng(9)
+    for n in (1, 2, 7, 60):
+        for left in (False, True):
+            for right in (False, True):
+                f = np.where(rng.random(n) < 0.2, np.inf, rng.integers(1, 40, n).astype(float) ** 2)
+                x = np.arange(n)
+                sites = [*zip(x, f), *([(-1, 0.0)] if left else []), *([(n, 0.0)] if right else [])]
+                want = np.min([(x - p) ** 2 + h for p, h in sites], axis=0)
+                assert (TX.lower_envelope(f, left, right) == want).all()
+    long = np.full(100_000, 1e10)
+    t = time.time()
+    assert TX.lower_envelope(long, True, True).max() == 50_000.0**2 and time.time() - t < 3
+
+
+def test_width_is_twice_the_median(make):
+    m = np.zeros((N, N), int)
+    m[5:12, 3:40], m[30:34, 2:9] = 1, 1
+    runs = make(m).drop("class_id")
+    d = [r["distance"] for r in TX.distance_inside(runs, N, N).collect()]
+    assert abs(TX.width_estimate(runs, N, N).first()["width_px"] - 2 * np.median(d)) < 1e-12
+    odd = runs.where("row < 12 and row > 4").limit(1)
+    one = [r["distance"] for r in TX.distance_inside(odd, N, N).collect()]
+    assert abs(TX.width_estimate(odd, N, N).first()["width_px"] - 2 * np.median(one)) < 1e-12
