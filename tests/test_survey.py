@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from gridrun.functions import scoring as SC
 from gridrun.operators.components import label_components
+from gridrun.operators.ranking import keep_spaced
 from gridrun.operators.runs import coverage
 from gridrun.plans import spatial as SP
 from gridrun.plans import visits as V
@@ -83,3 +84,31 @@ def test_wide_radius_path_matches_dilation(spark, make):
     d = np.argwhere(m == 1)
     want = sum(1 for y, x in np.argwhere(m == 3) if any(abs(x - c) <= np.floor(np.sqrt(max(0, 100**2 - (y - r)**2)) + .5) and abs(y - r) <= 100 for r, c in d[:]))
     assert a == want
+
+
+def test_spaced_rounds_keep_what_the_walk_keeps(spark):
+    """Crowded cells, ties in place, a slope of scores, and distances of exactly the radius."""
+    import random
+    rng = random.Random(6)
+    rows = [(1, i, rng.random() * 60, rng.random() * 60, float(rng.randrange(50))) for i in range(900)]
+    rows += [(2, i, 30.0, 30.0, float(i % 7)) for i in range(300)]
+    rows += [(3, i, i * 2.0, 0.0, float(-i)) for i in range(24)]
+    rows += [(4, i, (i % 20) * 6.0, (i // 20) * 6.0, float(rng.randrange(9))) for i in range(200)]
+    cands = spark.createDataFrame(rows, "raster_id long, idx long, cx double, cy double, score double")
+    for items in (3, 10_000):
+        walk = sorted(map(tuple, keep_spaced(cands, 6.0, items, ["-score", "idx"], small=10**6).collect()))
+        assert sorted(map(tuple, keep_spaced(cands, 6.0, items, ["-score", "idx"], small=5).collect())) == walk and walk
+
+
+def test_spaced_rounds_on_a_crowded_raster(spark):
+    """A million candidates of one raster, a third of them in one cell."""
+    n = 1_000_000
+    cands = spark.range(n).selectExpr("1L as raster_id", "id as idx", "if(id % 3 = 0, 500.0D, (xxhash64(id, 1) & 1048575) / 1048.576D) as cx",
+                                      "if(id % 3 = 0, 500.0D, (xxhash64(id, 2) & 1048575) / 1048.576D) as cy", "(xxhash64(id, 3) & 65535) / 65536D as score")
+    got = keep_spaced(cands, 6.0, 50, ["-score", "idx"]).orderBy("rank").collect()
+    best = cands.orderBy("score", ascending=False).limit(3000).orderBy(F.desc("score"), "idx").collect()
+    kept = []
+    for c in best:
+        if len(kept) < 50 and all((c.cx - k.cx) ** 2 + (c.cy - k.cy) ** 2 >= 36 for k in kept):
+            kept.append(c)
+    assert [r.idx for r in got] == [k.idx for k in kept] and len(got) == 50
