@@ -87,13 +87,13 @@ def _stats(s):
     return component_stats(s.components)
 
 
-@query("a18_road_components", f"select raster_id, road_components, largest_road, {rd('100.0e0*largest_road/greatest(road_px,1)')} as largest_pct from csum")
+@query("a18_road_components", f"select raster_id, road_components, largest_road, {rd('100.0e0*largest_road/greatest(road_px,1)')} as largest_pct from csum", wide=True)
 def a18(s):
     return SP.raster_base(s.truth, s.components, s.catalog).select(
         "raster_id", "road_components", "largest_road", F.round(SC.pct(F.col("largest_road"), F.col("road_px")), 6).alias("largest_pct"))
 
 
-@query("a19_fragmentation", "select raster_id, clusters, round(clusters/greatest(builtup_px/10000.0e0,0.01e0),6) as fragmentation from csum")
+@query("a19_fragmentation", "select raster_id, clusters, round(clusters/greatest(builtup_px/10000.0e0,0.01e0),6) as fragmentation from csum", wide=True)
 def a19(s):
     return SP.raster_base(s.truth, s.components, s.catalog).select(
         "raster_id", "clusters", F.round(F.col("clusters") / F.greatest(F.col("builtup_px") / 10000.0, F.lit(0.01)), 6).alias("fragmentation"))
@@ -139,7 +139,7 @@ def p24(s):
 
 
 @query("a22_infrastructure_summary", f"""select raster_id, {rd('100.0e0*road_px/total_px',2)} as road_pct, {rd('100.0e0*water_px/total_px',2)} as water_pct,
-  {rd('100.0e0*builtup_px/total_px',2)} as builtup_pct, bridge_px, clusters as n_buildings, water_bodies_500 as n_water_bodies from csum""")
+  {rd('100.0e0*builtup_px/total_px',2)} as builtup_pct, bridge_px, clusters as n_buildings, water_bodies_500 as n_water_bodies from csum""", wide=True)
 def a22(s):
     p = lambda c: SC.rnd(SC.pct(F.col(c), F.col("total_px")), 2)
     return SP.raster_base(s.truth, s.components, s.catalog).select(
@@ -183,17 +183,17 @@ def a16(s):
 BR = "select raster_id, comp_id, cast(floor(round(cx,9)) as int) as x_px, cast(floor(round(cy,9)) as int) as y_px, area_px*25.0e0 as area_m2 from comps where class_id=2 and area_px>=30"
 
 
-@query("a26_bridge_locations", BR)
+@query("a26_bridge_locations", BR, wide=True)
 def a26(s):
     return SP.bridge_locations(_stats(s), GSD)
 
 
-@query("t05_first_bridges", f"select raster_id, comp_id, x_px, y_px, area_m2, rank from (select *, cast(row_number() over (partition by raster_id order by comp_id) as int) as rank from ({BR})) where rank<=5")
+@query("t05_first_bridges", f"select raster_id, comp_id, x_px, y_px, area_m2, rank from (select *, cast(row_number() over (partition by raster_id order by comp_id) as int) as rank from ({BR})) where rank<=5", wide=True)
 def t05(s):
     return top_k(SP.bridge_locations(_stats(s), GSD), ["raster_id"], ["comp_id"], 5)
 
 
-@query("w02_cluster_sequence", "select raster_id, comp_id, row_number() over (partition by raster_id order by comp_id) as seq from comps where class_id=3 and area_px>=200")
+@query("w02_cluster_sequence", "select raster_id, comp_id, row_number() over (partition by raster_id order by comp_id) as seq from comps where class_id=3 and area_px>=200", wide=True)
 def w02(s):
     return number_in_frame(_stats(s).filter("class_id = 3 and area_px >= 200"), "seq").select("raster_id", "comp_id", "seq")
 
