@@ -20,13 +20,13 @@ def class_summary(mask):
 
 def comp_ctes(name, src):
     """Labelled pixels of a pixel relation ``src(raster_id,row,col)``: ``name_px(raster_id,row,col,comp_id)``."""
-    return f"""{name}_r as (select raster_id, row, min(col) as c0, max(col) as c1, row*256+min(col) as rid from (
+    return f"""{name}_r as materialized (select raster_id, row, min(col) as c0, max(col) as c1, row*256+min(col) as rid from (
     select *, col-row_number() over (partition by raster_id,row order by col) as g from {src}) group by raster_id, row, g),
-  {name}_e as (select a.raster_id, a.rid as a, b.rid as b from {name}_r a join {name}_r b on a.raster_id=b.raster_id and b.row=a.row+1 and b.c0<=a.c1+1 and b.c1>=a.c0-1),
-  {name}_l as (select raster_id,a,b from {name}_e union all select raster_id,b,a from {name}_e),
+  {name}_e as materialized (select a.raster_id, a.rid as a, b.rid as b from {name}_r a join {name}_r b on a.raster_id=b.raster_id and b.row=a.row+1 and b.c0<=a.c1+1 and b.c1>=a.c0-1),
+  {name}_l as materialized (select raster_id,a,b from {name}_e union all select raster_id,b,a from {name}_e),
   {name}_h as (select raster_id, rid as l, rid as n from {name}_r r where not exists (select 1 from {name}_l k where k.raster_id=r.raster_id and k.a=r.rid and k.b<r.rid)
     union select x.raster_id, x.l, k.b from {name}_h x join {name}_l k on k.raster_id=x.raster_id and k.a=x.n),
-  {name}_m as (select raster_id, n as rid, min(l) as comp_id from {name}_h group by 1,2),
+  {name}_m as materialized (select raster_id, n as rid, min(l) as comp_id from {name}_h group by 1,2),
   {name}_px as (select raster_id, row, unnest(range(c0,c1+1)) as col, comp_id from {name}_r join {name}_m using (raster_id, rid))"""
 
 

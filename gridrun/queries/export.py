@@ -31,9 +31,11 @@ def four_sql(src):
     return comp_ctes("f", src).replace("b.c0<=a.c1+1 and b.c1>=a.c0-1", "b.c0<=a.c1 and b.c1>=a.c0")
 
 
-AREA_PERI = """a as (select raster_id, comp_id, count(*) as area_px from f_px group by 1,2),
-  n as (select f.raster_id, f.comp_id, count(*) as shared from f_px f, (values (0,1),(0,-1),(1,0),(-1,0)) d(dy,dx) join f_px g on g.raster_id=f.raster_id and g.row=f.row+d.dy and g.col=f.col+d.dx group by 1,2),
-  m as (select a.raster_id, a.comp_id, a.area_px, a.area_px*25.0e0 as area_m2, (4*a.area_px-coalesce(n.shared,0))*5.0e0 as perimeter_m from a left join n using (raster_id, comp_id))"""
+# Each pixel has four sides; a run shares its inner ones, and two runs above each other those of the columns they share.
+AREA_PERI = """fc as materialized (select raster_id, row, c0, c1, comp_id from f_r join f_m using (raster_id, rid)),
+  a as (select raster_id, comp_id, cast(sum(c1-c0+1) as bigint) as area_px, sum(2*(c1-c0)) as inner_sides from fc group by 1,2),
+  n as (select a.raster_id, a.comp_id, sum(2*(least(a.c1,b.c1)-greatest(a.c0,b.c0)+1)) as shared from fc a join fc b on b.raster_id=a.raster_id and b.row=a.row+1 and b.c0<=a.c1 and b.c1>=a.c0 group by 1,2),
+  m as (select a.raster_id, a.comp_id, a.area_px, a.area_px*25.0e0 as area_m2, (4*a.area_px-a.inner_sides-coalesce(n.shared,0))*5.0e0 as perimeter_m from a left join n using (raster_id, comp_id))"""
 
 
 @query("r17_area_perimeter", f"with w0 as (select raster_id,row,col from truth_px where class_id=4), {four_sql('w0')}, {AREA_PERI} select raster_id, cast(comp_id as bigint) as comp_id, area_px, area_m2, perimeter_m from m")
