@@ -3,9 +3,10 @@
 from pyspark.sql import functions as F
 
 from gridrun.operators import metrics as M
+from gridrun.operators.onerow import with_row
 from gridrun.operators.runs import decode, run_len, subtract
 from gridrun.queries.registry import query
-from gridrun.operators.onerow import with_row
+from gridrun.session import durable
 
 
 def _cm(s):
@@ -13,7 +14,8 @@ def _cm(s):
 
 
 def _counts(s):
-    return M.class_counts(_cm(s), s.classes)
+    """One row per class, computed once for measures that look at it twice."""
+    return durable(M.class_counts(_cm(s), s.classes))
 
 
 PR = """cast(tp as double)/(gt_pixels+pred_pixels-tp+{e}) as iou, cast(tp as double)/(pred_pixels+{e}) as precision,

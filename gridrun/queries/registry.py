@@ -160,7 +160,7 @@ WIDE_FEAT = """select l_suppkey as raster_id, cast((l_orderkey*8+l_linenumber)*1
   cast((l_partkey*37+l_orderkey*11)%2032 as int) as c0, cast((l_orderkey*53+l_linenumber*29+l_partkey*7)%2032 as int) as r0,
   cast(case (l_orderkey+l_linenumber)%4 when 0 then case when l_orderkey%8<4 then 120 else 3 end
        when 1 then 9 when 2 then 6+l_partkey%14 else 24 end as int) as w,
-  cast(case (l_orderkey+l_linenumber)%4 when 0 then case when l_orderkey%8<4 then 3 else 120 end
+  cast(case (l_orderkey+l_linenumber)%4 when 0 then case when l_orderkey%8<4 then 3 else 30 end
        when 1 then 4 when 2 then 6+l_orderkey%11 else 18 end as int) as h from lineitem"""
 #: Raster side in pixels, its last column, its pixels, its square metres, the greatest column that a prediction moves to, and the last place of a patch of 64.
 SIDES = {"256": "2048", "255": "2047", "65536": "4194304", "1638400": "104857600", "239": "2031", "192": "1984"}

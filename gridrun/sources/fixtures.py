@@ -75,7 +75,7 @@ class Survey:
                 f"cast((l_orderkey*53+l_linenumber*29+l_partkey*7)%{WIDE - 16} as int) as r0",
                 """cast(case (l_orderkey+l_linenumber)%4 when 0 then case when l_orderkey%8<4 then 120 else 3 end
                      when 1 then 9 when 2 then 6+l_partkey%14 else 24 end as int) as w""",
-                """cast(case (l_orderkey+l_linenumber)%4 when 0 then case when l_orderkey%8<4 then 3 else 120 end
+                """cast(case (l_orderkey+l_linenumber)%4 when 0 then case when l_orderkey%8<4 then 3 else 30 end
                      when 1 then 4 when 2 then 6+l_orderkey%11 else 18 end as int) as h""")
         quarter = "(year(l_shipdate)*4 + quarter(l_shipdate) - 1)"
         sums = self.table("lineitem").groupBy(F.col("l_suppkey").alias("raster_id"), F.expr(quarter).alias("q")).agg(
