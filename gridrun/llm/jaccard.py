@@ -149,11 +149,15 @@ def _least_linked(near: np.ndarray) -> np.ndarray:
     return root
 
 
-def verified(members: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE, block: int = BLOCK) -> DataFrame:
-    """Bucket members and the texts of their units to ``u, links, root``: exact links of a unit in one block pair of one bucket."""
+def verified(members: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE, block: int = BLOCK, sizes: DataFrame | None = None) -> DataFrame:
+    """Bucket members and the texts of their units to ``u, links, root``: exact links of a unit in one block pair of one bucket.
+
+    ``sizes`` may hold the characters of the units (``u, chars``), so that the texts are read once.
+    """
     home = members.groupBy("u").agg(F.sort_array(F.collect_set("bh")).alias("homes"))  # as many as there are bands at most
-    sizes = texts.select("u", F.length("text").alias("chars"))
-    rows = _blocked(members, stored(sizes), block).join(home, "u").join(texts.select("u", "text"), "u").repartition("bh", "i", "j").sortWithinPartitions("bh", "i", "j", "u")
+    if sizes is None:
+        sizes = stored(texts.select("u", F.length("text").alias("chars")))
+    rows = _blocked(members, sizes, block).join(home, "u").join(texts.select("u", "text"), "u").repartition("bh", "i", "j").sortWithinPartitions("bh", "i", "j", "u")
 
     def judged(held: list[tuple]) -> pa.RecordBatch:
         """Whole groups: their rows ``(bh, i, j, u, own, homes, text)``, a group's in a row."""
@@ -208,12 +212,17 @@ def verified(members: DataFrame, texts: DataFrame, threshold: float = THRESHOLD,
     return rows.mapInArrow(scan, "u bigint, links bigint, root bigint")
 
 
-def near_links(units: DataFrame, rows: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
-    """Units ``(u, text)``, repeated or not, and their band rows to ``(u, links)`` and ``(u, label)`` for units with a link."""
+def near_links(units: DataFrame, rows: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE, sizes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Units ``(u, text)``, repeated or not, and their band rows to ``(u, links)`` and ``(u, label)`` for units with a link.
+
+    ``sizes`` may hold the characters of all units, repeated or not.
+    """
     members = stored(shared_buckets(rows))
     wanted = small(members.select("u").distinct())
     texts = units.join(wanted, "u", "left_semi").dropDuplicates(["u"])
-    found = stored(verified(members, texts, threshold, n))
+    if sizes is not None:
+        sizes = stored(sizes.join(wanted, "u", "left_semi").groupBy("u").agg(F.max("chars").alias("chars")))
+    found = stored(verified(members, texts, threshold, n, sizes=sizes))
     labels = components(found.where("u <> root").select(F.col("u").alias("a"), F.col("root").alias("b")))
     return found.groupBy("u").agg(F.sum("links").alias("links")), labels.select(F.col("id").alias("u"), "label")
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridrun.llm.common import WORDS
 from gridrun.session import durable
 
 #: The multipliers and offsets of the hash functions come from one generator with a fixed seed.
@@ -24,23 +25,30 @@ def coefficients(count: int) -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(1, 1 << 63, count, dtype=np.uint64) | np.uint64(1), rng.integers(0, 1 << 63, count, dtype=np.uint64)
 
 
-def shingle_table(texts: list, n: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Shingle hashes of all texts in a row, which text each belongs to, and which texts have words.
+class _Digests(dict):
+    """Hashes of words, each computed once."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+def hashed_words(texts: list) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts (str, UTF-8 bytes or None) in a row, and the number of words of each text."""
+    digest, hashes, count = _Digests().__getitem__, array("Q"), []
+    for t in texts:
+        words = (t if isinstance(t, bytes) else t.encode()).split() if t else []  # bytes split at the blanks of WORD and no others
+        count.append(len(words))
+        hashes.extend(map(digest, words))
+    return np.array(hashes, dtype=np.uint64), np.array(count, dtype=np.int64)
+
+
+def shingles(word: np.ndarray, count: np.ndarray, n: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shingle hashes of all texts in a row from their ``hashed_words``, which text each belongs to, and which texts have words.
 
     A text under ``n`` words has one shingle of all its words. Repeats are kept.
     """
-    digest, known, hashes, counts = xxhash.xxh3_64_intdigest, {}, [], []
-    for t in texts:
-        words = WORDS.findall(t) if t else []
-        counts.append(len(words))
-        for w in words:
-            h = known.get(w)
-            if h is None:
-                h = known[w] = digest(w)
-            hashes.append(h)
-    count = np.array(counts, dtype=np.int64)
     has = np.flatnonzero(count)
-    word = np.array(hashes, dtype=np.uint64)
     owner = np.repeat(np.arange(len(count)), count)
     left = np.repeat(np.cumsum(count), count) - np.arange(len(word))  # words from here to the end of the text
     size = np.minimum(count, n)[owner]
@@ -54,9 +62,19 @@ def shingle_table(texts: list, n: int = 5) -> tuple[np.ndarray, np.ndarray, np.n
     return key[inside], owner[inside], has
 
 
+def shingle_table(texts: list, n: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``shingles`` of texts."""
+    return shingles(*hashed_words(texts), n)
+
+
 def band_tables(texts: list, bands: int, rows: int, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Band hashes of the texts with words, one row each, and which texts these are. MinHash values are minima over all shingles."""
-    key, owner, has = shingle_table(texts, n)
+    """Band hashes of the texts with words, one row each, and which texts these are."""
+    return word_bands(*hashed_words(texts), bands, rows, n)
+
+
+def word_bands(word: np.ndarray, count: np.ndarray, bands: int, rows: int, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """``band_tables`` from ``hashed_words``. MinHash values are minima over all shingles."""
+    key, owner, has = shingles(word, count, n)
     if not len(has):
         return np.zeros((0, bands), dtype=np.int64), has
     starts = np.searchsorted(owner, has)

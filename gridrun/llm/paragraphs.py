@@ -19,33 +19,47 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridrun.llm.common import WORD, WORDS, slices, stored
-from gridrun.llm.jaccard import band_rows, near_links, small
-from gridrun.llm.minhash import bands_for
+from gridrun.llm.common import SMALL_SLICE, WORDS, slices, stored
+from gridrun.llm.jaccard import near_links, small
+from gridrun.llm.minhash import bands_for, hashed_words, word_bands
 
 MIN_WORDS, WINDOW, SHINGLE = 10, 50, 20
 RUN = 32  # stretches in one row
 ROWS, RECALL, THRESHOLD, WORD_SHINGLE = 2, 0.9999, 0.8, 5
 
 
-def lines(docs: DataFrame, min_words: int) -> DataFrame:
-    """``doc_id, line, u, text``: the paragraphs, by number of the line; ``u`` tells texts apart."""
-    split = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))
-    return split.where(F.regexp_count("text", F.lit(WORD)) >= min_words).withColumn("u", F.xxhash64("text"))
+def lines(docs: DataFrame) -> DataFrame:
+    """``u, text``: all lines; ``u`` tells texts apart."""
+    split = docs.where(F.col("doc_id").isNotNull()).select(F.explode(F.split("text", "\n", -1)).alias("text"))
+    return split.select(F.xxhash64("text").alias("u"), "text")
 
 
-def _joined(texts: list) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts in a row, and the number of words of each text."""
-    digest, known, hashes, count = xxhash.xxh3_64_intdigest, {}, [], []
-    for text in texts:
-        words = WORDS.findall(text or "")
-        count.append(len(words))
-        for w in words:
-            h = known.get(w)
-            if h is None:
-                h = known[w] = digest(w)
-            hashes.append(h)
-    return np.array(hashes, dtype=np.uint64), np.array(count, dtype=np.int64)
+def banded_lines(docs: DataFrame, min_words: int, bands: int, rows: int, n: int) -> DataFrame:
+    """``doc_id, line, u, chars, bh``: the paragraphs by number of the line, their UTF-8 bytes and band hashes; those found again in a slice come without hashes."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in slices(batches, chars=SMALL_SLICE):
+            split = [t.encode().split(b"\n") if t is not None else [] for t in texts]
+            held = np.array([len(x) for x in split], dtype=np.int64)
+            every = [x for s in split for x in s]
+            word, count = hashed_words(every)
+            keep = np.flatnonzero(count >= min_words)
+            u = np.array([xxhash.xxh64_intdigest(every[i], 42) for i in keep.tolist()], dtype=np.uint64).view(np.int64)  # as xxhash64 of Spark
+            first = np.unique(u, return_index=True)[1]
+            new = np.zeros(len(every), dtype=bool)
+            new[keep[first]] = True
+            hashes, _ = word_bands(word[np.repeat(new, count)], count[new], bands, rows, n)
+            own = np.zeros(len(keep), dtype=np.int64)
+            own[first] = bands
+            # the bands of a paragraph are in a row, in the order of the lines, as the new ones are
+            offsets = pa.array(np.concatenate([[0], np.cumsum(own)]).astype(np.int32))
+            bh = pa.ListArray.from_arrays(offsets, pa.array(hashes.reshape(-1)))
+            doc = np.repeat(np.arange(len(held)), held)
+            line = np.arange(len(every)) - np.repeat(np.cumsum(held) - held, held)
+            chars = np.array([len(every[i]) for i in keep.tolist()], dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()).take(pa.array(doc[keep])), pa.array(line[keep].astype(np.int32)), pa.array(u), pa.array(chars), bh], names=["doc_id", "line", "u", "chars", "bh"])
+
+    return docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInArrow(scan, "doc_id bigint, line int, u bigint, chars bigint, bh array<bigint>")
 
 
 def _names(key: np.ndarray, words: int) -> np.ndarray:
@@ -73,7 +87,7 @@ def _least(words: np.ndarray, count: np.ndarray, window: int, shingle: int) -> n
 
 def slice_marks(texts: list, window: int, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(text, word, hash)`` of the selected shingles of a slice of texts: the least of every stretch of ``window`` words."""
-    words, count = _joined(texts)
+    words, count = hashed_words(texts)
     none = np.zeros(0, dtype=np.int64)
     if len(words) < window:
         return none, none, none
@@ -114,7 +128,7 @@ def segments(docs: DataFrame, window: int, shingle: int) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches):
-            words, count = _joined(texts)
+            words, count = hashed_words(texts)
             if len(words) < window:
                 continue
             wanted = np.unique(np.array(pa.compute.list_flatten(part.column("marks")), dtype=np.int64))
@@ -186,10 +200,9 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW, shingle: int = SHINGLE)
 
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, threshold: float = THRESHOLD, rows: int = ROWS, recall: float = RECALL) -> DataFrame:
     """``doc_id, line, first``: paragraphs that are not the first of their class, and the document of the first."""
-    units = lines(docs, min_words)
-    places = stored(units.select("doc_id", "line", "u"))
-    found = stored(band_rows(units, bands_for(threshold, recall, rows), rows, WORD_SHINGLE))
-    _, labels = near_links(units, found, threshold, WORD_SHINGLE)
+    found = stored(banded_lines(docs, min_words, bands_for(threshold, recall, rows), rows, WORD_SHINGLE))
+    places = found.select("doc_id", "line", "u")
+    _, labels = near_links(lines(docs), found.select("u", F.explode("bh").alias("bh")), threshold, WORD_SHINGLE, found.select("u", "chars"))
     copies = places.groupBy("u").agg(F.min(F.struct("doc_id", "line")).alias("least"), F.count("*").alias("n"))
     classed = copies.join(small(stored(labels)), "u", "left").where("n > 1 OR label IS NOT NULL").withColumn("label", F.coalesce("label", "u"))
     kept = stored(classed)
