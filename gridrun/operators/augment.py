@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridrun.operators.runs import as_layer, join_touching, overlay
+from gridrun.operators.components import _cut
+from gridrun.operators.onerow import with_row
+from gridrun.operators.ranking import number_rows
+from gridrun.operators.runs import as_layer, class_layer, decode, join_touching, overlay, run_len
 from gridrun.operators.sampling import uniform
 
 
@@ -20,12 +23,48 @@ def augment(pixels: DataFrame, width: int, height: int, shift: tuple[int, int] =
         F.col("row").between(0, height - 1) & F.col("col").between(0, width - 1))
 
 
-def copy_paste(mask: DataFrame, crop: DataFrame, class_id: int, width: int, height: int, prob: float = 0.3, seed: int = 42) -> DataFrame:
-    """Paste only the target pixels of a crop at a seeded offset into a share of the rasters."""
-    hit = uniform(seed, "raster_id") < prob
-    off = lambda s, n: F.floor((uniform(seed + s, "raster_id") * 2 - 1) * (n // 2)).cast("int")
-    moved = crop.filter(hit).select(
-        "raster_id", (F.col("row") + off(1, height)).alias("row"), F.greatest(F.col("c0") + off(2, width), F.lit(0)).alias("c0"),
-        F.least(F.col("c1") + off(2, width), F.lit(width - 1)).alias("c1")).filter(f"row between 0 and {height - 1} and c0 <= c1")
-    o = overlay({"m": as_layer(mask, "class_id"), "p": as_layer(moved)})
+def crop_pool(mask: DataFrame, class_id: int, size: int = 64, more_than: int = 50) -> DataFrame:
+    """Crops of ``size`` pixels a side with more than ``more_than`` pixels of a class: ``crop, src, top, left, row, c0, c1``.
+
+    Crops are the cells of a fixed lattice over raster ``src``, numbered from 1 over all rasters; the rows are the runs
+    of the class in them, in pixels of ``src``. A mask without such a cell gives no rows.
+    """
+    cell = ["raster_id", "tr", "tc"]
+    cut = _cut(class_layer(mask, class_id).select("raster_id", "row", "c0", "c1"), size)
+    full = cut.groupBy(*cell).agg(F.sum(run_len()).alias("n")).filter(F.col("n") > more_than).select(*cell)
+    return cut.join(number_rows(full, [], cell, "crop"), cell).select(
+        "crop", F.col("raster_id").alias("src"), (F.col("tr") * size).alias("top"), (F.col("tc") * size).alias("left"), "row", "c0", "c1")
+
+
+def draw_crops(pool: DataFrame, catalog: DataFrame, size: int = 64, prob: float = 0.3, seed: int = 42) -> DataFrame:
+    """A share of the rasters with the crop they get and where it goes, inside the raster: ``raster_id, crop, y, x``."""
+    at = lambda s, side: F.floor(uniform(seed + s, "raster_id") * (F.greatest(F.col(side) - size, F.lit(0)) + 1)).cast("int")
+    hit = with_row(catalog.filter(uniform(seed, "raster_id") < prob), pool.agg(F.max("crop").alias("n")))
+    return hit.select("raster_id", (F.floor(uniform(seed + 3, "raster_id") * F.col("n")) + 1).alias("crop"), at(1, "height").alias("y"), at(2, "width").alias("x")).filter("crop is not null")
+
+
+def pasted_runs(pool: DataFrame, draws: DataFrame) -> DataFrame:
+    """Runs that the drawn crops put into their rasters, with the way back: ``raster_id, row, c0, c1, src, dr, dc``.
+
+    Pixel ``(row, col)`` comes from ``(row - dr, col - dc)`` of raster ``src``.
+    """
+    moved = pool.join(draws, "crop").select("raster_id", "src", (F.col("y") - F.col("top")).alias("dr"), (F.col("x") - F.col("left")).alias("dc"), "row", "c0", "c1")
+    return moved.select("raster_id", (F.col("row") + F.col("dr")).alias("row"), (F.col("c0") + F.col("dc")).alias("c0"), (F.col("c1") + F.col("dc")).alias("c1"), "src", "dr", "dc")
+
+
+def paste_mask(mask: DataFrame, pasted: DataFrame, class_id: int) -> DataFrame:
+    """The mask with the pasted runs written over it; only target pixels of a crop are pasted."""
+    o = overlay({"m": as_layer(mask, "class_id"), "p": as_layer(pasted)})
     return join_touching(o.withColumn("class_id", F.when(F.col("p").isNotNull(), class_id).otherwise(F.col("m")).cast("int")).drop("m", "p"))
+
+
+def paste_bands(image: DataFrame, pasted: DataFrame, bands: list[str]) -> DataFrame:
+    """``raster_id, row, col`` and the bands after the paste: pasted pixels have the bands of the pixel they come from.
+
+    Pasted pixels that the image doesn't hold yet are added; those whose source pixel it doesn't hold stay as they are.
+    """
+    key = ["raster_id", "row", "col"]
+    source = image.select(F.col("raster_id").alias("src"), F.col("row").alias("_row"), F.col("col").alias("_col"), *bands)
+    moved = decode(pasted).select(*key, "src", (F.col("row") - F.col("dr")).alias("_row"), (F.col("col") - F.col("dc")).alias("_col"))
+    new = moved.join(source, ["src", "_row", "_col"]).select(*key, *bands)
+    return image.select(*key, *bands).join(new.select(*key), key, "left_anti").unionByName(new)

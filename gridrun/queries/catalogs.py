@@ -11,6 +11,7 @@ from gridrun.queries.registry import CTES, query
 from gridrun.queries.vector import windows
 from gridrun.operators.onerow import with_row
 from gridrun.operators.summed import box_class_px
+from gridrun.session import durable
 
 CLAMP = lambda v, ps=64, lim=256: f"cast(greatest(0, least({v} - {ps // 2}, {lim - ps})) as int)"
 CTES.update({
@@ -116,12 +117,28 @@ def r25(s):
     return a.groupBy("raster_id", "class_id", "kind").agg(F.sum(F.col("row").cast("long") * 256 + F.col("col")).alias("pos_sum"))
 
 
-@query("r26_copy_paste")
+PASTED = f"""crops as materialized (select raster_id as src, row//64 as tr, col//64 as tc, row_number() over (order by raster_id, row//64, col//64) as crop
+    from truth_px where class_id=2 group by 1,2,3 having count(*)>50),
+  draws as materialized (select raster_id, cast(floor({uniform_sql(45, 'raster_id')}*(select count(*) from crops)) as bigint)+1 as crop,
+    cast(floor({uniform_sql(43, 'raster_id')}*193) as int) as y, cast(floor({uniform_sql(44, 'raster_id')}*193) as int) as x from catalog where {uniform_sql(42, 'raster_id')}<0.3e0),
+  pasted as materialized (select d.raster_id, t.row-k.tr*64+d.y as row, t.col-k.tc*64+d.x as col, t.red, t.green, t.blue
+    from draws d join crops k using (crop) join img t on t.raster_id=k.src and t.class_id=2 and t.row//64=k.tr and t.col//64=k.tc)"""
+
+
+@query("r26_copy_paste", f"""with {PASTED} select raster_id, class_id, cast(count(*) as bigint) as px, cast(sum(row*256+col) as bigint) as pos_sum,
+  cast(sum(red) as bigint) as red, cast(sum(green) as bigint) as green, cast(sum(blue) as bigint) as blue
+  from (select raster_id, row, col, 2 as class_id, red, green, blue from pasted union all
+    select raster_id, row, col, class_id, red, green, blue from img i where not exists (select 1 from pasted p where p.raster_id=i.raster_id and p.row=i.row and p.col=i.col)) group by 1,2""")
 def r26(s):
-    """Sparse-class pixels pasted at a seeded offset into a share of the rasters."""
-    from gridrun.operators.augment import copy_paste
-    from gridrun.queries.cleaning import class_summary
-    return class_summary(copy_paste(s.truth, s.layer(2), 2, 256, 256, prob=0.3))
+    """Crops of the sparse class, from a pool over all rasters, pasted with their bands into a share of the rasters."""
+    from gridrun.operators import augment as AU
+    from gridrun.operators.runs import decode
+    pool = durable(AU.crop_pool(s.truth, 2))
+    pasted = durable(AU.pasted_runs(pool, AU.draw_crops(pool, s.catalog)))
+    bands = AU.paste_bands(s.image, pasted, ["red", "green", "blue"])
+    px = decode(AU.paste_mask(s.truth, pasted, 2)).join(bands, ["raster_id", "row", "col"])
+    long = lambda c: F.sum(F.col(c).cast("long")).alias(c)
+    return px.groupBy("raster_id", "class_id").agg(F.count("*").alias("px"), F.sum(F.col("row").cast("long") * 256 + F.col("col")).alias("pos_sum"), long("red"), long("green"), long("blue"))
 
 
 @query("r28_patch_positions", "select * from ppos", wide=True)
