@@ -61,32 +61,43 @@ def p28(s):
     return s.logits.select(L.confidence_band(L.confidence("z")).alias("band")).groupBy("band").agg(F.count("*").alias("n"))
 
 
+#: Score pixels laid out as rasters of four rows, one for each of four vectors in a row.
+PLACE = {"raster_id": "vec_id div 4", "row": "cast(vec_id % 4 as int)", "col": "cast(k as int)"}
+GRID = (13, 4)
+
+
 def _grid(s, z="z"):
-    """Score pixels laid out as one raster of one row per vector."""
     pixels = s.logits if z == "z" else s.logits_pair
-    return pixels.select(F.col("vec_id").alias("raster_id"), F.lit(0).alias("row"), F.col("k").alias("col"), F.col(z).alias("z"))
+    return pixels.selectExpr(*[f"{v} as {k}" for k, v in PLACE.items()], f"{z} as z")
 
 
-FL = "select vec_id as raster_id, 0 as row, cast(k as int) as col, {} as z from lg2"
+FL = "select vec_id//4 as raster_id, cast(vec_id%4 as int) as row, cast(k as int) as col, {} as z from lg2"
 AVGZ = ", ".join(f"round(avg(z[{k+1}]),6) as z{k}" for k in range(5))
 
 
 @query("p08_flip_average", f"""select raster_id, row, col, {AVGZ} from ({FL.format('z')}
-  union all select raster_id, row, 12-col, z from ({FL.format('z2')}) union all select raster_id, 0-row, col, z from ({FL.format('z2')})) group by 1,2,3""")
+  union all select raster_id, row, 12-col, z from ({FL.format('z2')}) union all select raster_id, 3-row, col, z from ({FL.format('z2')})) group by 1,2,3""")
 def p08(s):
-    return _flat(ST.flip_average(_grid(s), _grid(s, "z2"), _grid(s, "z2"), 13, 1), "raster_id", "row", "col")
+    return _flat(ST.flip_average(_grid(s), _grid(s, "z2"), _grid(s, "z2"), *GRID), "raster_id", "row", "col")
+
+
+EACH = lambda form: ", ".join(form.format(k=k) for k in range(1, 6))
+TAP = lambda y, x, w: f"select r, c, cast({y} as int) as y, cast({x} as int) as x, {w} as w from place"
 
 
-@query("p09_multiscale_average", """with g as (select vec_id as raster_id, cast(k as int) as col, z, greatest((k+0.5e0)*(7.0e0/13)-0.5e0,0) as sx from lg),
-  lo as (select vec_id as raster_id, cast(k//2 as int) as col, """ + ", ".join(f"avg(z2[{k}]) as a{k}" for k in range(1, 6)) + """ from lg2 group by 1,2)
-  select g.raster_id, 0 as row, g.col, """ + ", ".join(f"round((g.z[{k}] + (1-(sx-floor(sx)))*a.a{k} + (sx-floor(sx))*b.a{k})/2,6) as z{k-1}" for k in range(1, 6)) + """
-   from g join lo a on a.raster_id=g.raster_id and a.col=floor(sx)
-   join lo b on b.raster_id=g.raster_id and b.col=least(floor(sx)+1,6)""")
+@query("p09_multiscale_average", f"""with lo as (select raster_id, row//2 as y, col//2 as x, {EACH('avg(z[{k}]) as a{k}')} from ({FL.format('z2')}) group by 1,2,3),
+  place as (select r, c, floor(sy) as y0, floor(sx) as x0, sy-floor(sy) as fy, sx-floor(sx) as fx from (
+    select r, c, greatest((r+0.5e0)*0.5e0-0.5e0,0) as sy, greatest((c+0.5e0)*(7.0e0/13)-0.5e0,0) as sx from range(4) a(r), range(13) b(c))),
+  taps as ({TAP('y0', 'x0', '(1-fy)*(1-fx)')} union all {TAP('y0', 'least(x0+1,6)', '(1-fy)*fx')}
+    union all {TAP('least(y0+1,1)', 'x0', 'fy*(1-fx)')} union all {TAP('least(y0+1,1)', 'least(x0+1,6)', 'fy*fx')}),
+  wide as (select lo.raster_id, cast(r as int) as row, cast(c as int) as col, {EACH('sum(w*a{k}) as b{k}')} from taps join lo on lo.y=taps.y and lo.x=taps.x group by 1,2,3)
+  select raster_id, row, col, """ + ", ".join(f"round(avg(b{k}),6) as z{k - 1}" for k in range(1, 6)) + f""" from (
+    select raster_id, row, col, {EACH('z[{k}] as b{k}')} from ({FL.format('z')}) union all select * from wide) group by 1,2,3""")
 def p09(s):
-    """The second model scores at half the resolution: its pixels are means of two, the last one stands alone."""
-    low = s.logits_pair.groupBy(F.col("vec_id").alias("raster_id"), F.lit(0).alias("row"), F.floor(F.col("k") / 2).cast("int").alias("col")).agg(
-        F.array(*[F.avg(F.col("z2")[i]) for i in range(5)]).alias("z"))
-    up = ST.upsample(low, (1, 7), (1, 13))
+    """The second model scores at half the resolution: its pixels are means of up to four, those of the last column of two."""
+    low = _grid(s, "z2").groupBy("raster_id", F.floor(F.col("row") / 2).cast("int").alias("row"), F.floor(F.col("col") / 2).cast("int").alias("col")).agg(
+        F.array(*[F.avg(F.col("z")[i]) for i in range(5)]).alias("z"))
+    up = ST.upsample(low, (2, 7), GRID[::-1])
     return _flat(ST.mean_scores(_grid(s).unionByName(up)), "raster_id", "row", "col")
 
 
