@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridrun.operators.ranking import number_rows
 from gridrun.operators.runs import as_layer, overlay, run_len
 from gridrun.session import durable
 
@@ -61,7 +62,7 @@ def _trace(x0, y0, x1, y1, d):
     for i in range(len(x0)):
         start.setdefault((x0[i], y0[i]), []).append(i)
     used, rings = [False] * len(x0), []
-    for s in sorted(range(len(x0)), key=lambda i: (y0[i], x0[i])):
+    for s in sorted(range(len(x0)), key=lambda i: (y0[i], x0[i], d[i])):
         if used[s]:
             continue
         ring, i = [], s
@@ -79,9 +80,10 @@ def _trace(x0, y0, x1, y1, d):
 def rings(labelled: DataFrame, max_local: int = 200_000) -> DataFrame:
     """Ring vertices in order: ``raster_id, comp_id, ring_id, pos, x, y`` (pixel corners, not closed).
 
-    Components with up to ``max_local`` edges are traced one group each. Larger
-    outlines are linked edge to edge and ordered by pointer doubling, so no
-    task ever holds one of them.
+    Rings are numbered from 0 by their first edge in (y, x, direction) order,
+    corners from 0 on from there. Components with up to ``max_local`` edges are
+    traced one group each. Larger outlines are linked edge to edge and ordered
+    by pointer doubling, with the same rows, so no task ever holds one of them.
     """
     edges = durable(boundary_edges(labelled))
     size = edges.groupBy("raster_id", "comp_id").agg(F.count("*").alias("n"))
@@ -128,8 +130,11 @@ def _rings_by_doubling(edges: DataFrame) -> DataFrame:
     # Corners only: vertices whose incoming edge has another direction.
     prev = succ.select(*k, F.col("to").alias("id"), F.col("id.d").alias("pd"))
     v = step.join(prev, [*k, "id"]).filter("pd <> id.d")
-    return v.select(*k, (F.col("root.y0").cast("long") * 4 * (1 << 30) + F.col("root.x0").cast("long") * 4 + F.col("root.d")).alias("ring_id"),
-                    (-F.col("dist")).alias("pos"), F.col("id.x0").alias("x"), F.col("id.y0").alias("y"))
+    first = F.col("root.y0").cast("long") * 4 * (1 << 30) + F.col("root.x0").cast("long") * 4 + F.col("root.d")
+    placed = durable(v.select(*k, first.alias("first"), "dist", F.col("id.x0").alias("x"), F.col("id.y0").alias("y")))
+    ring = number_rows(placed.select(*k, "first").distinct(), k, ["first"], "ring_id")
+    at = number_rows(placed, [*k, "first"], ["-dist"], "pos")
+    return at.join(ring, [*k, "first"]).select(*k, (F.col("ring_id") - 1).alias("ring_id"), (F.col("pos") - 1).alias("pos"), "x", "y")
 
 
 def _simplify(points: np.ndarray, tol: float) -> np.ndarray:

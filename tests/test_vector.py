@@ -41,6 +41,7 @@ def test_ring_area_and_doubling(spark, make):
             norm.add((comp, tuple(v[k:] + v[:k])))
         return norm
     assert loops(a) == loops(b)
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
     area = {}
     for comp, v in loops(a):
         s = sum(x0 * y1 - x1 * y0 for (x0, y0), (x1, y1) in zip(v, v[1:] + v[:1])) / 2
